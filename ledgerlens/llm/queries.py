@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, token_counts
+from . import mixing, neardup, quality, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_near_duplicates": neardup.op2_near_duplicates,
         "op7_quality": quality.op7_quality,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_mixing": mixing.op9_mixing,
