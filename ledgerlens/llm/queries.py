@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, quality, token_counts
+from . import mixing, neardup, quality, token_counts, token_store
 
 
 def queries() -> dict:
     return {
         "op2_near_duplicates": neardup.op2_near_duplicates,
+        "op3_token_store": token_store.op3_token_store,
         "op7_quality": quality.op7_quality,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_mixing": mixing.op9_mixing,
