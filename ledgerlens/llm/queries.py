@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, quality, token_counts, token_store
+from . import embed_dedup, mixing, neardup, quality, token_counts, token_store
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op7_quality": quality.op7_quality,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_mixing": mixing.op9_mixing,
+        "op10_embedding_near_dedup": embed_dedup.op10_embedding_near_dedup,
     }
 
 
