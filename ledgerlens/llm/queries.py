@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, mixing, neardup, quality, token_counts, token_store
+from . import embed_dedup, html_text, mixing, neardup, quality, token_counts, token_store, warc
 
 
 def queries() -> dict:
     return {
         "op2_near_duplicates": neardup.op2_near_duplicates,
         "op3_token_store": token_store.op3_token_store,
+        "op4_warc": warc.op4_warc,
+        "op6_html_text": html_text.op6_html_text,
         "op7_quality": quality.op7_quality,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_mixing": mixing.op9_mixing,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.OP9_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op9_mixing": mixing.OP9_SQL}
