@@ -16,28 +16,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import SAFE, in_bytes, tokenizer
 from .common import table
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
 #: Entries that a worker keeps of pieces it has counted; a bound on memory only.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 #: Fixed value: the pre-token pattern of the vocabulary file.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Python splits at these four, the tokenizer doesn't; and "<|" may begin a special string.
 UNSURE = re.compile("[\x1c-\x1f]|<\\|")
 
 
-@functools.cache
-def tokenizer(name: str):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
 def lengths(name: str, texts: list[str]) -> list[int]:
     return [len(e.ids) for e in tokenizer(name).encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -54,26 +44,33 @@ def proven(name: str) -> frozenset[str]:
 
 
 class Counter:
-    """Counts texts; remembers pieces."""
+    """Counts texts; remembers pieces and the pre-tokens it has merged."""
 
     def __init__(self, name: str):
-        self.name, self.whole, self.known = name, proven(name), {}
+        self.name, self.whole, self.model = name, proven(name), tokenizer(name).model
+        self.known, self.merged = dict.fromkeys(self.whole, 1), {}
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known = dict.fromkeys(self.whole, 1)
-        rest, owner = [], []
+        foreign = []
         for p in pieces:
-            self.known[p] = 0
-            # Other alphabets go to the library whole: the normaliser may compose or fold them.
-            for token in PRETOKEN.findall(p.lower()) if p.isascii() else [p]:
+            if p in self.known:
+                continue
+            if not SAFE.fullmatch(p):  # the normaliser may compose or fold it
+                self.known[p] = 0
+                foreign.append(p)
+                continue
+            total = 0
+            for token in PRETOKEN.findall(p.lower()):
                 if token in self.whole:
-                    self.known[p] += 1
-                else:
-                    rest.append(token)
-                    owner.append(p)
-        for p, n in zip(owner, lengths(self.name, rest), strict=True):
-            self.known[p] += n
+                    total += 1
+                    continue
+                n = self.merged.get(token)
+                if n is None:
+                    n = self.merged[token] = len(self.model.tokenize(in_bytes(token)))
+                total += n
+            self.known[p] = total
+        for p, n in zip(foreign, lengths(self.name, foreign), strict=True):
+            self.known[p] = n
 
     def count(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
@@ -82,13 +79,18 @@ class Counter:
             out[k] = n
         skip = set(unsure)
         for k, t in enumerate(texts):
-            if k not in skip:
-                pieces = t.split()
-                if new := set(pieces).difference(self.known):
-                    self._learn(list(new))
-                    if not all(p in self.known for p in set(pieces)):
-                        self._learn([p for p in set(pieces) if p not in self.known])
+            if k in skip:
+                continue
+            pieces = t.split()
+            try:
+                out[k] = sum(map(self.known.__getitem__, pieces))
+            except KeyError:
+                self._learn(pieces)
                 out[k] = sum(map(self.known.__getitem__, pieces))
+            if len(self.known) > REMEMBERED:
+                self.known = dict.fromkeys(self.whole, 1)
+            if len(self.merged) > REMEMBERED:
+                self.merged = {}
         return out
 
 
