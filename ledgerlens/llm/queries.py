@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, html_text, mixing, neardup, quality, token_counts, token_store, warc
+from . import decontaminate, embed_dedup, html_text, mixing, neardup, quality, token_counts, token_store, warc
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontaminate.op1_decontamination,
         "op2_near_duplicates": neardup.op2_near_duplicates,
         "op3_token_store": token_store.op3_token_store,
         "op4_warc": warc.op4_warc,
