@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embed_dedup, html_text, mixing, neardup, quality, token_counts, token_store, warc
+from . import decontaminate, embed_dedup, html_text, mixing, neardup, quality, surrogates, token_counts, token_store, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_near_duplicates": neardup.op2_near_duplicates,
         "op3_token_store": token_store.op3_token_store,
         "op4_warc": warc.op4_warc,
+        "op5_pii_surrogates": surrogates.op5_pii_surrogates,
         "op6_html_text": html_text.op6_html_text,
         "op7_quality": quality.op7_quality,
         "op8_token_counts": token_counts.op8_token_counts,
