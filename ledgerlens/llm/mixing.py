@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, maybe_broadcast, prefix_sums, table
+from .common import WORD, maybe_broadcast, prefix_sums, saved, table
 
 UNIT = 1 << 32
 #: Weights of the sources in their order, repeating; a target is at most MOST times the source.
@@ -54,8 +54,9 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), one row per row of docs.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most: int = MOST, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken, and the columns
+    in carry), one row per row of docs.
 
     Null texts and texts without words have size 0. A null source is a source of
     its own, last. Within a source documents are stretched out by (size, key), so
@@ -63,7 +64,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     copies in some order, which gives the same rows. A source without words has
     target 0 and no copies. An empty table gives no rows. Other columns are ignored.
     """
-    sizes = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+    sizes = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), *(carry or []))
+    sizes = saved(sizes, "sizes")  # words are counted once
     targets = source_targets(sizes, weights, most)
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(most * UNIT), F.round(F.col("target") / F.col("source_size") * UNIT).cast("long"))).otherwise(F.lit(0))
     rated = targets.select(F.col("source").alias("_s"), "source_size", "target", rate.cast("long").alias("_expected"))
@@ -71,7 +73,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     run = prefix_sums(joined, ["source"], ["size", "doc_id"], "_expected", "_before")
     u = offset(F.col("source"), seed)
     crossed = F.shiftright(F.col("_before") + F.col("_expected") + u, 32) - F.shiftright(F.col("_before") + u, 32)
-    return run.withColumn("copies", crossed).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return run.withColumn("copies", crossed).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(carry or []))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
