@@ -14,7 +14,12 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch sent to Python, so that long texts make short batches.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set(BATCH, "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

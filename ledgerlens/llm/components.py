@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small
+
+#: Edges (16 bytes each) up to which one task joins them; more go through the stars.
+ONE_TASK = 500_000
 
 
 def _digest(edges: DataFrame):
@@ -28,7 +32,10 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the edges (a, b); component is the
     smallest node reachable. Loops, repeated and reversed edges are fine."""
-    edges = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "edges")
+    if small(edges, ONE_TASK):
+        return edges.coalesce(1).mapInPandas(_joined, "node long, component long")
+    edges = edges.distinct()
     before = _digest(edges)
     for _ in range(rounds):
         if not before[0]:
@@ -40,3 +47,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _joined(batches):
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            a, b = find(root.setdefault(u, u)), find(root.setdefault(v, v))
+            root[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(root), "component": [find(x) for x in root]}, dtype="int64")

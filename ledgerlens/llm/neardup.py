@@ -9,9 +9,12 @@ of similarity 0.75 misses all of them with probability 0.25 ** TREES, times what
 the sketch filter loses (about 1e-6).
 
 Nodes that stay large are first compared with one pivot (one pair a member).
-Then components are found, and only nodes that still hold several components
+Then components are found, and only huge nodes that still hold several components
 branch on, so a group of thousands of near copies costs a few pairs a member.
-What is still large and mixed after DEPTH levels is joined in blocks, exactly.
+Small nodes with many similar pairs across components are compared on full sets
+at once and give a spanning forest, so candidates grow with the members alone.
+Mixed nodes of up to MEDIUM members, and whatever is still large after DEPTH
+levels, are compared exhaustively too, in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import saved, small, table
+from .common import maybe_broadcast, saved, small, table
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 75
-T, TREES, BRANCH, SMALL, DEPTH = 48, 12, 3, 48, 5
+T, TREES, BRANCH, SMALL, MEDIUM, DEPTH = 48, 8, 3, 1000, 8000, 5
 #: Of T minwise values, those that must agree; with similarity 0.75 fewer do with probability 1e-6.
 AGREE = 21
+#: Similar pairs a member above which a node is compared exhaustively on full sets at once.
+MANY = 2
 _FACTORS = wordhash.stream(5, T) | np.uint64(1)
 _PLACES = wordhash.stream(6, SHINGLE) | np.uint64(1)
 
@@ -86,7 +91,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, n, set) of the classes in wanted (cid, raw), from the texts again.
+    """(cid, set) of the classes in wanted (cid, raw), from the texts again.
     A class's text is found by the hash of one of its raw texts."""
     keys = wanted.select(F.col("raw").alias("_raw")).distinct()
     if small(keys, 2_000_000):  # at most 16 MB
@@ -94,27 +99,24 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            cid, n, sets = [], [], []
+            cid, sets = [], []
             for values, words in shingles(b.column(0).to_pylist()):
                 cid.append(content_id(words))
-                n.append(len(values))
                 sets.append(values.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "n", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "set"])
 
-    found = docs.join(keys, F.col("raw") == F.col("_raw"), "left_semi").select("text").mapInArrow(run, "cid long, n long, set binary")
+    found = docs.join(keys, F.col("raw") == F.col("_raw"), "left_semi").select("text").mapInArrow(run, "cid long, set binary")
     return found.dropDuplicates(["cid"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Of the pairs (a, b) of class ids those with 100 * common >= similarity * union."""
-    pairs = saved(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = saved(full_sets(docs, ids.join(classes.select("cid", "raw"), "cid")), "sets")
-    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    sizes = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb0"))
-    fit = (F.col("na") * 100 >= F.col("nb0") * similarity) & (F.col("nb0") * 100 >= F.col("na") * similarity)
-    joined = pairs.join(sizes, "b").join(left, "a").where(fit).drop("nb0").join(right, "b").select("a", "b", "sa", "sb")
+def confirm(found: DataFrame, docs: DataFrame, classes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Links (a, b) among candidates (a, b, node): pairs, and members (a, node)
+    of nodes to be compared exhaustively, of which a spanning forest is returned."""
+    ids = found.select(F.col("a").alias("cid")).unionByName(found.where("b is not null").select(F.col("b").alias("cid"))).distinct()
+    sets = saved(full_sets(docs, classes.select("cid", "raw").join(maybe_broadcast(ids, 1_000_000), "cid")), "sets")
+    left = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa"))
+    right = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
+    joined = found.where("node is null").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
     def run(batches):
         for b in batches:
@@ -129,7 +131,42 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: i
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a_.filter(mask), b_.filter(mask)], names=["a", "b"])
 
-    return saved(joined.mapInArrow(run, "a long, b long"), "links")
+    def exhaust(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids_, lists = pdf["a"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in pdf["sa"]]
+        size, edges = np.array([len(x) for x in lists]), []
+        common = _common(lists)
+        linked = 100 * common >= similarity * (size[:, None] + size[None, :] - common)
+        edges = [(ids_[x], ids_[y]) for x, y in _forest(linked)]
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    links = joined.mapInArrow(run, "a long, b long")
+    dense = found.where("node is not null").select("node", "a")
+    if dense.take(1):
+        links = links.unionByName(dense.join(left, "a").groupBy("node").applyInPandas(exhaust, "a long, b long"))
+    return links
+
+
+def _common(lists: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted sets, as one product of incidence blocks."""
+    m = len(lists)
+    _, number, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), [len(x) for x in lists])
+    keep = count[number] > 1
+    row, number = row[keep], np.unique(number[keep], return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    out = np.zeros((m, m), dtype=np.float32)
+    np.fill_diagonal(out, [len(x) for x in lists])
+    whole = out.copy()
+    step = 2048
+    bounds = np.searchsorted(number, np.arange(0, (int(number[-1]) + 1 if len(number) else 0) + step, step))
+    out[:] = 0
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        block = np.zeros((m, step), dtype=np.float32)
+        block[row[a:b], number[a:b] - k * step] = 1
+        out += block @ block.T
+    np.fill_diagonal(out, whole.diagonal())
+    return out.astype(np.int64)
 
 
 def _similar(marks: np.ndarray) -> np.ndarray:
@@ -158,24 +195,33 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def small_node_pairs(nodes: DataFrame, across: bool) -> DataFrame:
-    """Pairs (a, b), a < b, from rows (members: array of (cid, label, marks)).
-    across: all similar pairs with different labels; else a spanning forest."""
+    """Candidates (a, b, node) from rows (node, members: array of (cid, label,
+    marks)). across: similar pairs with different labels, or, where these are
+    many, the members of the node that have such pairs; else a spanning forest
+    of the similar pairs."""
 
     def run(batches):
         for pdf in batches:
             pairs: set[tuple[int, int]] = set()
-            for members in pdf["members"]:
+            dense: list[tuple[int, int]] = []
+            for node, members in zip(pdf["node"], pdf["members"], strict=True):
                 ids = sorted(((x["cid"], x["label"], x["marks"]) for x in members), key=lambda x: x[0])
                 near = _similar(np.frombuffer(b"".join(x[2] for x in ids), dtype=np.uint8).reshape(len(ids), T))
                 if across:
                     label = np.array([x[1] for x in ids])
-                    found = zip(*np.nonzero(np.triu(near & (label[:, None] != label[None, :]))), strict=True)
+                    near &= label[:, None] != label[None, :]
+                    active = np.flatnonzero(near.any(axis=1))
+                    if near.sum() > 2 * MANY * len(active):
+                        dense += [(ids[x][0], node) for x in active]
+                        continue
+                    found = zip(*np.nonzero(np.triu(near)), strict=True)
                 else:
                     found = _forest(near)
                 pairs.update((ids[x][0], ids[y][0]) for x, y in found)
-            yield pd.DataFrame(sorted((min(p), max(p)) for p in pairs), columns=["a", "b"], dtype="int64")
+            rows = [(min(p), max(p), None) for p in sorted(pairs)] + [(c, None, n) for c, n in dense]
+            yield pd.DataFrame({c: pd.array([r[k] for r in rows], dtype="Int64") for k, c in enumerate(("a", "b", "node"))})
 
-    return nodes.select("members").mapInPandas(run, "a long, b long")
+    return nodes.mapInPandas(run, "a long, b long, node long")
 
 
 def _marks(sig) -> F.Column:
@@ -199,65 +245,52 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     base = classes.select("cid", "raw", "sig", _marks(F.col("sig")).alias("marks"))
     roots = F.array(*[F.xxhash64(F.lit("tree"), F.lit(r), F.element_at("sig", r + 1)) for r in range(TREES)])
     members = base.select(F.explode(roots).alias("node"), "cid", F.col("cid").alias("label"))
-    all_links, labels, mixed_small = None, None, None
+    labels, mixed_small = None, None
     for level in range(DEPTH + 1):
+        last = level == DEPTH
         sizes = members.groupBy("node").agg(F.count("*").alias("m"), F.min("cid").alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("m > 1 and l0 <> l1")
         nodes = saved(members.join(sizes.drop("l0", "l1"), "node"), "nodes")
-        if level == 0 and not nodes.take(1):
-            return nodes.select(F.col("cid").alias("node"), F.col("cid").alias("component"))
         little, large = nodes.where(F.col("m") <= SMALL), nodes.where(F.col("m") > SMALL)
-        gathered = _collected(little.join(base.select("cid", "marks"), "cid"))
-        pairs = small_node_pairs(gathered, across=level > 0)
-        stars = large.where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
-        pairs = pairs.unionByName(stars)
+        hot, huge = bool(large.take(1)), bool(nodes.where(F.col("m") > MEDIUM).take(1))
+        pairs = small_node_pairs(_collected(little.join(base.select("cid", "marks"), "cid")), across=level > 0)
         if mixed_small is not None:
             pairs = pairs.unionByName(small_node_pairs(mixed_small, across=True))
-        last = level == DEPTH
-        if last:
-            pairs = pairs.unionByName(_in_blocks(large.join(base.select("cid", "marks"), "cid")))
+        if hot:
+            pairs = pairs.unionByName(large.where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), F.lit(None).cast("long").alias("node")))
+        pairs = saved(pairs.distinct(), "pairs")
         found = confirm(pairs, docs, base)
-        all_links = found if all_links is None else all_links.unionByName(found)
-        labels = saved(components(all_links), "labels")
-        if last:
+        if labels is not None:
+            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = saved(components(found), "labels")
+        if last or level > 0 and not hot:
             break
         relabel = lambda d: d.drop("label").join(labels.select(F.col("node").alias("cid"), F.col("component").alias("_l")), "cid", "left").withColumn("label", F.coalesce("_l", "cid")).drop("_l")
         mixed = lambda d: d.join(d.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node"), "node", "left_semi")
-        mixed_small = None
-        if level == 0:
-            mixed_small = _collected(mixed(relabel(little)).join(base.select("cid", "marks"), "cid"))
-        if large.take(1):
-            rest = mixed(relabel(large))
-            members = _branch(rest.join(base.select("cid", "sig"), "cid"), level + 1)
-        elif mixed_small is None:
-            break
-        else:
-            members = members.where("false")
-        if level > 0 and not large.take(1):
-            break
+        rest = saved(mixed(relabel(nodes if level == 0 else large)), "mixed")
+        again = rest.where(F.col("m") <= SMALL).select("node", "cid", "label")
+        if hot:
+            blocked = rest.where(F.col("m") > SMALL) if level + 1 == DEPTH else rest.where((F.col("m") > SMALL) & (F.col("m") <= MEDIUM))
+            again = again.unionByName(_in_blocks(blocked))
+        mixed_small = _collected(again.join(base.select("cid", "marks"), "cid"))
+        members = rest.where("false").select("node", "cid", "label")
+        if huge and level + 1 < DEPTH:
+            members = _branch(rest.where(F.col("m") > MEDIUM).join(base.select("cid", "sig"), "cid"), level + 1)
     return labels
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
-    """Similar pairs of nodes that stayed large and mixed: the members outside
-    the node's first component against all its members, in salted blocks."""
-    first = members.groupBy("node").agg(F.min("label").alias("l0"))
-    held = members.join(first, "node")
-    rest = held.where("label <> l0").select("node", F.col("cid").alias("b"), F.col("label").alias("lb"), F.col("marks").alias("mb"))
-    salted = rest.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(16)])))
-    every = held.select("node", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("marks").alias("ma"), F.pmod(F.xxhash64("cid"), F.lit(16)).cast("int").alias("salt"))
-    both = every.join(salted, ["node", "salt"]).where("la <> lb")
-
-    def run(batches):
-        for pdf in batches:
-            ma, mb = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(-1, T) for c in ("ma", "mb"))
-            keep = pdf[(ma == mb).sum(axis=1) >= AGREE]
-            yield pd.DataFrame({"a": np.minimum(keep.a, keep.b), "b": np.maximum(keep.a, keep.b)})
-
-    return both.select("a", "b", "ma", "mb").mapInPandas(run, "a long, b long").distinct()
+    """Nodes (node, m, cid, label) of m > SMALL members as many nodes of SMALL
+    members or so: one for each two blocks of half as many."""
+    n = F.ceil(F.col("m") * 2 / SMALL).cast("int")
+    block = F.pmod(F.xxhash64(F.lit("block"), "cid"), F.col("_n")).cast("int")
+    dealt = members.withColumn("_n", n).withColumn("_b", block)
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: j != F.col("_b")))
+    return dealt.withColumn("_o", other).select(F.xxhash64("node", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("node"), "cid", "label")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of docs.
+    """(doc_id, n_shingles, component_id, kept, raw), one row per row of docs;
+    raw is the text's hash.
 
     Texts without words (null, empty, white space) have 0 shingles and no links.
     Rows with the same words are linked. component_id is the smallest non-null id
@@ -273,10 +306,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = saved(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     joined = named.join(least, "component").select(F.col("cid").alias("_cid"), "component_id")
-    out = sketched.select("doc_id", "n_shingles", "cid").join(joined, F.col("cid") == F.col("_cid"), "left")
+    out = sketched.select("doc_id", "n_shingles", "cid", "raw").join(joined, F.col("cid") == F.col("_cid"), "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "raw")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("raw")
