@@ -1,12 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's words over all passages give TF-IDF
-   weights (other words weigh nothing in any product with a benchmark item).
+0. Texts are read once: what is kept of each is where it has which words of the
+   benchmark, since no other word counts in any product or subsequence below.
+1. Frequencies of these words over all passages give TF-IDF weights.
 2. A randomised SVD of the TF-IDF passages: every task multiplies its passages
    with one random matrix, the sums of all tasks give the leading singular
    vectors (Nystrom form, so one pass is enough). Latent space: their span and
    that of the benchmark's items, which rank-limited topics alone would lose.
-3. Each item is searched among all windows of all documents by latent cosine.
+3. Each item is searched among the windows of all documents, of its own length or
+   so, by latent cosine.
 4. What is found is checked on the words: a longest common subsequence with most
    of the item's words, or, for paraphrases, with 3 in 5 of them, the rarer words
    covered, and the answer (the item's last sentence, or its last words) there too.
@@ -24,16 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .common import table
+from .common import saved, table
 
-#: Words of a segment; segments of the windows searched; segments of a passage of the SVD.
-SEGMENT, WINDOWS, PASSAGE = 16, (2, 4, 8), 4
+#: Words of a segment; segments of a passage of the SVD.
+SEGMENT, PASSAGE = 16, 4
 #: Singular vectors kept, random ones more, items searched in one pass.
 RANK, OVER, ITEMS = 32, 8, 256
 #: A word in more than this share of segments weighs nothing.
-COMMON = 0.2
+COMMON = 0.01
 #: Least latent cosine and covered share of an item's weight for a candidate.
-COSINE, COVER = 0.25, 0.25
+COSINE, COVER = 0.25, 0.4
 #: LCS over the item's words: enough alone; enough with the rest of the checks.
 VERBATIM, PARAPHRASE, WEIGHT, ANSWER = 0.8, 0.6, 0.5, 0.5
 #: Items with fewer words must be there word for word, and are not searched below LEAST.
@@ -75,12 +77,16 @@ class Benchmark:
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, dtype=np.uint64)
         self.slots = np.zeros(1 << 20, dtype=bool)
         self.slots[self.vocabulary & np.uint64((1 << 20) - 1)] = True
+        self.numbers = [np.searchsorted(self.vocabulary, words) for words in self.words]
         self.places = []
-        for words in self.words:
+        for words in self.numbers:
             at: dict[int, int] = {}
             for k, w in enumerate(words.tolist()):
                 at[w] = at.get(w, 0) | 1 << k
             self.places.append(at)
+        self.answers = [set(np.searchsorted(self.vocabulary, np.array(sorted(a), dtype=np.uint64)).tolist()) for a in self.answers]
+        #: Segments of a window that holds an item wherever it begins.
+        self.spans = np.array([-(-len(w) // SEGMENT) + 1 for w in self.words])
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, vocabulary numbers) of the words that are in the vocabulary."""
@@ -102,8 +108,10 @@ class Benchmark:
         rows *= idf
         self.norms = np.sqrt((rows * rows).sum(axis=1))
         self.items = rows / self.norms[:, None]
-        #: What one occurrence of a word adds to an item's inner product.
-        self.adds = np.ascontiguousarray((self.items * idf).T.astype(np.float32))
+        #: What one occurrence of a word adds to which items' inner products (by word: rows begins[v]:begins[v + 1]).
+        word, self.item_of = np.nonzero((self.items * idf).T)
+        self.begins = np.searchsorted(word, np.arange(len(self.vocabulary) + 1))
+        self.adds = (self.items * idf).T[word, self.item_of]
 
     def span(self, topics: np.ndarray) -> None:
         """topics: singular vectors in columns."""
@@ -112,73 +120,96 @@ class Benchmark:
         self.basis = np.ascontiguousarray(u[:, s > 1e-9 * max(1e-300, s[0])])
 
 
-def segments_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first segment of each document, and one past the last) for word counts."""
-    n = -(-lengths // SEGMENT)
-    return np.cumsum(n) - n, np.cumsum(n)
+_HITS = "doc_id long, n_words long, at binary, word binary"
 
 
-def number(at: np.ndarray, offsets: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Segment of each word position."""
-    doc = np.searchsorted(offsets, at, side="right") - 1
-    return firsts[doc] + (at - offsets[doc]) // SEGMENT
+def hits(docs: DataFrame, block) -> DataFrame:
+    """(doc_id, n_words, at, word) of rows (text, doc_id): places and vocabulary
+    numbers of the benchmark's words, as unsigned 32-bit integers."""
 
-
-def frequencies(docs: DataFrame, block) -> tuple[np.ndarray, int]:
-    def count(batches):
-        b, total, n = block.value, None, 0
+    def run(batches):
+        b = block.value
         for batch in batches:
+            n, at_, word_ = [], [], []
             for _, hashes, offsets in words_of(batch.column(0).to_pylist()):
-                firsts, ends = segments_of(np.diff(offsets))
                 at, v = b.find(hashes)
-                key = np.unique(number(at, offsets, firsts) * len(b.vocabulary) + v)
-                seen = np.bincount(key % len(b.vocabulary), minlength=len(b.vocabulary))
-                total = seen if total is None else total + seen
-                n += int(ends[-1]) if len(ends) else 0
-        if total is not None:
-            words = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *words.tolist()], pa.int64()), pa.array([n, *total[words].tolist()], pa.int64())], names=["word", "n"])
-
-    rows = docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()  # a row for each word of the benchmark
-    out = np.zeros(len(block.value.vocabulary), dtype=np.int64)
+                cut = np.searchsorted(at, offsets)
+                at, v = at.astype(np.uint32), v.astype(np.uint32)
+                for k in range(len(offsets) - 1):
+                    x = slice(cut[k], cut[k + 1])
+                    at_.append((at[x] - np.uint32(offsets[k])).tobytes())
+                    word_.append(v[x].tobytes())
+                n += np.diff(offsets).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(at_, pa.binary()), pa.array(word_, pa.binary())], names=["doc_id", "n_words", "at", "word"])
+
+    return docs.mapInArrow(run, _HITS)
+
+
+class Batch:
+    """The hits of many documents: doc, at and word of each, in order."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        at, word = (batch.column(k).to_pylist() for k in (2, 3))
+        self.sizes = np.array([len(x) // 4 for x in at], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.doc = np.repeat(np.arange(len(at)), self.sizes)
+        self.at = np.frombuffer(b"".join(at), dtype=np.uint32).astype(np.int64)
+        self.word = np.frombuffer(b"".join(word), dtype=np.uint32).astype(np.int64)
+        count = -(-batch.column(1).to_numpy() // SEGMENT)
+        self.segments = int(count.sum())
+        #: First segment of each document; segments of all are numbered through.
+        self.first = np.cumsum(count) - count
+        self.segment = self.first[self.doc] + self.at // SEGMENT
+
+
+def frequencies(found: DataFrame, block) -> tuple[np.ndarray, int]:
+    size = len(block.value.vocabulary)
+
+    def count(batches):
+        total, n = np.zeros(size, dtype=np.int64), 0
+        for batch in batches:
+            x = Batch(batch)
+            total += np.bincount(np.unique(x.segment * size + x.word) % size, minlength=size)
+            n += x.segments
+        words = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *words.tolist()], pa.int64()), pa.array([n, *total[words].tolist()], pa.int64())], names=["word", "n"])
+
+    rows = found.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()  # a row for each word of the benchmark
+    out = np.zeros(size, dtype=np.int64)
     out[rows.word[rows.word >= 0].to_numpy()] = rows.n[rows.word >= 0].to_numpy()
     return out, int(rows.n[rows.word < 0].sum())
 
 
-def topics(docs: DataFrame, block, rank: int = RANK, over: int = OVER) -> tuple[np.ndarray, np.ndarray]:
+def topics(found: DataFrame, block, rank: int = RANK, over: int = OVER) -> tuple[np.ndarray, np.ndarray]:
     """(leading right singular vectors in columns, singular values) of the matrix
     of unit TF-IDF passages."""
     size = len(block.value.vocabulary)
     width = min(rank + over, size)
     omega = np.random.default_rng(17).standard_normal((size, width)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(omega)
+    shared = found.sparkSession.sparkContext.broadcast(omega)
     parts = 16
 
     def multiply(batches):
-        b, o = block.value, shared.value
+        o, idf = shared.value, block.value.idf.astype(np.float32)
         z = np.zeros((size, width))
-        idf = b.idf.astype(np.float32)
         for batch in batches:
-            for _, hashes, offsets in words_of(batch.column(0).to_pylist()):
-                firsts, _ = segments_of(np.diff(offsets))
-                at, v = b.find(hashes)
-                keep = idf[v] > 0
-                at, v = at[keep], v[keep]
-                if not len(at):
-                    continue
-                # Passages are PASSAGE segments; one number for each (document, passage).
-                doc = np.searchsorted(offsets, at, side="right") - 1
-                row = firsts[doc] + (at - offsets[doc]) // (SEGMENT * PASSAGE)
-                key, count = np.unique(row * size + v, return_counts=True)
-                row, col, value = key // size, key % size, count.astype(np.float32) * idf[key % size]
-                begin = np.flatnonzero(np.diff(row, prepend=-1))
-                lengths = np.diff(np.append(begin, len(row)))
-                value /= np.repeat(np.sqrt(np.add.reduceat(value * value, begin)), lengths)
-                y = np.add.reduceat(value[:, None] * o[col], begin, axis=0)
-                order = np.argsort(col, kind="stable")
-                back = value[order, None] * y[np.repeat(np.arange(len(begin)), lengths)[order]]
-                cols = np.flatnonzero(np.diff(col[order], prepend=-1))
-                z[col[order][cols]] += np.add.reduceat(back, cols, axis=0)
+            x = Batch(batch)
+            keep = idf[x.word] > 0
+            if not keep.any():
+                continue
+            # A passage is PASSAGE segments of a document; one number for each.
+            row = (x.first[x.doc] + x.at // (SEGMENT * PASSAGE))[keep]
+            key, count = np.unique(row * size + x.word[keep], return_counts=True)
+            row, col = key // size, key % size
+            value = count.astype(np.float32) * idf[col]
+            begin = np.flatnonzero(np.diff(row, prepend=-1))
+            lengths = np.diff(np.append(begin, len(row)))
+            value /= np.repeat(np.sqrt(np.add.reduceat(value * value, begin)), lengths)
+            y = np.add.reduceat(value[:, None] * o[col], begin, axis=0)
+            order = np.argsort(col, kind="stable")
+            back = value[order, None] * y[np.repeat(np.arange(len(begin)), lengths)[order]]
+            cols = np.flatnonzero(np.diff(col[order], prepend=-1))
+            z[col[order][cols]] += np.add.reduceat(back, cols, axis=0)
         for k, rows in enumerate(np.array_split(z, parts)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rows.astype(np.float32).tobytes()], pa.binary())], names=["part", "rows"])
 
@@ -186,7 +217,7 @@ def topics(docs: DataFrame, block, rank: int = RANK, over: int = OVER) -> tuple[
         total = sum(np.frombuffer(r, dtype=np.float32).astype(np.float64) for r in pdf["rows"])
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "rows": [total.tobytes()]})
 
-    sums = docs.mapInArrow(multiply, "part int, rows binary").groupBy("part").applyInPandas(add, "part int, rows binary").toPandas().sort_values("part")
+    sums = found.mapInArrow(multiply, "part int, rows binary").groupBy("part").applyInPandas(add, "part int, rows binary").toPandas().sort_values("part")
     if not len(sums):
         return np.zeros((size, 0)), np.zeros(0)
     z = np.concatenate([np.frombuffer(r, dtype=np.float64).reshape(-1, width) for r in sums["rows"]])
@@ -198,85 +229,79 @@ def topics(docs: DataFrame, block, rank: int = RANK, over: int = OVER) -> tuple[
     return u[:, :rank], np.maximum(s[:rank] ** 2 - shift, 0) ** 0.5
 
 
-def _check(b: Benchmark, k: int, region: np.ndarray) -> tuple[float, bool] | None:
-    """(LCS over the item's words, answer there) if the region holds item k."""
-    words, item = region.tolist(), b.words[k]
+def candidates(b: Benchmark, x: Batch):
+    """Yields (document, item, first and last segment, inner product) of windows
+    that cover enough of an item's weight: of those that overlap, the best."""
+    n = b.begins[x.word + 1] - b.begins[x.word]
+    if not n.sum():
+        return
+    rows = np.repeat(b.begins[x.word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    segment, item = np.repeat(x.segment, n), b.item_of[rows]
+    key, back = np.unique(item * x.segments + segment, return_inverse=True)
+    total = np.cumsum(np.bincount(back, weights=b.adds[rows]))
+    item, segment = key // x.segments, key % x.segments
+    doc = np.searchsorted(x.first, segment, side="right") - 1
+    # A window ends at each segment that adds something, and stays in its document.
+    begin = np.maximum(segment - b.spans[item] + 1, x.first[doc])
+    lo = np.searchsorted(key, item * x.segments + begin)
+    product = total - np.where(lo > 0, total[lo - 1], 0)
+    good = np.flatnonzero(product >= COVER * b.norms[item])
+    taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for k in good[np.argsort(-product[good], kind="stable")].tolist():
+        places = taken.setdefault((int(doc[k]), int(item[k])), [])
+        if all(segment[k] < p or begin[k] > q for p, q in places):
+            places.append((int(begin[k]), int(segment[k])))
+            yield int(doc[k]), int(item[k]), int(begin[k]), int(segment[k]), float(product[k])
+
+
+def _check(b: Benchmark, k: int, at: np.ndarray, word: np.ndarray) -> tuple[float, bool] | None:
+    """(LCS over the item's words, answer there) if the words hold item k."""
+    item = b.numbers[k]
     n = len(item)
     if n < SHORT:
-        want = item.tolist()
-        return (1.0, True) if any(words[j : j + n] == want for j in range(len(words) - n + 1)) else None
+        for j in range(len(word) - n + 1):
+            if at[j + n - 1] - at[j] == n - 1 and np.array_equal(word[j : j + n], item):
+                return 1.0, True
+        return None
+    words = word.tolist()
     ratio = lcs(b.places[k], n, words) / n
     there = set(words)
     answer = len(b.answers[k] & there) >= ANSWER * len(b.answers[k])
     if ratio >= VERBATIM:
         return ratio, answer
     own = np.unique(item)
-    weight = b.idf[np.searchsorted(b.vocabulary, own)]
+    weight = b.idf[own]
     covered = float(weight[[w in there for w in own.tolist()]].sum()) >= WEIGHT * float(weight.sum())
     return (ratio, answer) if ratio >= PARAPHRASE and covered and answer else None
 
 
-def search(docs: DataFrame, block) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer) from rows (text, doc_id)."""
-    schema = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
+def search(found: DataFrame, block) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, answer) from hits."""
 
     def look(batches):
         b = block.value
         for batch in batches:
-            keys, out = batch.column(1).to_pylist(), []
-            for first, hashes, offsets in words_of(batch.column(0).to_pylist()):
-                firsts, ends = segments_of(np.diff(offsets))
-                at, v = b.find(hashes)
-                keep = b.idf[v] > 0
-                at, v = at[keep], v[keep]
-                if not len(at):
+            x, keys, best = Batch(batch), batch.column(0).to_pylist(), {}
+            for d, k, begin, end, product in candidates(b, x):
+                own = slice(x.begins[d], x.begins[d] + x.sizes[d])
+                at, word = x.at[own], x.word[own]
+                first = begin - int(x.first[d])
+                inside = slice(*np.searchsorted(at, [first * SEGMENT, (end + 1 - int(x.first[d])) * SEGMENT]))
+                words, counts = np.unique(word[inside], return_counts=True)
+                latent = (counts * b.idf[words]) @ b.basis[words]
+                cosine = min(1.0, product / max(1e-12, float(np.sqrt(latent @ latent))))
+                if cosine < COSINE or best.get((d, k), (0, 0.0))[1] == 1:
                     continue
-                seg = number(at, offsets, firsts)
-                begin = np.flatnonzero(np.diff(seg, prepend=-1))
-                used = seg[begin]
-                scores = np.zeros((int(ends[-1]) + 1, len(b.ids)), dtype=np.float32)
-                scores[used + 1] = np.add.reduceat(b.adds[v], begin, axis=0)
-                np.cumsum(scores, axis=0, out=scores)
-                last = np.repeat(ends, np.diff(np.append(firsts, ends[-1])))  # one past the document's last segment
-                doc_of = np.repeat(np.arange(len(firsts)), ends - firsts)
-                found: dict[tuple[int, int], list] = {}
-                start = np.arange(int(ends[-1]))
-                for w in WINDOWS:
-                    stop = np.minimum(start + w, last)
-                    hit = scores[stop] - scores[:-1]
-                    for s, k in zip(*np.nonzero(hit >= (COVER * b.norms).astype(np.float32)), strict=True):
-                        found.setdefault((int(doc_of[s]), int(k)), []).append((int(s), int(stop[s]), float(hit[s, k])))
-                for (d, k), windows in found.items():
-                    if best := _confirm(b, k, windows, hashes, offsets, firsts, d, seg, v):
-                        out.append((keys[first + d], b.ids[k], *best))
-            yield pd_batch(out)
-
-    def pd_batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
-
-    return docs.mapInArrow(look, schema)
-
-
-def _confirm(b: Benchmark, k: int, windows: list, hashes, offsets, firsts, d: int, seg, v):
-    best, checked = None, set()
-    n, begin, end = len(b.words[k]), int(offsets[d]), int(offsets[d + 1])
-    for s, e, product in windows:
-        lo, hi = np.searchsorted(seg, s), np.searchsorted(seg, e)
-        words, counts = np.unique(v[lo:hi], return_counts=True)
-        latent = (counts * b.idf[words]) @ b.basis[words]
-        cosine = min(1.0, product / max(1e-12, float(np.sqrt(latent @ latent))))
-        if cosine < COSINE:
-            continue
-        a = max(begin, begin + (s - int(firsts[d])) * SEGMENT - n)
-        z = min(end, begin + (e - int(firsts[d])) * SEGMENT + n)
-        if (a, z) in checked:
-            continue
-        checked.add((a, z))
-        if (got := _check(b, k, hashes[a:z])) and (best is None or got[0] > best[1]):
-            best = (cosine, *got)
-            if got[0] == 1:
-                break
-    return best
+                n = len(b.words[k])
+                around = slice(*np.searchsorted(at, [first * SEGMENT - n, (end + 1 - int(x.first[d])) * SEGMENT + n]))
+                got = _check(b, k, at[around], word[around])
+                if got and got[0] > best.get((d, k), (0, 0.0))[1]:
+                    best[d, k] = (cosine, *got)
+            rows = [(keys[d], b.ids[k], *v) for (d, k), v in sorted(best.items())]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
+
+    return found.mapInArrow(look, "doc_id long, item_id long, cosine double, lcs double, answer boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
@@ -298,10 +323,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> D
         b = Benchmark(*held)
         if b.ids:
             first = spark.sparkContext.broadcast(b)
-            b.weigh(*frequencies(rows.select("text"), first))
-            weighed = spark.sparkContext.broadcast(b)
-            b.span(topics(rows.select("text"), weighed)[0])
-            part = search(rows, spark.sparkContext.broadcast(b))
+            kept = saved(hits(rows, first), "hits")
+            b.weigh(*frequencies(kept, first))
+            b.span(topics(kept, spark.sparkContext.broadcast(b))[0])
+            part = search(kept, spark.sparkContext.broadcast(b))
             found = part if found is None else found.unionByName(part)
         held[0].clear()
         held[1].clear()
