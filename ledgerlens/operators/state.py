@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows (it is counted up
+    to there only); else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key: the first in order (which must be total)."""
     w = Window.partitionBy(*keys).orderBy(*order)
