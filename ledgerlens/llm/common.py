@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,25 +82,29 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, o
     ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
     schema = T.StructType([*_nullable(df.schema), T.StructField("_pid", T.IntegerType()), T.StructField(out, T.LongType()), T.StructField("_total", T.LongType())])
 
+    names = df.columns
+
     def local(batches):
         from pyspark import TaskContext
 
-        pid, last, seen = TaskContext.get().partitionId(), object(), 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            marks = [tuple(None if pd.isna(x) else x for x in row) for row in pdf[group].itertuples(index=False)] if group else [()] * len(pdf)
-            before, totals = [], []
-            for mark, v in zip(marks, pdf[value], strict=True):
-                if mark != last:
-                    last, seen = mark, 0
-                before.append(seen)
-                seen += int(v)
-                totals.append(seen)
-            pdf["_pid"], pdf[out], pdf["_total"] = pid, before, totals
-            yield pdf[[f.name for f in schema]]
-
-    level = saved(ranged.mapInPandas(local, schema), "prefix")
+        pid, last, seen = TaskContext.get().partitionId(), (), 0
+        for b in batches:
+            n = b.num_rows
+            v = b.column(names.index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
+            # Where a new group begins; sums start anew there.
+            marks = list(zip(*[b.column(names.index(g)).to_pylist() for g in group], strict=True)) if group else [()] * n
+            begins = [k for k in range(n) if marks[k] != (marks[k - 1] if k else last)] if group else []
+            before = np.cumsum(v) - v
+            base = np.zeros(n, dtype=np.int64)
+            base[: begins[0] if begins else n] = seen
+            for x, y in zip(begins, [*begins[1:], n], strict=False):
+                base[x:y] = -before[x]
+            before = before + base
+            if n:
+                last, seen = marks[-1], int(before[-1] + v[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, pid, dtype=np.int32)), pa.array(before), pa.array(before + v)], names=[*names, "_pid", out, "_total"])
+
+    level = saved(ranged.mapInArrow(local, schema), "prefix")
     sums = level.groupBy(*group, "_pid").agg(F.max("_total").alias("_sum"))
     w = Window.partitionBy(*[F.col(g) for g in group]).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_pid").alias("_p"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_offset"))

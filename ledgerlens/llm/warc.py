@@ -188,10 +188,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                 found = [parse(c) | {"file": file, "offset": at, "length": n} for at, n, c in members(raw)]
                 if found:
                     found.sort(key=_order)
-                    out = pd.DataFrame(found)
+                    whole = ("page_id", "refers_to")  # may be null: no detour over floats
+                    out = pd.DataFrame({c: pd.array([r[c] for r in found], dtype="Int64") if c in whole else [r[c] for r in found] for c in found[0]})
                     out["seq"] = range(len(out))
-                    for c in ("page_id", "refers_to"):
-                        out[c] = out[c].astype("Int64")
                     yield out[[x.split()[0] for x in (_INDEX + ", seq long").split(", ")]]
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -200,21 +199,18 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     cut = sorted_runs.repartitionByRange(partitions(spark), *keys).sortWithinPartitions("file", "seq")
 
     def merge(batches):
-        pdf = pd.concat(list(batches))
-        if not len(pdf):
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
-        pdf = pdf.reset_index(drop=True)
-        stretches = []
-        for _, part in pdf.groupby("file", sort=True):
-            rows = zip(part["url_key"], part["captured_at"], part["page_id"].fillna(-1).astype("int64"), part.index, strict=True)
-            stretches.append(iter([tuple(r) for r in rows]))
-        order = [head[3] for head, _ in LoserTree(stretches)]
-        out = pdf.iloc[order].drop(columns="seq")
-        for c in ("page_id", "refers_to"):
-            out[c] = out[c].astype("Int64")
-        yield out
-
-    return cut.mapInPandas(merge, _INDEX)
+        t = pa.Table.from_batches(held)
+        heads = list(zip(t["url_key"].to_pylist(), t["captured_at"].to_pylist(), [-1 if x is None else x for x in t["page_id"].to_pylist()], range(t.num_rows), strict=True))
+        stretches: dict[str, list] = {}
+        for file, head in zip(t["file"].to_pylist(), heads, strict=True):
+            stretches.setdefault(file, []).append(head)
+        order = [head[3] for head, _ in LoserTree([iter(x) for x in stretches.values()])]
+        yield from t.drop_columns(["seq"]).take(order).combine_chunks().to_batches()
+
+    return cut.mapInArrow(merge, _INDEX)
 
 
 def _order(entry: dict) -> tuple:
