@@ -12,6 +12,8 @@ from ..operators import extract as T
 from ..operators import ground as G
 from ..operators import state as ST
 from ..sources import documents as D
+from ..sources import providers as P
+from ..sources import sinks as K
 from ..sources.rules import DEFAULT
 from .expressions import AS_OF, MEMO, NAMES
 from .registry import base, query, scan
@@ -470,3 +472,37 @@ def wf_news_ttl(spark, sf):
 @query("SELECT page_id, length(html) <= 10485760 AND starts_with(html, '<!DOCTYPE') AS accepted FROM pages")
 def wf_upload_guard(spark, sf):
     return scan(spark, sf, "pages").select("page_id", (F.length("html") <= 10 * 1024 * 1024).alias("a"), F.col("html").startswith("<!DOCTYPE").alias("z")).select("page_id", (F.col("a") & F.col("z")).alias("accepted"))
+
+
+# Services and sinks -------------------------------------------------------
+
+
+def echo(prompt: str) -> str:
+    """A provider for tests and queries: answers with the prompt's length."""
+    return str(len(prompt))
+
+
+@query("SELECT s_suppkey, CAST(length('Metric of ' || s_name) AS VARCHAR) AS answer FROM supplier")
+def src_llm(spark, sf):
+    prompts = scan(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("Metric of "), "s_name").alias("prompt"))
+    return P.ask(prompts, echo).select("s_suppkey", "answer")
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 0 AS found FROM customer")
+def src_web_search(spark, sf):
+    q = scan(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(" news")).alias("query"))
+    injected = q.where("c_custkey % 3 = 0").select("query", F.lit(1).alias("rank"), F.lit("t").alias("title"), F.lit("http://x").alias("url"), F.lit("c").alias("content"))
+    return P.web_results(q, injected).select("c_custkey", "found")
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100, 'seeded'")
+def snk_seed(spark, sf):
+    n = scan(spark, sf, "nation").select("n_nationkey", "n_name")
+    return K.seed(spark, [(3, "ignored"), (100, "seeded")], "n_nationkey int, n_name string", n, ["n_nationkey"], [F.asc("n_name")])
+
+
+@query("SELECT day, CAST(least(n, 40) AS BIGINT) AS granted FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)")
+def wf_llm_budget(spark, sf):
+    """The cap as a query: calls granted each day. The guard itself is sources.providers.Budget."""
+    days = scan(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return days.select("day", F.least("n", F.lit(40)).cast("long").alias("granted"))

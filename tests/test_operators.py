@@ -162,3 +162,34 @@ def test_streaming_equals_batch(spark, tmp_path):
     batch = resolve.pick(ingest.observe(spark.createDataFrame(rows, schema), R.DEFAULT, as_of()), ["company_id", "metric_code"], ["doc_id", "ordinal"])
     assert got == {(r.company_id, r.metric_code): r.value for r in batch.collect()} == {(1, "arr"): "3000000", (2, "arr"): "1000000", (1, "employee_count"): "35"}
     assert spark.read.parquet(str(tmp_path / "silver")).count() == 4
+
+
+def test_sinks(spark, tmp_path):
+    from ledgerlens.sources import sinks
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    p = str(tmp_path / "t")
+    sinks.append(df, p)
+    sinks.append(df, p)
+    assert spark.read.parquet(p).count() == 4
+    sinks.rewrite(df, p)
+    assert spark.read.parquet(p).count() == 2
+    sinks.reset(df, p)
+    assert spark.read.parquet(p).columns == ["k", "v"] and spark.read.parquet(p).count() == 0
+
+
+def test_providers():
+    from ledgerlens.sources import providers
+
+    calls = []
+
+    def flaky(prompt):
+        calls.append(prompt)
+        if len(calls) < 3:
+            raise TimeoutError("slow")
+        return "ok"
+
+    assert providers.call(flaky, "p") == ("ok", None) and len(calls) == 3
+    assert providers.call(lambda p: 1 / 0, "p")[1].startswith("ZeroDivisionError")
+    b = providers.Budget(5)
+    assert (b.take("d1", 3), b.take("d1", 3), b.take("d2", 9)) == (3, 2, 5)
