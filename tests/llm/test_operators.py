@@ -341,3 +341,12 @@ def test_embeddings_recall(spark):
     want = int((u @ u.T >= 0.9).sum()) - len(x)
     got = embed_dedup.near_vectors(df).agg(F.sum("n_links")).first()[0]
     assert 0.9 * want <= got <= want
+
+
+def test_html_marks():
+    text = lambda h: "\n".join(html_text.main_lines(h)[1])
+    assert text("<div class='page has-sidebar'><div class='layout-sidebar-right'><p>a</div><div class=sidebar-left><p>b</div>") == "a"
+    assert text("<article class='post no-comments'><header class=post-header><h1>T</h1></header><p>a</p><div class='comment-list'><article class=comment>c</article></div><footer>f</footer></article><p>z") == "T\na"
+    assert text("<nav>menu<article><p>a</article>") == "a"
+    assert text("<main><p>a<form><p>b</form><aside>c</aside></main>d") == "a"
+    assert text("<p>a<script>if (1 < 2) { '<p>' }</script>b<!-- c --><style>x</style><p hidden>d") == "ab"
