@@ -14,6 +14,7 @@ roots and lengths of the manifest. `restore` rebuilds the ids themselves.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import zlib
@@ -21,6 +22,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,9 @@ from .common import prefix_sums, scratch_path, table
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Chunks: window of the rolling hash, least, mean (a power of 2) and most ids.
-WINDOW, LEAST, MEAN, MOST = 16, 32, 128, 1024
+WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
+#: Bytes of a chunk's name.
+NAME = 16
 #: Entries that a worker keeps of pieces it has encoded; a bound on memory only.
 REMEMBERED = 1_200_000
 #: Fixed value: the pre-token pattern of the vocabulary file.
@@ -51,48 +55,73 @@ class Encoder:
         self.tokenizer = tokenizer(name)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.first, self.known, self.merged = {}, {}, {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        parts = []
-        for token in PRETOKEN.findall(piece):
-            ids = self.merged.get(token)
-            if ids is None:
-                ids = self.merged[token] = self._pack([t.id for t in self.model.tokenize(in_bytes(token))])
-            parts.append(ids)
-        return b"".join(parts)
+        return array.array(self.code, ids).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember new pieces (with the space before them); b"" for what is none."""
+        bad = [p for p in pieces if not p or p[0].isspace() or p[-1].isspace()]
+        self.known.update(dict.fromkeys(bad, b""))
+        good = list(pieces.difference(bad))
+        if not good:
+            return
+        tokens = PRETOKEN.findall(" " + " ".join(good))
+        tokenize = self.model.tokenize
+        for t in set(tokens).difference(self.merged):
+            self.merged[t] = self._pack([x.id for x in tokenize(in_bytes(t))])
+        begins = [k for k, t in enumerate(tokens) if t[0] == " "]
+        packed = list(map(self.merged.__getitem__, tokens))
+        for p, x, y in zip(good, begins, [*begins[1:], len(tokens)], strict=True):
+            self.known[p] = packed[x] if y - x == 1 else b"".join(packed[x:y])
+
+    def _head(self, piece: str) -> bytes:
+        ids = self.first.get(piece)
+        if ids is None:
+            ids = self.first[piece] = b"".join(self._pack([x.id for x in self.model.tokenize(in_bytes(t))]) for t in PRETOKEN.findall(piece))
+        return ids
 
     def whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if "<|" in text or not SAFE.fullmatch(text):
-            return self.whole(text)
-        head, *pieces = text.split(" ")
-        if not head or head[-1].isspace():
-            return self.whole(text)
-        begin = self.first.get(head)
-        if begin is None:
-            begin = self.first[head] = self._piece(head)
-        known = self.known
-        try:
-            out = begin + b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            for p in pieces:
-                if p not in known:
-                    if not p or p[0].isspace() or p[-1].isspace():
-                        return self.whole(text)
-                    known[p] = self._piece(" " + p)
-            out = begin + b"".join(map(known.__getitem__, pieces))
-        for cache in (self.first, known, self.merged):
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many of each). Pieces are cut and made distinct
+        by Arrow, so that Python sees each of a batch's pieces once."""
+        for cache in (self.first, self.known, self.merged):
             if len(cache) > REMEMBERED:
                 cache.clear()
-        return out
+        fast = [bool(t) and "<|" not in t and t[0] != " " and SAFE.fullmatch(t) is not None for t in texts]
+        lists = pc.split_pattern(pa.array([t for t, f in zip(texts, fast, strict=True) if f], pa.large_string()), " ")
+        starts = lists.offsets.to_numpy()
+        pieces = lists.flatten().dictionary_encode()
+        names, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy().astype(np.int64)
+        packed = list(map(self.known.get, names))
+        new = [k for k, p in enumerate(packed) if p is None]
+        self._learn({names[k] for k in new})
+        for k in new:
+            packed[k] = self.known[names[k]]
+        # The first piece of a text has no space before it: an entry of its own.
+        heads = [names[k] for k in at[starts[:-1]]]
+        at[starts[:-1]] = len(packed) + np.arange(len(heads))
+        packed += [b"" if h[-1:].isspace() else self._head(h) for h in heads]
+        size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.dtype.itemsize
+        none = size == 0
+        table = np.frombuffer(b"".join(packed), dtype=self.dtype)
+        begin = np.cumsum(size) - size
+        n = size[at]
+        ids = table[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        ends = np.concatenate(([0], np.cumsum(n)))[starts] if len(at) else np.zeros(1, dtype=np.int64)
+        bad = np.add.reduceat(none[at], starts[:-1]) > 0 if len(at) else np.zeros(0, dtype=bool)
+        if all(fast) and not bad.any():
+            return ids, np.diff(ends)
+        quick = iter(range(len(ends) - 1))
+        parts = []
+        for t, f in zip(texts, fast, strict=True):
+            k = next(quick) if f else None
+            parts.append(ids[ends[k] : ends[k + 1]] if f and not bad[k] else np.frombuffer(self.whole(t) if t else b"", dtype=self.dtype))
+        return np.concatenate(parts) if parts else ids, np.array([len(p) for p in parts], dtype=np.int64)
 
 
 @functools.cache
@@ -106,7 +135,7 @@ def cuts(ids: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     reaches over a document's or a chunk's beginning."""
     value = _GEAR[ids]
     h = np.zeros(len(ids), dtype=np.uint64)
-    for j in range(WINDOW):
+    for j in range(min(WINDOW, len(ids))):
         h[j:] += value[: len(ids) - j] * _ROLL[j]
     marks = np.flatnonzero((wordhash.mix(h) & np.uint64(MEAN - 1)) == 0) + 1
     at = np.searchsorted(marks, offsets)
@@ -130,7 +159,7 @@ def cuts(ids: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
 
 
 def name_of(chunk: bytes) -> bytes:
-    return hashlib.blake2b(chunk, digest_size=16).digest()
+    return hashlib.blake2b(chunk, digest_size=NAME).digest()
 
 
 def merkle(names: list[bytes]) -> bytes:
@@ -147,16 +176,13 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
 
     def run(batches):
         e = encoder(vocabulary)
-        tail = e._pack([end])
         for b in batches:
-            keys, texts = b.column(0), b.column(1).to_pylist()
-            packed, held, start = [], 0, 0
-            for k, t in enumerate(texts):
-                packed.append(e.encode(t or "") + tail)
-                held += len(packed[-1])
-                if held > 4_000_000 or k == len(texts) - 1:
-                    yield _rows(keys.slice(start, len(packed)), packed, e.dtype)
-                    packed, held, start = [], 0, k + 1
+            if b.num_rows:
+                ids, count = e.encode([t or "" for t in b.column(1).to_pylist()])
+                offsets = np.concatenate(([0], np.cumsum(count + 1)))
+                out = np.full(len(ids) + len(count), end, dtype=e.dtype)
+                out[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
+                yield _rows(b.column(0), out, offsets)
 
     chosen = docs.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"cast(`{text}` as string) as text")
     return chosen.mapInArrow(run, "doc_id long, n_tokens long, root binary, chunks array<struct<name: binary, n: int, ids: binary>>")
@@ -165,17 +191,16 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
 _CHUNKS = pa.struct([("name", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
 
 
-def _rows(keys, packed: list[bytes], dtype) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(packed), dtype=dtype)
-    offsets = np.cumsum([0, *[len(p) // dtype.itemsize for p in packed]])
+def _rows(keys, ids: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    raw, width = ids.tobytes(), ids.dtype.itemsize
     names, lengths, parts, roots, per = [], [], [], [], [0]
-    for p, begin, ends in zip(packed, offsets[:-1].tolist(), cuts(ids, offsets), strict=True):
-        at, own = 0, []
+    for begin, ends in zip(offsets[:-1].tolist(), cuts(ids, offsets), strict=True):
+        own = []
         for e in ends:
-            parts.append(p[at : (e - begin) * dtype.itemsize])
-            lengths.append(len(parts[-1]) // dtype.itemsize)
+            parts.append(raw[begin * width : e * width])
+            lengths.append(e - begin)
             own.append(name_of(parts[-1]))
-            at = (e - begin) * dtype.itemsize
+            begin = e
         names += own
         roots.append(merkle(own))
         per.append(len(names))
@@ -198,7 +223,8 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
     rows = spark.read.schema("doc_id long, n_tokens long, root binary, chunks array<struct<name: binary, n: int, ids: binary>>").parquet(staged)
     chunk = rows.select(F.explode("chunks").alias("c")).select("c.name", "c.n", "c.ids")
     chunk.groupBy("name").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    lists = rows.select("doc_id", "n_tokens", "root", F.col("chunks.name").alias("names"))
+    joined = F.aggregate(F.col("chunks.name"), F.lit("").cast("binary"), lambda a, x: F.concat(a, x))
+    lists = rows.select("doc_id", "n_tokens", "root", joined.alias("names"))
     placed = prefix_sums(lists, [], ["doc_id"], "n_tokens", "start")
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
     recipes = spark.read.schema(placed.schema).parquet(f"{path}/recipes")
@@ -224,7 +250,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
 def _shift(n_bytes: int) -> np.ndarray:
     """Four tables of 256: what n_bytes zero bytes do to a crc32 register."""
     base = zlib.crc32(bytes(n_bytes))
-    # crc32 is affine: crc(start, zeros) ^ crc(0, zeros) is linear in start.
+    # crc32 is affine: its change with the starting value is linear.
     bits = [zlib.crc32(bytes(n_bytes), 1 << k) ^ base for k in range(32)]
     out = np.zeros((4, 256), dtype=np.uint32)
     for t in range(4):
@@ -234,10 +260,21 @@ def _shift(n_bytes: int) -> np.ndarray:
     return out
 
 
-def combine(crc: int, other: int, n_bytes: int) -> int:
-    """crc32 of a + b from those of a and b and the length of b."""
-    t = _shift(n_bytes)
-    return int(t[0, crc & 255] ^ t[1, crc >> 8 & 255] ^ t[2, crc >> 16 & 255] ^ t[3, crc >> 24] ^ np.uint32(other))
+def combine(crcs: np.ndarray, lengths: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """crc32 of the joined parts of each document, from its parts' crc32 and
+    lengths in bytes: parts offsets[i]:offsets[i + 1] are document i's."""
+    sizes, which = np.unique(lengths, return_inverse=True)
+    tables = np.stack([_shift(int(n)) for n in sizes]) if len(sizes) else np.zeros((0, 4, 256), dtype=np.uint32)
+    count = np.diff(offsets)
+    out = np.zeros(len(count), dtype=np.uint32)
+    live = np.flatnonzero(count > 0)
+    out[live] = crcs[offsets[:-1][live]]
+    for j in range(1, int(count.max()) if len(count) else 0):
+        live = live[count[live] > j]
+        at = offsets[:-1][live] + j
+        c, k = out[live], which[at]
+        out[live] = tables[k, 0, c & 255] ^ tables[k, 1, c >> 8 & 255] ^ tables[k, 2, c >> 16 & 255] ^ tables[k, 3, c >> 24] ^ crcs[at].astype(np.uint32)
+    return out
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -259,25 +296,38 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc, pa.int64()), pa.array(n, pa.int64())], names=["name", "crc", "n"])
 
     chunks = spark.read.schema("name binary, n int, ids binary").parquet(f"{path}/chunks").select("name", "ids").mapInArrow(check, "name binary, crc long, n long")
-    recipes = spark.read.schema("doc_id long, n_tokens long, root binary, names array<binary>, start long").parquet(f"{path}/recipes")
-    parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("names").alias("at", "name"))
-    found = parts.join(chunks, "name", "left").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.collect_list(F.struct("at", "name", "crc", "n")).alias("parts"))
+    recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
+    parts = _parts(recipes, "start").join(chunks, "name", "left")
+    found = parts.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "crc", "n"))).alias("parts"))
+    found = found.select("start", F.col("parts.crc").alias("crc"), F.col("parts.n").alias("n"))
+    whole = found.join(recipes, "start").select("start", "doc_id", "n_tokens", "root", "names", "crc", "n")
 
     def rebuild(batches):
         for b in batches:
-            start, keys, n_tokens, root, parts = (b.column(k).to_pylist() for k in range(5))
-            out = []
-            for s, n, r, ps in zip(start, n_tokens, root, parts, strict=True):
-                ps.sort(key=lambda p: p["at"])
-                if any(p["n"] is None for p in ps) or sum(p["n"] for p in ps) != n or merkle([p["name"] for p in ps]) != r:
-                    raise ValueError(f"the document at {s} can't be rebuilt")
-                crc = ps[0]["crc"]
-                for p in ps[1:]:
-                    crc = combine(crc, p["crc"], 4 * p["n"])
-                out.append(crc)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), b.column(2), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            crc, n = b.column(5), b.column(6)
+            offsets = crc.offsets.to_numpy().astype(np.int64)
+            offsets -= offsets[0]
+            if crc.flatten().null_count:
+                raise ValueError("a chunk is missing")
+            c, k = crc.flatten().to_numpy(), n.flatten().to_numpy()
+            if len(offsets) > 1 and not np.array_equal(np.add.reduceat(k, offsets[:-1]), b.column(2).to_numpy()):
+                raise ValueError("a document's length isn't that of its chunks")
+            for root, names in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                if merkle([names[x : x + NAME] for x in range(0, len(names), NAME)]) != root:
+                    raise ValueError("a recipe hasn't its root")
+            out = combine(c.astype(np.uint32), 4 * k, offsets)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), b.column(2), pa.array(out.astype(np.int64), pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return whole.mapInArrow(rebuild, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+_RECIPE = "doc_id long, n_tokens long, root binary, names binary, start long"
+
 
-    return found.select("start", "doc_id", "n_tokens", "root", "parts").mapInArrow(rebuild, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def _parts(recipes: DataFrame, *columns: str) -> DataFrame:
+    """A row (columns, at, name) for each chunk of each recipe."""
+    at = F.explode(F.sequence(F.lit(0), (F.length("names") / NAME).cast("int") - 1))
+    return recipes.select(*columns, "names", at.alias("at")).select(*columns, "at", F.substring("names", F.col("at") * NAME + 1, F.lit(NAME)).alias("name"))
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
@@ -285,8 +335,8 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
     width = spark.read.parquet(f"{path}/manifest").first()["width"]
     dtype = np.dtype(f"<u{width}")
     chunks = spark.read.schema("name binary, n int, ids binary").parquet(f"{path}/chunks").select("name", "ids")
-    recipes = spark.read.schema("doc_id long, n_tokens long, root binary, names array<binary>, start long").parquet(f"{path}/recipes")
-    parts = recipes.select("doc_id", "start", F.posexplode("names").alias("at", "name")).join(chunks, "name")
+    recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
+    parts = _parts(recipes, "doc_id", "start").join(chunks, "name")
     whole = parts.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
 
     def join(batches):
