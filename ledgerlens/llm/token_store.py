@@ -36,8 +36,9 @@ VOCABULARY, END = "byte_bpe_50k.json", 2
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
 #: Bytes of a chunk's name.
 NAME = 16
-#: Entries that a worker keeps of pieces it has encoded; a bound on memory only.
-REMEMBERED = 1_200_000
+#: Entries of a generation of pieces that a worker has encoded; the last two
+#: generations are kept. A bound on memory only.
+REMEMBERED = 450_000
 #: Fixed value: the pre-token pattern of the vocabulary file.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _GEAR = wordhash.stream(9, 1 << 17)
@@ -56,7 +57,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.first, self.known, self.merged = {}, {}, {}
+        self.first, self.known, self.older, self.merged = {}, {}, {}, {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return array.array(self.code, ids).tobytes()
@@ -89,9 +90,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many of each). Pieces are cut and made distinct
         by Arrow, so that Python sees each of a batch's pieces once."""
-        for cache in (self.first, self.known, self.merged):
+        for cache in (self.first, self.merged):
             if len(cache) > REMEMBERED:
                 cache.clear()
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         fast = [bool(t) and "<|" not in t and t[0] != " " and SAFE.fullmatch(t) is not None for t in texts]
         lists = pc.split_pattern(pa.array([t for t, f in zip(texts, fast, strict=True) if f], pa.large_string()), " ")
         starts = lists.offsets.to_numpy()
@@ -99,7 +102,14 @@ class Encoder:
         names, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy().astype(np.int64)
         packed = list(map(self.known.get, names))
         new = [k for k, p in enumerate(packed) if p is None]
-        self._learn({names[k] for k in new})
+        if self.older:
+            for k in new:
+                if (p := self.older.get(names[k])) is not None:
+                    self.known[names[k]] = p
+            new_names = {names[k] for k in new}.difference(self.known)
+        else:
+            new_names = {names[k] for k in new}
+        self._learn(new_names)
         for k in new:
             packed[k] = self.known[names[k]]
         # The first piece of a text has no space before it: an entry of its own.
