@@ -3,7 +3,7 @@
 Two zstandard dictionaries are trained, one on pieces of good and one on pieces
 of bad labelled texts. A text is compressed piece by piece with either; the
 difference of the two sizes over the text's size is its only feature, and a
-logistic curve fitted on other labelled rows turns it into a probability.
+monotone curve fitted on other labelled rows turns it into a probability.
 """
 
 from __future__ import annotations
@@ -63,27 +63,42 @@ def train_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:] or b" " * 8
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """(slope, middle, intercept) of a logistic curve, by Newton steps on
-    standardised x with smoothed targets (Platt) and a small ridge."""
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    """(differences, probabilities, slope, middle, intercept): an isotonic curve
+    (pool adjacent violators) and, to order what it leaves level, a logistic one.
+    Weights undo the equal sampling of the classes."""
+    order = np.argsort(x, kind="stable")
+    blocks: list[list[float]] = []  # mean difference, mean label, weight
+    for v, t, w in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        blocks.append([v, float(t), w])
+        while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
+            v2, t2, w2 = blocks.pop()
+            v1, t1, w1 = blocks[-1]
+            blocks[-1] = [(v1 * w1 + v2 * w2) / (w1 + w2), (t1 * w1 + t2 * w2) / (w1 + w2), w1 + w2]
+    at, probability = [b[0] for b in blocks], [b[1] for b in blocks]
     middle, scale = float(x.mean()), float(x.std()) or 1.0
+    weight = weight / weight.mean()
     a = np.column_stack([(x - middle) / scale, np.ones(len(x))])
-    w = np.array([0.0, math.log((n1 + 1) / (n0 + 1))])
+    w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2), a.T @ (target - p) - 1e-6 * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (weight * (y - p)) - 1e-3 * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), middle, float(w[1])
+    return at, probability, float(w[0] / scale), middle, float(w[1])
+
+
+def probability(curve, x: float) -> float:
+    at, level, slope, middle, intercept = curve
+    smooth = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * (x - middle) + intercept))))
+    return 0.98 * float(np.interp(x, at, level)) + 0.02 * smooth
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """(good dictionary, bad dictionary, (slope, middle, intercept)), or a single
-    number, the score of all, where one class has no rows. Labels that are null
-    or neither 0 nor 1, or that contradict each other, are not used."""
+    """(good dictionary, bad dictionary, curve), or a single number, the score of
+    all, where one class has no rows. Labels that are null or neither 0 nor 1, or
+    that contradict each other, are not used."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).where("_q in (0, 1) and _id is not null").groupBy("_id").agg(F.min("_q").alias("_q"), F.max("_q").alias("_q2")).where("_q = _q2 ").where(fold(F.col("_id")) != 0)
     order = F.xxhash64(F.lit("quality"), F.col("_id"))
     chosen = None
@@ -113,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     seen = rows.where("use = 'curve'").select("text", "q").mapInArrow(measure, "x double, q int").toPandas().sort_values(["x", "q"])
     if set(seen.q) != {0, 1}:
         return float(prior)
-    return good, bad, fit_curve(seen.x.to_numpy(), seen.q.to_numpy())
+    total = {r["_q"]: r["n"] for r in known.groupBy("_q").agg(F.count("*").alias("n")).collect()}  # two rows
+    q = seen.q.to_numpy()
+    return good, bad, fit_curve(seen.x.to_numpy(), q, np.array([total[0], total[1]])[q] / np.bincount(q)[q])
 
 
 def score(docs: DataFrame, model, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
@@ -134,8 +151,8 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD, keep: list[str]
             if isinstance(model, float):
                 s = [model] * b.num_rows
             else:
-                good, bad, (slope, middle, intercept) = model
-                s = [1 / (1 + math.exp(-max(-30.0, min(30.0, slope * (difference(t, good, bad) - middle) + intercept)))) for t in b.column(at).to_pylist()]
+                good, bad, curve = model
+                s = [probability(curve, difference(t, good, bad)) for t in b.column(at).to_pylist()]
             left = [b.column(k) for k in range(b.num_columns) if keep or k != at]
             yield pa.RecordBatch.from_arrays([*left, pa.array(s, pa.float64())], names=[*[n for k, n in enumerate(b.schema.names) if keep or k != at], "_score"])
 
