@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -48,20 +48,65 @@ def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def resolve(docs: DataFrame, companies: DataFrame, least: float = LEAST, k: int = BEST) -> DataFrame:
-    """Candidates (doc_id, company_id, score) from docs (doc_id, file, head) and
-    companies (company_id, name, website). Blocked: a pair is scored only if
-    they share a name token, or a domain."""
-    d = docs.select("doc_id", "file", "head", X.file_tokens(F.col("file")).alias("ft"), X.domains(F.col("head")).alias("dom"))
-    c = companies.select("company_id", "name", X.name_tokens(F.col("name")).alias("nt"), X.host(F.col("website")).alias("host"))
-    words = F.filter(F.split(F.lower("head"), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)
-    dk = d.select("doc_id", F.explode(F.array_distinct(F.concat("ft", words, "dom"))).alias("key"))
-    ck = c.select("company_id", F.explode(F.array_distinct(F.concat("nt", F.array_compact(F.array("host"))))).alias("key"))
-    pairs = dk.join(ck, "key").select("doc_id", "company_id").distinct()
-    j = pairs.join(d, "doc_id").join(c, "company_id")
-    name = F.when(X.whole_word(X.strip_suffixes(F.col("name")), F.col("head")), NAME).otherwise(0.0)
-    domain = F.when(F.array_contains("dom", F.col("host")), DOMAIN).otherwise(0.0)
+def _by_length(words: Column) -> Column:
+    """Longest first: long words are rare ones."""
+    return F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a > b, -1).when(a < b, 1).otherwise(0))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _key(kind: str, words: Column) -> Column:
+    return F.transform(words, lambda w: F.concat(F.lit(kind), w))
+
+
+def resolve(docs: DataFrame, companies: DataFrame, aliases: DataFrame | None = None, least: float = LEAST, k: int = BEST, fuzzy: bool = True) -> DataFrame:
+    """Candidates (doc_id, company_id, score) from docs (doc_id, file, head),
+    companies (company_id, name, website) and aliases (company_id, alias,
+    alias_type; those of type `domain` are domains, all others names).
+
+    An alias or the name without suffixes counts as a whole word of the file name
+    or the head, a domain in the head; fuzzy: the token set ratio of head and name.
+    Blocking loses nothing: a pair without alias, name or domain can reach `least`
+    only by enough of the name's tokens in the file name, so it shares one of the
+    first few; if `least` is within what fuzzy alone gives, all pairs are scored.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    d = docs.select("doc_id", text("file").alias("file"), text("head").alias("head"))
+    d = d.withColumns({"ft": X.file_tokens(F.col("file")), "dom": X.domains(F.col("head"))})
+    c = companies.select("company_id", F.trim(text("name")).alias("name"), X.host(F.col("website")).alias("host"))
+    c = c.withColumns({"nt": X.name_tokens(F.col("name")), "short": X.strip_suffixes(F.col("name"))})
+    if aliases is not None:
+        a = aliases.select("company_id", F.lower(F.trim("alias")).alias("alias"), F.col("alias_type").eqNullSafe("domain").alias("is_domain")).where("alias <> ''")
+        of = lambda kind: F.array_sort(F.collect_set(F.when(kind, F.col("alias"))))
+        c = c.join(a.groupBy("company_id").agg(of(~F.col("is_domain")).alias("aliases"), of(F.col("is_domain")).alias("domains")), "company_id", "left")
+    else:
+        c = c.withColumns({"aliases": F.lit(None).cast("array<string>"), "domains": F.lit(None).cast("array<string>")})
+    none = F.array().cast("array<string>")
+    c = c.withColumns({"aliases": F.coalesce("aliases", none), "domains": F.concat(F.coalesce("domains", none), F.array_compact(F.array("host")))})
+
+    top = FUZZY if fuzzy else 0.0
+    if least <= top:
+        j = d.crossJoin(c)
+    else:
+        # Of n tokens so many must be in the file name where no other exact signal is; then one of the first is.
+        share, n = (least - top) / FILE, F.size("nt")
+        hits = F.greatest(F.lit(1), F.ceil(share * n - 1e-9)).cast("int")
+        first = F.when((n > 0) & (hits <= n), F.slice(_by_length(F.col("nt")), F.lit(1), F.greatest(n - hits + 1, F.lit(1)))).otherwise(none)
+        phrases = F.flatten(F.transform(F.concat(F.array("short"), "aliases"), lambda p: F.slice(_by_length(_words(p)), 1, 1)))
+        dk = d.select("doc_id", F.explode(F.array_distinct(F.concat(_key("f", F.col("ft")), _key("w", F.concat(_words(F.col("file")), _words(F.col("head")))), _key("d", F.col("dom"))))).alias("key"))
+        ck = c.select("company_id", F.explode(F.array_distinct(F.concat(_key("f", first), _key("w", phrases), _key("d", F.col("domains"))))).alias("key"))
+        pairs = dk.join(ck, "key").select("doc_id", "company_id").distinct()
+        j = pairs.join(d, "doc_id").join(c, "company_id")
+    said = lambda x: X.whole_word(x, F.col("file")) | X.whole_word(x, F.col("head"))
+    alias = F.when(F.exists("aliases", said), ALIAS).otherwise(0.0)
+    name = F.when(said(F.col("short")), NAME).otherwise(0.0)
+    domain = F.when(F.arrays_overlap("dom", "domains"), DOMAIN).otherwise(0.0)
     file = FILE * X.token_overlap(F.col("nt"), F.col("ft"))
-    scored = j.select("doc_id", "company_id", (name + F.coalesce(domain, F.lit(0.0)) + file).alias("raw")).where(F.col("raw") >= least)
+    scored = j.select("doc_id", "company_id", "head", "short", (alias + name + domain + file).alias("raw")).where(F.col("raw") + top >= least)
+    if fuzzy:
+        ratio = token_set_ratio_udf(F.col("head"), F.col("short"))
+        scored = scored.withColumn("ratio", ratio).withColumn("raw", F.col("raw") + F.when(F.col("ratio") >= RATIO, FUZZY * (F.col("ratio") / 100.0)).otherwise(0.0)).where(F.col("raw") >= least)
     best = scored.select("doc_id", "company_id", F.round(F.least(F.lit(1.0), "raw"), 4).alias("score"))
     return top_k(best, ["doc_id"], [F.desc("score"), F.asc("company_id")], k)

@@ -275,10 +275,10 @@ def ext_source_verify(spark, sf):
 # Entities -----------------------------------------------------------------
 
 
-def _entity(spark, sf):
+def _entity(spark, sf, aliases=None, fuzzy=False):  # the SQL below has neither
     s = base(spark, sf, NAMES)
     docs = s.select(F.col("id").alias("doc_id"), "file", F.concat(F.lit("About "), X.strip_suffixes(F.col("name")), F.lit(" on "), F.coalesce(X.host(F.col("website")), F.lit("paper"))).alias("head"))
-    return E.resolve(docs, s.select(F.col("id").alias("company_id"), "name", "website"))
+    return E.resolve(docs, s.select(F.col("id").alias("company_id"), "name", "website"), aliases, fuzzy=fuzzy)
 
 
 ENTITY = f"SELECT id AS doc_id, id AS company_id, round(least(1.0, 0.5 + 0.25 + CASE WHEN website IS NULL THEN 0.0 ELSE 0.3 END), 4)::DOUBLE AS score FROM ({NAMES.replace('{', '').replace('}', '')})"
@@ -294,6 +294,15 @@ def jn_cross_entity(spark, sf):
     return _entity(spark, sf).select("doc_id", "company_id", (F.col("score") >= E.ACCEPT).alias("accept"))
 
 
+@query()
+def agg_signal_all(spark, sf):
+    """All five signals; aliases are the full names and a domain of each company."""
+    s = base(spark, sf, NAMES)
+    names = s.select(F.col("id").alias("company_id"), F.col("name").alias("alias"), F.lit("legal_name").alias("alias_type"))
+    hosts = s.select("id", F.concat(F.lit("firm"), "id", F.lit(".io")), F.lit("domain"))
+    return _entity(spark, sf, names.union(hosts), fuzzy=True)
+
+
 @query(None, NAMES)
 def exp_token_set_ratio(b):
     return b.select("id", E.token_set_ratio_udf(F.col("name"), F.concat(F.lit("the "), F.lower("name"))).alias("ratio"))
