@@ -2,10 +2,11 @@
 
 A page is cut into blocks of text (lines). Pages are put in the order of their
 URL paths within each host; a page's lines are aligned with those of its nearest
-neighbours by longest common subsequence, and shared lines are deleted. Two
-guards keep articles whole: a neighbour with nearly the same lines is a copy of
-the page, no template, and is passed over; and where a page marks its article
-itself, the mark decides and shared passages inside it stay.
+neighbours by longest common subsequence, and shared lines are deleted. Pages of
+equal lines count as one, so that a page's neighbours are others. Two guards keep
+articles whole: a neighbour is a copy of the page, no template, where the lines that
+differ hold little of the text on either side, and is passed over; and where a page
+marks its article itself, the mark decides and shared passages inside it stay.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, prefix_sums, saved, table
 
-#: Neighbours looked at on either side; share of equal lines above which one is a copy; pages dealt out together.
-NEIGHBOURS, COPY, TOGETHER = 2, 0.6, 64
+#: Neighbours looked at on either side; share of equal lines, and of their words, up to which one neighbour is
+#: enough for a template; share of the words in other lines from which two are; pages dealt out together.
+NEIGHBOURS, COPY, DIFFER, TOGETHER = 2, 0.6, 0.2, 64
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)/?>|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)[^<>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -175,13 +177,29 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared(page: list[int], around: list[list[int]]) -> set[int]:
-    """Positions of the lines that a neighbour that is no copy also has."""
+def _other(page: tuple[list[int], list[int]], other: tuple[list[int], list[int]]) -> tuple[list[int], float, bool]:
+    """(positions of the lines that other has too, share of the words in the lines
+    that differ, whether other is surely no copy); pages are (lines, words of each)."""
+    same, back = common(page[0], other[0]), common(other[0], page[0])
+    rest = min(1 - sum(w[k] for k in at) / max(1, sum(w)) for (_, w), at in ((page, same), (other, back)))
+    return same, rest, len(same) <= COPY * max(len(page[0]), len(other[0])) or rest >= 1 - COPY
+
+
+def shared(page: tuple[list[int], list[int]], around: list[tuple[list[int], list[int]]]) -> set[int]:
+    """Positions of the lines that a neighbour that is no copy also has, or two that
+    are none of each other where their own lines are a smaller part of the text."""
     gone: set[int] = set()
+    found = []
     for other in around:
-        same = common(page, other)
-        if len(same) <= COPY * max(len(page), len(other)):
+        same, rest, sure = _other(page, other)
+        if sure:
             gone.update(same)
+        if sure or rest >= DIFFER:
+            found.append((other, set(same)))
+    for k, (one, a) in enumerate(found):
+        for two, b in found[k + 1 :]:
+            if not (a & b) <= gone and _other(one, two)[1] >= DIFFER:
+                gone |= a & b
     return gone
 
 
@@ -215,7 +233,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     def measure(batches):
         for b in batches:
-            hosts, paths, marked, hashes = [], [], [], []
+            hosts, paths, marked, hashes, counts = [], [], [], [], []
             for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 host, path = place(u)
                 zone, texts = main_lines(h)
@@ -223,26 +241,34 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                 paths.append(path)
                 marked.append(zone > 0)
                 hashes.append([_hash(t) for t in texts])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hosts), pa.array(paths), pa.array(marked, pa.bool_()), pa.array(hashes, pa.list_(pa.int64())), pa.array([1] * b.num_rows, pa.int64())], names=["_key", "host", "path", "marked", "lines", "one"])
-
-    measured = rows.select("_key", "url", "html").mapInArrow(measure, "_key long, host string, path string, marked boolean, lines array<long>, one long")
-    placed = prefix_sums(measured, [], ["host", "path", "_key"], "one", "place").drop("one", "path")
+                counts.append([len(t.split()) for t in texts])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hosts), pa.array(paths), pa.array(marked, pa.bool_()), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["_key", "host", "path", "marked", "lines", "words"])
+
+    measured = rows.select("_key", "url", "html").mapInArrow(measure, "_key long, host string, path string, marked boolean, lines array<long>, words array<int>")
+    measured = saved(measured.withColumn("content", F.xxhash64("host", "lines")), "measured")
+    first = F.min(F.struct("path", "_key")).alias("at")
+    contents = measured.groupBy("content", "host").agg(first, F.bool_and("marked").alias("marked"), F.first("lines").alias("lines"), F.first("words").alias("words"))
+    contents = contents.select("content", "host", F.col("at.path").alias("path"), "marked", "lines", "words", F.lit(1).cast("long").alias("one"))
+    placed = prefix_sums(contents, [], ["host", "path", "content"], "one", "place").drop("one", "path")
     home = F.expr(f"place div {TOGETHER}")
     around = F.array_distinct(F.array(home, F.expr(f"greatest(place - {NEIGHBOURS}, 0) div {TOGETHER}"), F.expr(f"(place + {NEIGHBOURS}) div {TOGETHER}")))
     dealt = placed.withColumn("home", home).withColumn("group", F.explode(around))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place").reset_index(drop=True)
-        keys, gone = [], []
+        contents, gone = [], []
+        pages = list(zip(map(list, pdf["lines"]), map(list, pdf["words"]), strict=True))
         for k in np.flatnonzero((pdf["home"] == pdf["group"]) & ~pdf["marked"]):
-            near = [j for j in range(max(0, k - NEIGHBOURS), min(len(pdf), k + NEIGHBOURS + 1)) if j != k and pdf["host"][j] == pdf["host"][k] and pdf["_key"][j] != pdf["_key"][k]]
-            at = shared(list(pdf["lines"][k]), [list(pdf["lines"][j]) for j in near])
+            near = [j for j in range(max(0, k - NEIGHBOURS), min(len(pdf), k + NEIGHBOURS + 1)) if j != k and pdf["host"][j] == pdf["host"][k]]
+            at = shared(pages[k], [pages[j] for j in near])
             if at:
-                keys.append(pdf["_key"][k])
+                contents.append(pdf["content"][k])
                 gone.append(sorted(at))
-        return pd.DataFrame({"_key": pd.Series(keys, dtype="int64"), "gone": pd.Series(gone, dtype=object)})
+        return pd.DataFrame({"content": pd.Series(contents, dtype="int64"), "gone": pd.Series(gone, dtype=object)})
 
-    deleted = saved(dealt.groupBy("group").applyInPandas(compare, "_key long, gone array<int>").groupBy("_key").agg(F.min("gone").alias("gone")), "deleted")
+    shares = dealt.groupBy("group").applyInPandas(compare, "content long, gone array<int>")
+    unmarked = measured.where("not marked").select("_key", "content").distinct()
+    deleted = saved(unmarked.join(shares, "content").groupBy("_key").agg(F.min("gone").alias("gone")), "deleted")
     joined = rows.join(maybe_broadcast(deleted, 200_000), "_key", "left").select("page_id", "url", "html", "gone")
 
     def extract(batches):

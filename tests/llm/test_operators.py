@@ -306,6 +306,25 @@ def test_html(spark):
     assert html_text.main_text(df).count() == len(rows) and html_text.main_text(df.where("false")).count() == 0
 
 
+def test_html_unmarked_templates(spark):
+    """Template lines go where they are most lines, and amid copies; edited copies stay whole."""
+    menu = [f"Menu item {k}" for k in range(10)]
+    body = lambda n: [prose(n * 10 + j, 12) + f" p{n}" for j in range(3)]
+    html = lambda x: "".join(f"<div>{t}</div>" for t in x)
+    rows = [(k, f"http://t.org/{k}", html(menu + body(k))) for k in range(4)]
+    rows += [(10 + k, f"http://u.org/{k}", html(menu[:4] + body(50 if 3 <= k < 11 else k))) for k in range(14)]
+    rows += [(90 + k, f"http://v.org/{k}", html(menu[:4] + body(70) + [f"{k} views so far"])) for k in range(3)]
+    notice = [prose(900 + k, 12) for k in range(10)]
+    rows += [(120 + k, f"http://w.org/{k}", html(notice + body(k))) for k in range(4)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(4):
+        assert got[k] == got[120 + k] == "\n".join(body(k))
+    for k in range(14):
+        assert got[10 + k] == "\n".join(body(50 if 3 <= k < 11 else k)), k
+    for k in range(3):
+        assert got[90 + k] == "\n".join(menu[:4] + body(70) + [f"{k} views so far"])
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(1)
     base = r.standard_normal((40, 16))
