@@ -12,6 +12,7 @@ with a third of all vectors is many tasks.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -91,22 +92,20 @@ def _unit(column) -> np.ndarray:
 def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of vectors.
 
-    Null, empty and zero vectors, those with null or non-finite components and
-    those whose length isn't the commonest one (the longer of two as common) link
-    with nothing. Equal vectors link with each other. Rows that repeat an id are
+    Null, empty and zero vectors and those with null or non-finite components link
+    with nothing. Vectors of each length that occurs are searched by themselves,
+    lengths of few vectors by all pairs. Equal vectors link with each other. Rows that repeat an id are
     vectors of their own, with links to each other. A null id is never a
     component's smallest id unless all are null. Other columns are ignored; an
     empty table gives no rows.
     """
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
-    length = rows.where("size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    dim = length["n"] if length else 0
 
     def prepare(batches):
         for b in batches:
             cid, raw = [], []
             for v in b.column(1).to_pylist():
-                good = v is not None and len(v) == dim and dim > 0 and None not in v
+                good = v is not None and len(v) > 0 and None not in v
                 x = np.array(v, dtype=np.float64) if good else None
                 if good and np.isfinite(x).all() and 0 < (x * x).sum() < np.inf:
                     raw.append(x.tobytes())
@@ -118,9 +117,14 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
 
     prepared = rows.mapInArrow(prepare, "vec_id long, cid long, raw binary")
     classes = saved(prepared.where("cid is not null").groupBy("cid").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"), F.first("raw").alias("raw")), "vectors")
-    n = classes.count()
-    if n:
-        counts, edges = _search(classes, n, dim, cosine, probes)
+    classes = classes.withColumn("dim", F.expr("octet_length(raw) div 8"))
+    lengths = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length
+    if lengths:
+        few = [d for d, n in lengths.items() if n <= RESIDENTS and n * d <= SAMPLE_VALUES and n < max(lengths.values())]
+        found = [_search(classes.where(F.col("dim") == d).drop("dim"), n, d, cosine, probes) for d, n in lengths.items() if d not in few]
+        if few:
+            found.append(_pairs(classes.where(F.col("dim").isin(few)), cosine))
+        counts, edges = (functools.reduce(DataFrame.unionByName, x) for x in zip(*found, strict=True))
         labels = components(edges)
         named = classes.select("cid", "w", "least").join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left").join(counts, "cid", "left")
         named = saved(named.withColumn("component", F.coalesce("component", "cid")), "named")
@@ -134,6 +138,27 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
+def _pairs(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """As _search, by all pairs of each length."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, cid, w = _unit(pdf["raw"]), pdf["cid"].to_numpy(), pdf["w"].to_numpy()
+        near = x @ x.T >= cosine
+        np.fill_diagonal(near, False)
+        n = near @ w
+        ends = _forest(*(cid[k] for k in np.nonzero(np.triu(near))))
+        links = pd.DataFrame({"a": cid[n > 0], "b": None, "n": n[n > 0]})
+        return pd.concat([links, pd.DataFrame(ends, columns=["a", "b"]).assign(n=0)]) if ends else links
+
+    return _split(classes.select("dim", "cid", "w", "raw").groupBy("dim").applyInPandas(compare, "a long, b long, n long"))
+
+
+def _split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    found = saved(found, "found")
+    counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
+    return counts, found.where("b is not null").select("a", "b")
+
+
 def _search(classes: DataFrame, n: int, dim: int, cosine: float, probes: int) -> tuple[DataFrame, DataFrame]:
     """(cid, links) and forest edges (a, b)."""
     spark = classes.sparkSession
@@ -194,9 +219,7 @@ def _search(classes: DataFrame, n: int, dim: int, cosine: float, probes: int) ->
         out = out[out.n > 0].assign(b=None)
         return pd.concat([out, pd.DataFrame(ends, columns=["a", "b"]).assign(n=0)])[["a", "b", "n"]] if ends else out[["a", "b", "n"]]
 
-    found = saved(residents.unionByName(visitors).groupBy("list", "rb", "vb").applyInPandas(compare, "a long, b long, n long"), "found")
-    counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
-    return counts, found.where("b is not null").select("a", "b")
+    return _split(residents.unionByName(visitors).groupBy("list", "rb", "vb").applyInPandas(compare, "a long, b long, n long"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

@@ -362,6 +362,27 @@ def test_embeddings_recall(spark):
     assert 0.9 * want <= got <= want
 
 
+@pytest.mark.parametrize("rare", [30, 1500])
+def test_embeddings_of_several_lengths(spark, rare):
+    r = np.random.default_rng(3)
+    short, long = r.standard_normal((rare, 8)), r.standard_normal((1600, 12))
+    rows = [*long, *(long[:20] * 2), *short, *(short[:9] + 1e-3), short[0] * 3, short[1], np.ones(3), np.ones(3)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {g.vec_id: g for g in embed_dedup.near_vectors(df).collect()}
+    assert len(got) == len(rows)
+    for n in (3, 8, 12):
+        at = [k for k, v in enumerate(rows) if len(v) == n]
+        x = np.array([rows[k] for k in at])
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        near = u @ u.T >= 0.9
+        if len(at) < 1000:
+            assert [got[k].n_links for k in at] == (near.sum(axis=1) - 1).tolist()
+            assert [got[k].kept for k in at] == [got[k].component_id == k for k in at]
+            assert all(got[at[i]].component_id == got[at[j]].component_id for i, j in zip(*np.nonzero(near), strict=True))
+        else:
+            assert 0.9 * (near.sum() - len(at)) <= sum(got[k].n_links for k in at) <= near.sum() - len(at)
+
+
 def test_html_marks():
     text = lambda h: "\n".join(html_text.main_lines(h)[1])
     assert text("<div class='page has-sidebar'><div class='layout-sidebar-right'><p>a</div><div class=sidebar-left><p>b</div>") == "a"
