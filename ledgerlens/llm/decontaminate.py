@@ -12,6 +12,8 @@
 4. What is found is checked on the words: a longest common subsequence with most
    of the item's words, or, for paraphrases, with 3 in 5 of them, the rarer words
    covered, and the answer (the item's last sentence, or its last words) there too.
+5. Besides, RUN words in a row of an item are looked up exactly, so that a long
+   excerpt counts however little of the item it is.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ COSINE, COVER = 0.25, 0.4
 VERBATIM, PARAPHRASE, WEIGHT, ANSWER = 0.8, 0.6, 0.5, 0.5
 #: Items with fewer words must be there word for word, and are not searched below LEAST.
 SHORT, LEAST = 8, 4
+#: Words in a row of an item that are enough alone.
+RUN = 13
 
 
 def words_of(texts: list[str | None]):
@@ -61,6 +65,15 @@ def lcs(item: dict[int, int], length: int, words: list[int]) -> int:
     return length - v.bit_count()
 
 
+def _grams(words: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the RUN words from each place, or from the given ones, on."""
+    begins = np.arange(len(words) - RUN + 1) if begins is None else begins
+    out = np.zeros(len(begins), dtype=np.uint64)
+    for j in range(RUN if len(begins) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[begins + j].astype(np.uint64) + np.uint64(1)
+    return out
+
+
 class Benchmark:
     """Items of one block, their vocabulary and, later, weights and latent space."""
 
@@ -85,6 +98,11 @@ class Benchmark:
                 at[w] = at.get(w, 0) | 1 << k
             self.places.append(at)
         self.answers = [set(np.searchsorted(self.vocabulary, np.array(sorted(a), dtype=np.uint64)).tolist()) for a in self.answers]
+        grams = [(int(h), k, j) for k, words in enumerate(self.numbers) for j, h in enumerate(_grams(words).tolist())]
+        self.grams: dict[int, list[tuple[int, int]]] = {}
+        for h, k, j in grams:
+            self.grams.setdefault(h, []).append((k, j))
+        self.gram_hashes = np.array(sorted(self.grams), dtype=np.uint64)
         #: Segments of a window that holds an item wherever it begins.
         self.spans = np.array([-(-len(w) // SEGMENT) + 1 for w in self.words])
 
@@ -275,6 +293,19 @@ def _check(b: Benchmark, k: int, at: np.ndarray, word: np.ndarray) -> tuple[floa
     return (ratio, answer) if ratio >= PARAPHRASE and covered and answer else None
 
 
+def runs(b: Benchmark, x: Batch):
+    """Yields (document, item, place) where RUN words in a row of an item begin."""
+    n = max(0, len(x.at) - RUN + 1)
+    last = slice(RUN - 1, RUN - 1 + n)
+    begins = np.flatnonzero((x.at[last] - x.at[:n] == RUN - 1) & (x.doc[last] == x.doc[:n]))
+    hashes = _grams(x.word, begins)
+    for i in np.flatnonzero(np.isin(hashes, b.gram_hashes)).tolist():
+        begin = int(begins[i])
+        for k, j in b.grams[int(hashes[i])]:
+            if np.array_equal(x.word[begin : begin + RUN], b.numbers[k][j : j + RUN]):
+                yield int(x.doc[begin]), k, int(x.at[begin])
+
+
 def search(found: DataFrame, block) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer) from hits."""
 
@@ -297,6 +328,18 @@ def search(found: DataFrame, block) -> DataFrame:
                 got = _check(b, k, at[around], word[around])
                 if got and got[0] > best.get((d, k), (0, 0.0))[1]:
                     best[d, k] = (cosine, *got)
+            for d, k, place in runs(b, x):
+                if (d, k) in best:
+                    continue
+                own = slice(x.begins[d], x.begins[d] + x.sizes[d])
+                at, word, n = x.at[own], x.word[own], len(b.words[k])
+                words = word[slice(*np.searchsorted(at, [place - n, place + n]))]
+                used, counts = np.unique(words, return_counts=True)
+                weighed = counts * b.idf[used]
+                latent = weighed @ b.basis[used]
+                cosine = min(1.0, float(weighed @ b.items[k, used]) / max(1e-12, float(np.sqrt(latent @ latent))))
+                answer = len(b.answers[k] & set(words.tolist())) >= ANSWER * len(b.answers[k])
+                best[d, k] = (cosine, lcs(b.places[k], n, words.tolist()) / n, answer)
             rows = [(keys[d], b.ids[k], *v) for (d, k), v in sorted(best.items())]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
@@ -306,7 +349,7 @@ def search(found: DataFrame, block) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): each document with each benchmark
-    item that it holds, word for word or as a paraphrase.
+    item that it holds, word for word, as a paraphrase or by RUN words in a row.
 
     Null and empty texts hold nothing; items of fewer than LEAST words (null and
     empty ones too) are not searched; items that repeat are found under each id.

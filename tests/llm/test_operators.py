@@ -205,6 +205,20 @@ def test_decontamination(spark, docs, nothing):
     decontaminate.contaminated(docs, bench).collect()
 
 
+def test_decontamination_excerpts(spark):
+    """13 words in a row are found however long the item is; 12 are not."""
+    items = [(k, prose(3000 + k, 59)) for k in range(6)] + [(6, whole := prose(3100, 13))]
+    rows = []
+    for k in range(6):
+        w, own = prose(k, 300).split(), items[k][1].split()
+        w[150:150] = own[:30] if k < 2 else own[20:33] if k < 4 else own[20:32]
+        rows.append((k, " ".join(w).upper()))
+    rows += [(7, whole), (8, prose(8, 300)), (9, " ".join(items[0][1].split()[:7])), (10, " ".join(items[0][1].split()[7:13]))]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), items=4).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(0, 0), (1, 1), (2, 2), (3, 3), (7, 6)]
+    assert all(0 < x.lcs <= 1 and 0 <= x.cosine <= 1 for x in got)
+
+
 def test_topics_are_singular_vectors(spark):
     rows = [(k, prose(k % 5, 64)) for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
