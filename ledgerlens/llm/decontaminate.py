@@ -1,19 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-0. Texts are read once: what is kept of each is where it has which words of the
-   benchmark, since no other word counts in any product or subsequence below.
-1. Frequencies of these words over all passages give TF-IDF weights.
-2. A randomised SVD of the TF-IDF passages: every task multiplies its passages
+0. Texts are read once; the hashes of their words are kept.
+1. Frequencies of all words (hashed to SLOTS) over all passages of the corpus give
+   TF-IDF weights. They don't depend on the benchmark.
+2. A randomised SVD of all TF-IDF passages: every task multiplies its passages
    with one random matrix, the sums of all tasks give the leading singular
-   vectors (Nystrom form, so one pass is enough). Latent space: their span and
-   that of the benchmark's items, which rank-limited topics alone would lose.
-3. Each item is searched among the windows of all documents, of its own length or
-   so, by latent cosine.
-4. What is found is checked on the words: a longest common subsequence with most
-   of the item's words, or, for paraphrases, with 3 in 5 of them, the rarer words
-   covered, and the answer (the item's last sentence, or its last words) there too.
-5. Besides, RUN words in a row of an item are looked up exactly, so that a long
-   excerpt counts however little of the item it is.
+   vectors (Nystrom form, so one pass is enough).
+3. Items are cut into pieces, documents into windows, overlapping by halves. Both
+   are folded into the latent space (each direction by its singular value), and a
+   window is a candidate for the pieces that are near enough by cosine. Nothing is
+   looked up in another way.
+4. Candidates are checked on the words: a longest common subsequence with most of
+   the item's words; for paraphrases with 3 in 5 of them, the rarer words covered,
+   and the answer (the item's last sentence, or its last words) there too; for
+   paraphrases in other words with 2 in 5, the answer, and a latent cosine of the
+   whole item; or RUN words in a row of an item, however little of it they are.
 """
 
 from __future__ import annotations
@@ -30,20 +31,22 @@ from pyspark.sql import types as T
 from . import wordhash
 from .common import saved, table
 
-#: Words of a segment; segments of a passage of the SVD.
-SEGMENT, PASSAGE = 16, 4
-#: Singular vectors kept, random ones more, items searched in one pass.
-RANK, OVER, ITEMS = 32, 8, 256
-#: A word in more than this share of segments weighs nothing.
-COMMON = 0.01
-#: Least latent cosine and covered share of an item's weight for a candidate.
-COSINE, COVER = 0.25, 0.4
-#: LCS over the item's words: enough alone; enough with the rest of the checks.
-VERBATIM, PARAPHRASE, WEIGHT, ANSWER = 0.8, 0.6, 0.5, 0.5
-#: Items with fewer words must be there word for word, and are not searched below LEAST.
-SHORT, LEAST = 8, 4
+#: Words of a passage of the SVD; hashed vocabulary; singular vectors kept, random ones more.
+PASSAGE, SLOTS, RANK, OVER = 64, 1 << 13, 64, 8
+#: Words of half a window (or piece of an item).
+HALF = 8
+#: Least latent cosine of a window and a piece, and share of the piece's weight in common, for a candidate.
+COSINE, COVER = 0.45, 0.25
+#: LCS over the item's words: enough alone; enough with the rest of the checks; enough with the item's cosine.
+VERBATIM, PARAPHRASE, WEIGHT, ANSWER, OTHER, ALIKE = 0.8, 0.6, 0.5, 0.5, 0.4, 0.75
+#: Items with fewer words must be there word for word; below ALONE they must be all words of the document.
+SHORT, ALONE = 8, 4
 #: Words in a row of an item that are enough alone.
 RUN = 13
+#: Items, and words of items, that are searched in one pass (a bound on memory; results don't depend on it).
+ITEMS, ITEM_WORDS = 20_000, 2_000_000
+#: Sums of matrices added up by one task.
+FAN = 64
 
 
 def words_of(texts: list[str | None]):
@@ -53,6 +56,26 @@ def words_of(texts: list[str | None]):
     return wordhash.word_lists(raw, wordhash.NOT_WORD)
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """32 bits of each hash; 0 and 1 are no word."""
+    return (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(2)
+
+
+def _slot(words: np.ndarray) -> np.ndarray:
+    return ((words >> np.uint32(5)) % np.uint32(SLOTS)).astype(np.uint16)
+
+
+def _padded(words: np.ndarray, offsets: np.ndarray, width: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of `width` words, first row of each document and the end): documents
+    words[offsets[i]:offsets[i + 1]], their last rows filled up with `pad`."""
+    count = np.diff(offsets)
+    rows = -(-count // width)
+    first = np.concatenate(([0], np.cumsum(rows)))
+    out = np.full(int(first[-1]) * width, pad, dtype=words.dtype)
+    out[np.arange(len(words)) + np.repeat(first[:-1] * width - offsets[:-1], count)] = words
+    return out.reshape(-1, width), first
+
+
 def lcs(item: dict[int, int], length: int, words: list[int]) -> int:
     """Length of the longest common subsequence (bit-parallel, Hyyro); item maps
     a word to the bit set of its places."""
@@ -65,245 +88,259 @@ def lcs(item: dict[int, int], length: int, words: list[int]) -> int:
     return length - v.bit_count()
 
 
-def _grams(words: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the RUN words from each place, or from the given ones, on."""
-    begins = np.arange(len(words) - RUN + 1) if begins is None else begins
-    out = np.zeros(len(begins), dtype=np.uint64)
-    for j in range(RUN if len(begins) else 0):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + words[begins + j].astype(np.uint64) + np.uint64(1)
-    return out
+def in_a_row(a: np.ndarray, b: np.ndarray, n: int = RUN) -> bool:
+    """Whether a and b share n words in a row."""
+    if len(a) < n or len(b) < n:
+        return False
+    eq = a[:, None] == b[None, :]
+    got, done = eq, 1
+    while done < n:
+        step = min(done, n - done)
+        got = got[: len(got) - step, : got.shape[1] - step] & got[step:, step:]
+        done += step
+    return bool(got.any())
 
 
 class Benchmark:
-    """Items of one block, their vocabulary and, later, weights and latent space."""
+    """Items with words, the hashed vocabulary and, later, weights and latent space."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None]):
-        self.ids, self.words, self.answers = [], [], []
+        self.vocabulary = np.arange(SLOTS)
+        self.ids, self.words, self.answers, self.places = [], [], [], []
+        one = lambda text: next((_short(h) for _, h, _ in words_of([text])), np.zeros(0, dtype=np.uint32))
         for i, text in zip(ids, texts, strict=True):
-            words = next((h for _, h, _ in words_of([text])), np.zeros(0, dtype=np.uint64))
-            if len(words) >= LEAST:
+            words = one(text)
+            if len(words):
                 sentences = [s for s in re.split(r"(?<=[.!?])\s+", (text or "").strip()) if s]
-                last = next((h for _, h, _ in words_of([sentences[-1]])), words[-5:]) if len(sentences) > 1 else words[-5:]
+                last = one(sentences[-1]) if len(sentences) > 1 else words[-5:]
+                at: dict[int, int] = {}
+                for k, w in enumerate(words.tolist()):
+                    at[w] = at.get(w, 0) | 1 << k
                 self.ids.append(i)
                 self.words.append(words)
+                self.places.append(at)
                 self.answers.append(set((last if len(last) >= 3 else words[-5:]).tolist()))
-        self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, dtype=np.uint64)
-        self.slots = np.zeros(1 << 20, dtype=bool)
-        self.slots[self.vocabulary & np.uint64((1 << 20) - 1)] = True
-        self.numbers = [np.searchsorted(self.vocabulary, words) for words in self.words]
-        self.places = []
-        for words in self.numbers:
-            at: dict[int, int] = {}
-            for k, w in enumerate(words.tolist()):
-                at[w] = at.get(w, 0) | 1 << k
-            self.places.append(at)
-        self.answers = [set(np.searchsorted(self.vocabulary, np.array(sorted(a), dtype=np.uint64)).tolist()) for a in self.answers]
-        grams = [(int(h), k, j) for k, words in enumerate(self.numbers) for j, h in enumerate(_grams(words).tolist())]
-        self.grams: dict[int, list[tuple[int, int]]] = {}
-        for h, k, j in grams:
-            self.grams.setdefault(h, []).append((k, j))
-        self.gram_hashes = np.array(sorted(self.grams), dtype=np.uint64)
-        #: Segments of a window that holds an item wherever it begins.
-        self.spans = np.array([-(-len(w) // SEGMENT) + 1 for w in self.words])
+        size = 2 * HALF
+        self.item_of, self.begins = [], []
+        for k, words in enumerate(self.words):
+            begins = list(range(0, max(1, len(words) - size + 1), HALF))
+            if begins[-1] + size < len(words):
+                begins.append(len(words) - size)
+            self.begins += begins
+            self.item_of += [k] * len(begins)
+        self.pieces = np.ones((len(self.begins), size), dtype=np.uint32)
+        for k, (i, b) in enumerate(zip(self.item_of, self.begins, strict=True)):
+            own = self.words[i][b : b + size]
+            self.pieces[k, : len(own)] = own
+        #: A shorter piece is a smaller part of its window.
+        self.least = (COSINE * np.sqrt((self.pieces > 1).sum(axis=1) / size)).astype(np.float32)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, vocabulary numbers) of the words that are in the vocabulary."""
-        at = np.flatnonzero(self.slots[hashes & np.uint64((1 << 20) - 1)])
-        v = np.searchsorted(self.vocabulary, hashes[at])
-        v[v == len(self.vocabulary)] = 0
-        good = self.vocabulary[v] == hashes[at]
-        return at[good], v[good]
-
-    def weigh(self, frequency: np.ndarray, segments: int) -> None:
-        idf = np.log((1 + segments) / (1 + frequency))
-        idf[frequency > COMMON * max(1, segments)] = 0
-        rows = np.zeros((len(self.words), len(self.vocabulary)))
-        for k, words in enumerate(self.words):
-            np.add.at(rows[k], np.searchsorted(self.vocabulary, words), 1)
-        if not (rows * idf).any(axis=1).all():  # an item of common words only
-            idf = np.maximum(idf, 1e-3)
-        self.idf = idf
-        rows *= idf
-        self.norms = np.sqrt((rows * rows).sum(axis=1))
-        self.items = rows / self.norms[:, None]
-        #: What one occurrence of a word adds to which items' inner products (by word: rows begins[v]:begins[v + 1]).
-        word, self.item_of = np.nonzero((self.items * idf).T)
-        self.begins = np.searchsorted(word, np.arange(len(self.vocabulary) + 1))
-        self.adds = (self.items * idf).T[word, self.item_of]
+        """(positions, slots) of all words."""
+        return np.arange(len(hashes)), _slot(_short(hashes)).astype(np.int64)
+
+    def weigh(self, frequency: np.ndarray, passages: int) -> None:
+        self.idf = np.log((2 + passages) / (1 + frequency))
 
-    def span(self, topics: np.ndarray) -> None:
-        """topics: singular vectors in columns."""
-        both = np.column_stack([topics, self.items.T])
-        u, s, _ = np.linalg.svd(both, full_matrices=False)
-        self.basis = np.ascontiguousarray(u[:, s > 1e-9 * max(1e-300, s[0])])
+    def fold(self, vectors: np.ndarray, values: np.ndarray) -> None:
+        """Latent vectors of the slots and, from them, of the pieces and items."""
+        live = values > 1e-3 * max(values, default=0)
+        self.latent = np.zeros((SLOTS + 1, max(1, int(live.sum()))), dtype=np.float32)
+        if live.any():
+            self.latent[:SLOTS] = vectors[:, live] * self.idf[:, None] / values[live]
+        self.weight = np.append(self.idf, 0).astype(np.float32)
+        slots = np.where(self.pieces > 1, _slot(self.pieces), SLOTS)
+        self.queries = _unit(self.latent[slots].sum(axis=1))
+        self.wholes = _unit(np.array([self.latent[_slot(w)].sum(axis=0) for w in self.words]))
+        self.shares = self.weight[slots]
+        self.shares /= self.shares.sum(axis=1, keepdims=True)
 
 
-_HITS = "doc_id long, n_words long, at binary, word binary"
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-30)[:, None]
 
 
-def hits(docs: DataFrame, block) -> DataFrame:
-    """(doc_id, n_words, at, word) of rows (text, doc_id): places and vocabulary
-    numbers of the benchmark's words, as unsigned 32-bit integers."""
+_HITS = "doc_id long, words binary"
+
+
+def hits(docs: DataFrame, block=None) -> DataFrame:
+    """(doc_id, words) of rows (text, doc_id): hashes of all words, as unsigned
+    32-bit integers."""
 
     def run(batches):
-        b = block.value
         for batch in batches:
-            n, at_, word_ = [], [], []
+            out = []
             for _, hashes, offsets in words_of(batch.column(0).to_pylist()):
-                at, v = b.find(hashes)
-                cut = np.searchsorted(at, offsets)
-                at, v = at.astype(np.uint32), v.astype(np.uint32)
-                for k in range(len(offsets) - 1):
-                    x = slice(cut[k], cut[k + 1])
-                    at_.append((at[x] - np.uint32(offsets[k])).tobytes())
-                    word_.append(v[x].tobytes())
-                n += np.diff(offsets).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(at_, pa.binary()), pa.array(word_, pa.binary())], names=["doc_id", "n_words", "at", "word"])
+                raw = _short(hashes).tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "words"])
 
     return docs.mapInArrow(run, _HITS)
 
 
-class Batch:
-    """The hits of many documents: doc, at and word of each, in order."""
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets) of a batch of hits."""
+    parts = [x.as_buffer() if x.is_valid else b"" for x in batch.column(1)]
+    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int64)
+    return np.frombuffer(b"".join(parts), dtype=np.uint32), offsets
 
-    def __init__(self, batch: pa.RecordBatch):
-        at, word = (batch.column(k).to_pylist() for k in (2, 3))
-        self.sizes = np.array([len(x) // 4 for x in at], dtype=np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        self.doc = np.repeat(np.arange(len(at)), self.sizes)
-        self.at = np.frombuffer(b"".join(at), dtype=np.uint32).astype(np.int64)
-        self.word = np.frombuffer(b"".join(word), dtype=np.uint32).astype(np.int64)
-        count = -(-batch.column(1).to_numpy() // SEGMENT)
-        self.segments = int(count.sum())
-        #: First segment of each document; segments of all are numbered through.
-        self.first = np.cumsum(count) - count
-        self.segment = self.first[self.doc] + self.at // SEGMENT
 
+def _passages(batch: pa.RecordBatch, size: int = 64):
+    """Yields (slots of passages, sorted; first occurrences of their distinct ones)."""
+    words, offsets = _read(batch)
+    rows, _ = _padded(_slot(words), offsets, PASSAGE, SLOTS)
+    for k in range(0, len(rows), size):
+        m = np.sort(rows[k : k + size], axis=1)
+        first = np.ones(m.shape, dtype=bool)
+        first[:, 1:] = m[:, 1:] != m[:, :-1]
+        yield m, first
 
-def frequencies(found: DataFrame, block) -> tuple[np.ndarray, int]:
-    size = len(block.value.vocabulary)
+
+def frequencies(found: DataFrame) -> tuple[np.ndarray, int]:
+    """(passages that have a word of each slot, passages)."""
 
     def count(batches):
-        total, n = np.zeros(size, dtype=np.int64), 0
+        total, n = np.zeros(SLOTS + 1, dtype=np.int64), 0
         for batch in batches:
-            x = Batch(batch)
-            total += np.bincount(np.unique(x.segment * size + x.word) % size, minlength=size)
-            n += x.segments
-        words = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *words.tolist()], pa.int64()), pa.array([n, *total[words].tolist()], pa.int64())], names=["word", "n"])
+            for m, first in _passages(batch, 4096):
+                total += np.bincount(m[first], minlength=SLOTS + 1)
+                n += len(m)
+        total[SLOTS] = n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
 
-    rows = found.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()  # a row for each word of the benchmark
-    out = np.zeros(size, dtype=np.int64)
-    out[rows.word[rows.word >= 0].to_numpy()] = rows.n[rows.word >= 0].to_numpy()
-    return out, int(rows.n[rows.word < 0].sum())
+    rows = found.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS + 1 rows at most
+    out = np.zeros(SLOTS + 1, dtype=np.int64)
+    out[rows.slot.to_numpy()] = rows.n.to_numpy()
+    return out[:SLOTS], int(out[SLOTS])
 
 
 def topics(found: DataFrame, block, rank: int = RANK, over: int = OVER) -> tuple[np.ndarray, np.ndarray]:
     """(leading right singular vectors in columns, singular values) of the matrix
     of unit TF-IDF passages."""
-    size = len(block.value.vocabulary)
-    width = min(rank + over, size)
-    omega = np.random.default_rng(17).standard_normal((size, width)).astype(np.float32)
-    shared = found.sparkSession.sparkContext.broadcast(omega)
+    spark = found.sparkSession
+    width = rank + over
+    omega = np.random.default_rng(17).standard_normal((SLOTS + 1, width)).astype(np.float32)
+    omega[SLOTS] = 0
+    shared = spark.sparkContext.broadcast(omega)  # of fixed size
     parts = 16
 
     def multiply(batches):
-        o, idf = shared.value, block.value.idf.astype(np.float32)
-        z = np.zeros((size, width))
+        from pyspark import TaskContext
+
+        o, idf = shared.value, np.append(block.value.idf, 0).astype(np.float32)
+        z = np.zeros((SLOTS + 1, width), dtype=np.float32)
         for batch in batches:
-            x = Batch(batch)
-            keep = idf[x.word] > 0
-            if not keep.any():
-                continue
-            # A passage is PASSAGE segments of a document; one number for each.
-            row = (x.first[x.doc] + x.at // (SEGMENT * PASSAGE))[keep]
-            key, count = np.unique(row * size + x.word[keep], return_counts=True)
-            row, col = key // size, key % size
-            value = count.astype(np.float32) * idf[col]
-            begin = np.flatnonzero(np.diff(row, prepend=-1))
-            lengths = np.diff(np.append(begin, len(row)))
-            value /= np.repeat(np.sqrt(np.add.reduceat(value * value, begin)), lengths)
-            y = np.add.reduceat(value[:, None] * o[col], begin, axis=0)
-            order = np.argsort(col, kind="stable")
-            back = value[order, None] * y[np.repeat(np.arange(len(begin)), lengths)[order]]
-            cols = np.flatnonzero(np.diff(col[order], prepend=-1))
-            z[col[order][cols]] += np.add.reduceat(back, cols, axis=0)
-        for k, rows in enumerate(np.array_split(z, parts)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rows.astype(np.float32).tobytes()], pa.binary())], names=["part", "rows"])
+            for m, first in _passages(batch):
+                slots = m.ravel()
+                begin = np.flatnonzero(first)
+                value = idf[slots[begin]] * np.diff(np.append(begin, len(slots)))
+                norm = np.sqrt(np.maximum(np.bincount(begin // PASSAGE, weights=value * value, minlength=len(m)), 1e-30))
+                # Each occurrence counts by itself, so a word's occurrences add up to its frequency.
+                one = idf[m] / norm[:, None].astype(np.float32)
+                y = np.matmul(one[:, None, :], o.take(slots, axis=0).reshape(*m.shape, width))[:, 0]
+                order = np.argsort(slots, kind="stable")
+                back = y.take(order // PASSAGE, axis=0)
+                back *= one.ravel()[order][:, None]
+                sums = np.cumsum(back, axis=0, out=back)
+                last = np.flatnonzero(np.diff(slots[order].astype(np.int32), append=-1))
+                total = sums[last]
+                total[1:] -= sums[last[:-1]]
+                z[slots[order[last]]] += total
+        for k, rows in enumerate(np.array_split(z[:SLOTS], parts)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["part", "task", "rows"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(r, dtype=np.float32).astype(np.float64) for r in pdf["rows"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "rows": [total.tobytes()]})
-
-    sums = found.mapInArrow(multiply, "part int, rows binary").groupBy("part").applyInPandas(add, "part int, rows binary").toPandas().sort_values("part")
+        total = np.zeros(len(pdf["rows"].iloc[0]) // 4)
+        for r in pdf["rows"]:
+            total += np.frombuffer(r, dtype=np.float32)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "task": [pdf["task"].iloc[0] // FAN], "rows": [total.astype(np.float32).tobytes()]})
+
+    sums = found.mapInArrow(multiply, "part int, task int, rows binary")
+    tasks = max(1, found.rdd.getNumPartitions())
+    while True:  # a tree: no task adds more than FAN sums
+        sums = sums.groupBy("part", F.expr(f"task div {FAN}")).applyInPandas(add, "part int, task int, rows binary")
+        tasks = -(-tasks // FAN)
+        if tasks == 1:
+            break
+    sums = sums.toPandas().sort_values("part")  # `parts` rows
     if not len(sums):
-        return np.zeros((size, 0)), np.zeros(0)
-    z = np.concatenate([np.frombuffer(r, dtype=np.float64).reshape(-1, width) for r in sums["rows"]])
+        return np.zeros((SLOTS, 0)), np.zeros(0)
+    z = np.concatenate([np.frombuffer(r, dtype=np.float32).reshape(-1, width) for r in sums["rows"]]).astype(np.float64)
+    omega = omega[:SLOTS].astype(np.float64)
     shift = 1e-6 * max(1e-12, np.linalg.norm(z))
     z = z + shift * omega
-    core = omega.T.astype(np.float64) @ z
+    core = omega.T @ z
     lower = np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(width))
     u, s, _ = np.linalg.svd(np.linalg.solve(lower, z.T).T, full_matrices=False)
     return u[:, :rank], np.maximum(s[:rank] ** 2 - shift, 0) ** 0.5
 
 
-def candidates(b: Benchmark, x: Batch):
-    """Yields (document, item, first and last segment, inner product) of windows
-    that cover enough of an item's weight: of those that overlap, the best."""
-    n = b.begins[x.word + 1] - b.begins[x.word]
-    if not n.sum():
-        return
-    rows = np.repeat(b.begins[x.word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    segment, item = np.repeat(x.segment, n), b.item_of[rows]
-    key, back = np.unique(item * x.segments + segment, return_inverse=True)
-    total = np.cumsum(np.bincount(back, weights=b.adds[rows]))
-    item, segment = key // x.segments, key % x.segments
-    doc = np.searchsorted(x.first, segment, side="right") - 1
-    # A window ends at each segment that adds something, and stays in its document.
-    begin = np.maximum(segment - b.spans[item] + 1, x.first[doc])
-    lo = np.searchsorted(key, item * x.segments + begin)
-    product = total - np.where(lo > 0, total[lo - 1], 0)
-    good = np.flatnonzero(product >= COVER * b.norms[item])
-    taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for k in good[np.argsort(-product[good], kind="stable")].tolist():
-        places = taken.setdefault((int(doc[k]), int(item[k])), [])
-        if all(segment[k] < p or begin[k] > q for p, q in places):
-            places.append((int(begin[k]), int(segment[k])))
-            yield int(doc[k]), int(item[k]), int(begin[k]), int(segment[k]), float(product[k])
-
-
-def _check(b: Benchmark, k: int, at: np.ndarray, word: np.ndarray) -> tuple[float, bool] | None:
-    """(LCS over the item's words, answer there) if the words hold item k."""
-    item = b.numbers[k]
+def candidates(b: Benchmark, words: np.ndarray, offsets: np.ndarray, windows: int = 2048):
+    """Yields arrays (document, first word of the window in it, piece, cosine) of
+    windows that are near a piece and share enough of its weight."""
+    halves, first = _padded(words, offsets, HALF, 0)
+    n = len(halves)
+    doc = np.searchsorted(first, np.arange(n), side="right") - 1
+    windows = max(64, min(windows, (1 << 22) // max(1, len(b.pieces))))
+    for x in range(0, n, windows):
+        own = halves[x : x + windows + 1]
+        slots = np.where(own > 0, _slot(own), SLOTS)
+        latent = np.concatenate([np.matmul(_ONES, b.latent.take(s.ravel(), axis=0).reshape(*s.shape, -1))[:, 0] for s in (slots[k : k + 256] for k in range(0, len(slots), 256))])
+        d = doc[x : x + windows + 1]
+        size = min(windows, n - x)
+        both = np.zeros(size, dtype=bool)
+        both[: len(d) - 1] = d[1:][:size] == d[:-1][:size]
+        alone = ~both & (first[d[:size] + 1] - first[d[:size]] == 1)
+        w = latent[:size].copy()
+        w[both] += latent[1:][both[: len(latent) - 1]] if both.any() else 0
+        at = np.flatnonzero(both | alone)
+        cosine = _unit(w[at]) @ b.queries.T
+        hit, piece = np.nonzero(cosine >= b.least)
+        for k in range(0, len(hit), 1 << 15):
+            h, p = hit[k : k + (1 << 15)], piece[k : k + (1 << 15)]
+            where = at[h]
+            text = own[np.minimum(where[:, None] + np.array([0, 1]), len(own) - 1)].reshape(len(h), -1)
+            text[~both[where], HALF:] = 0
+            common = np.zeros((len(h), 2 * HALF), dtype=bool)
+            pieces = b.pieces[p]
+            for j in range(2 * HALF):
+                common |= pieces == text[:, j, None]
+            good = np.flatnonzero((b.shares[p] * common).sum(axis=1) >= COVER)
+            h, p = h[good], p[good]
+            where = at[h]
+            yield d[where], (x + where - first[d[where]]) * HALF, p, cosine[h, p]
+
+
+_ONES = np.ones((1, HALF), dtype=np.float32)
+
+
+def _check(b: Benchmark, k: int, whole: np.ndarray, begin: int) -> tuple[float, bool] | None:
+    """(LCS over the item's words, answer there) if the document `whole` holds
+    item k, whose first word would be at `begin` or so."""
+    item = b.words[k]
     n = len(item)
+    if n < ALONE:
+        return (1.0, True) if np.array_equal(whole, item) else None
+    near = whole[max(0, begin - n - HALF) : begin + 2 * n + HALF]
     if n < SHORT:
-        for j in range(len(word) - n + 1):
-            if at[j + n - 1] - at[j] == n - 1 and np.array_equal(word[j : j + n], item):
-                return 1.0, True
-        return None
-    words = word.tolist()
+        return (1.0, True) if in_a_row(near, item, n) else None
+    words = near.tolist()
     ratio = lcs(b.places[k], n, words) / n
     there = set(words)
     answer = len(b.answers[k] & there) >= ANSWER * len(b.answers[k])
     if ratio >= VERBATIM:
         return ratio, answer
-    own = np.unique(item)
-    weight = b.idf[own]
-    covered = float(weight[[w in there for w in own.tolist()]].sum()) >= WEIGHT * float(weight.sum())
-    return (ratio, answer) if ratio >= PARAPHRASE and covered and answer else None
-
-
-def runs(b: Benchmark, x: Batch):
-    """Yields (document, item, place) where RUN words in a row of an item begin."""
-    n = max(0, len(x.at) - RUN + 1)
-    last = slice(RUN - 1, RUN - 1 + n)
-    begins = np.flatnonzero((x.at[last] - x.at[:n] == RUN - 1) & (x.doc[last] == x.doc[:n]))
-    hashes = _grams(x.word, begins)
-    for i in np.flatnonzero(np.isin(hashes, b.gram_hashes)).tolist():
-        begin = int(begins[i])
-        for k, j in b.grams[int(hashes[i])]:
-            if np.array_equal(x.word[begin : begin + RUN], b.numbers[k][j : j + RUN]):
-                yield int(x.doc[begin]), k, int(x.at[begin])
+    if answer and ratio >= PARAPHRASE:
+        own = np.unique(item)
+        weight = b.weight[_slot(own)]
+        if float(weight[[w in there for w in own.tolist()]].sum()) >= WEIGHT * float(weight.sum()):
+            return ratio, answer
+    if answer and ratio >= OTHER:
+        latent = b.latent[_slot(whole[max(0, begin) : max(0, begin) + n])].sum(axis=0)
+        if float(latent @ b.wholes[k]) >= ALIKE * float(np.sqrt(latent @ latent)):
+            return ratio, answer
+    return (ratio, answer) if in_a_row(near, item) else None
 
 
 def search(found: DataFrame, block) -> DataFrame:
@@ -312,34 +349,19 @@ def search(found: DataFrame, block) -> DataFrame:
     def look(batches):
         b = block.value
         for batch in batches:
-            x, keys, best = Batch(batch), batch.column(0).to_pylist(), {}
-            for d, k, begin, end, product in candidates(b, x):
-                own = slice(x.begins[d], x.begins[d] + x.sizes[d])
-                at, word = x.at[own], x.word[own]
-                first = begin - int(x.first[d])
-                inside = slice(*np.searchsorted(at, [first * SEGMENT, (end + 1 - int(x.first[d])) * SEGMENT]))
-                words, counts = np.unique(word[inside], return_counts=True)
-                latent = (counts * b.idf[words]) @ b.basis[words]
-                cosine = min(1.0, product / max(1e-12, float(np.sqrt(latent @ latent))))
-                if cosine < COSINE or best.get((d, k), (0, 0.0))[1] == 1:
-                    continue
-                n = len(b.words[k])
-                around = slice(*np.searchsorted(at, [first * SEGMENT - n, (end + 1 - int(x.first[d])) * SEGMENT + n]))
-                got = _check(b, k, at[around], word[around])
-                if got and got[0] > best.get((d, k), (0, 0.0))[1]:
-                    best[d, k] = (cosine, *got)
-            for d, k, place in runs(b, x):
-                if (d, k) in best:
-                    continue
-                own = slice(x.begins[d], x.begins[d] + x.sizes[d])
-                at, word, n = x.at[own], x.word[own], len(b.words[k])
-                words = word[slice(*np.searchsorted(at, [place - n, place + n]))]
-                used, counts = np.unique(words, return_counts=True)
-                weighed = counts * b.idf[used]
-                latent = weighed @ b.basis[used]
-                cosine = min(1.0, float(weighed @ b.items[k, used]) / max(1e-12, float(np.sqrt(latent @ latent))))
-                answer = len(b.answers[k] & set(words.tolist())) >= ANSWER * len(b.answers[k])
-                best[d, k] = (cosine, lcs(b.places[k], n, words.tolist()) / n, answer)
+            words, offsets = _read(batch)
+            keys, best, seen = batch.column(0).to_pylist(), {}, set()
+            for docs, begins, pieces, cosines in candidates(b, words, offsets):
+                for d, at, p, c in zip(docs.tolist(), begins.tolist(), pieces.tolist(), cosines.tolist(), strict=True):
+                    k = b.item_of[p]
+                    begin = at - b.begins[p]
+                    old = best.get((d, k))
+                    if (d, k, begin) in seen:
+                        continue
+                    seen.add((d, k, begin))
+                    got = _check(b, k, words[offsets[d] : offsets[d + 1]], begin)
+                    if got and (old is None or (got[0], c) > (old[1], old[0])):
+                        best[d, k] = (min(1.0, c), *got)
             rows = [(keys[d], b.ids[k], *v) for (d, k), v in sorted(best.items())]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
@@ -349,35 +371,43 @@ def search(found: DataFrame, block) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): each document with each benchmark
-    item that it holds, word for word, as a paraphrase or by RUN words in a row.
-
-    Null and empty texts hold nothing; items of fewer than LEAST words (null and
-    empty ones too) are not searched; items that repeat are found under each id.
-    Rows that repeat are searched each. Other columns are ignored; with an empty
-    table on either side there are no rows. Documents are searched whole.
+    item that it holds, word for word, as a paraphrase or by RUN words in a row;
+    cosine is that of a window and a piece that led to the check.
+
+    Null and empty texts hold nothing, and null and empty items are held by
+    nothing; items of fewer than SHORT words are held word for word only, those of
+    fewer than ALONE words only by documents without other words; items that
+    repeat are found under each id. Rows that repeat are searched each. Null ids
+    stay null. Other columns are ignored; with an empty table on either side there
+    are no rows. Documents are searched whole.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    found, held = None, ([], [])
+    kept, space, found, held, size = None, None, None, ([], []), 0
 
     def one_block() -> None:
-        nonlocal found
+        nonlocal kept, space, found, size
         b = Benchmark(*held)
         if b.ids:
-            first = spark.sparkContext.broadcast(b)
-            kept = saved(hits(rows, first), "hits")
-            b.weigh(*frequencies(kept, first))
-            b.span(topics(kept, spark.sparkContext.broadcast(b))[0])
+            if kept is None:
+                kept = saved(hits(rows), "hits")
+                weights = frequencies(kept)
+                b.weigh(*weights)
+                space = (weights, topics(kept, spark.sparkContext.broadcast(b)))
+            b.weigh(*space[0])
+            b.fold(*space[1])
             part = search(kept, spark.sparkContext.broadcast(b))
             found = part if found is None else found.unionByName(part)
         held[0].clear()
         held[1].clear()
+        size = 0
 
     for r in wanted.orderBy(F.col("item_id").asc_nulls_last(), "text").toLocalIterator():  # the stated query set, `items` at a time
         held[0].append(r["item_id"])
         held[1].append(r["text"])
-        if len(held[0]) == items:
+        size += len(r["text"] or "") // 2
+        if len(held[0]) == items or size >= ITEM_WORDS:
             one_block()
     if held[0]:
         one_block()
