@@ -14,7 +14,6 @@ roots and lengths of the manifest. `restore` rebuilds the ids themselves.
 
 from __future__ import annotations
 
-import array
 import functools
 import hashlib
 import zlib
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .bpe import SAFE, in_bytes, tokenizer
+from .bpe import SAFE, byte_alphabet, in_bytes, tokenizer
 from .common import prefix_sums, scratch_path, table
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
@@ -36,104 +35,127 @@ VOCABULARY, END = "byte_bpe_50k.json", 2
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
 #: Bytes of a chunk's name.
 NAME = 16
-#: Entries of a generation of pieces that a worker has encoded; the last two
-#: generations are kept. A bound on memory only.
-REMEMBERED = 450_000
+#: Words and other pieces that a worker remembers before it begins anew. A bound on memory only.
+REMEMBERED = 900_000
 #: Fixed value: the pre-token pattern of the vocabulary file.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A piece of letters with marks behind them: two pre-tokens of that pattern.
+MARKED = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+SPACE = byte_alphabet()[0x20]
 _GEAR = wordhash.stream(9, 1 << 17)
 _ROLL = wordhash.stream(10, WINDOW) | np.uint64(1)
 
 
 class Encoder:
-    """Ids of texts, as little-endian bytes of `width`.
+    """Ids of texts, as little-endian integers of `dtype`.
 
     A single space between other characters always begins a pre-token, so the
-    pieces between such spaces encode independently and are remembered. Texts
-    with other spaces, other characters or special strings go to the library."""
+    pieces between such spaces encode independently. Most are a word with marks
+    behind it, which are two pre-tokens: Arrow takes them apart, and only words and
+    marks that aren't remembered are merged by the library's model. Texts with other
+    spaces, other characters or special strings go to the library."""
 
     def __init__(self, name: str):
         self.tokenizer = tokenizer(name)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.first, self.known, self.older, self.merged = {}, {}, {}, {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return array.array(self.code, ids).tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember new pieces (with the space before them); b"" for what is none."""
-        bad = [p for p in pieces if not p or p[0].isspace() or p[-1].isspace()]
-        self.known.update(dict.fromkeys(bad, b""))
-        good = list(pieces.difference(bad))
-        if not good:
-            return
-        tokens = PRETOKEN.findall(" " + " ".join(good))
-        tokenize = self.model.tokenize
-        for t in set(tokens).difference(self.merged):
-            self.merged[t] = self._pack([x.id for x in tokenize(in_bytes(t))])
-        begins = [k for k, t in enumerate(tokens) if t[0] == " "]
-        packed = list(map(self.merged.__getitem__, tokens))
-        for p, x, y in zip(good, begins, [*begins[1:], len(tokens)], strict=True):
-            self.known[p] = packed[x] if y - x == 1 else b"".join(packed[x:y])
-
-    def _head(self, piece: str) -> bytes:
-        ids = self.first.get(piece)
-        if ids is None:
-            ids = self.first[piece] = b"".join(self._pack([x.id for x in self.model.tokenize(in_bytes(t))]) for t in PRETOKEN.findall(piece))
-        return ids
-
-    def whole(self, text: str) -> bytes:
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self._clear()
+
+    def _clear(self) -> None:
+        #: Entries: ids[begin[e]:begin[e] + size[e]]; entry 0 has none.
+        self.ids, self.begin, self.size = np.zeros(0, dtype=self.dtype), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.words, self.marks, self.odd, self.first, self.merged = {}, {"": 0}, {}, {}, {}
+
+    def _ids(self, token: str) -> list[int]:
+        return [x.id for x in self.model.tokenize(in_bytes(token))]
+
+    def _word(self, word: str) -> list[int]:
+        return [x.id for x in self.model.tokenize(SPACE + (word if word.isascii() else in_bytes(word)))]
+
+    def _pieces(self, text: str) -> list[int]:
+        out = []
+        for t in PRETOKEN.findall(text):
+            if (ids := self.merged.get(t)) is None:
+                ids = self.merged[t] = self._ids(t)
+            out += ids
+        return out
+
+    def _odd(self, piece: str) -> list[int]:
+        """No ids for a piece that isn't one: its text goes to the library."""
+        return [] if not piece or piece[0].isspace() or piece[-1].isspace() else self._pieces(" " + piece)
+
+    def _head(self, piece: str) -> list[int]:
+        return [] if piece[-1:].isspace() else self._pieces(piece)
+
+    def _entries(self, known: dict[str, int], names: list[str], ids_of) -> np.ndarray:
+        """The entries of names, new ones from ids_of."""
+        found = list(map(known.get, names))
+        new = [k for k, e in enumerate(found) if e is None]
+        if new:
+            ids, sizes = [], []
+            for k in new:
+                own = ids_of(names[k])
+                ids += own
+                sizes.append(len(own))
+            n = np.array(sizes, dtype=np.int64)
+            entry = len(self.size)
+            self.begin = np.append(self.begin, len(self.ids) + np.cumsum(n) - n)
+            self.size = np.append(self.size, n)
+            self.ids = np.append(self.ids, np.array(ids, dtype=self.dtype))
+            for k, e in zip(new, range(entry, entry + len(new)), strict=True):
+                found[k] = known[names[k]] = e
+        return np.array(found, dtype=np.int64)
+
+    def _distinct(self, known: dict[str, int], column: pa.Array, ids_of) -> np.ndarray:
+        coded = column.dictionary_encode()
+        return self._entries(known, coded.dictionary.to_pylist(), ids_of)[coded.indices.to_numpy()]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many of each). Pieces are cut and made distinct
-        by Arrow, so that Python sees each of a batch's pieces once."""
-        for cache in (self.first, self.merged):
-            if len(cache) > REMEMBERED:
-                cache.clear()
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        by Arrow, so that Python sees each of a batch's words once."""
+        if len(self.size) > REMEMBERED or len(self.merged) > REMEMBERED // 4:
+            self._clear()
         fast = [bool(t) and "<|" not in t and t[0] != " " and SAFE.fullmatch(t) is not None for t in texts]
         lists = pc.split_pattern(pa.array([t for t, f in zip(texts, fast, strict=True) if f], pa.large_string()), " ")
         starts = lists.offsets.to_numpy()
         pieces = lists.flatten().dictionary_encode()
-        names, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy().astype(np.int64)
-        packed = list(map(self.known.get, names))
-        new = [k for k, p in enumerate(packed) if p is None]
-        if self.older:
-            for k in new:
-                if (p := self.older.get(names[k])) is not None:
-                    self.known[names[k]] = p
-            new_names = {names[k] for k in new}.difference(self.known)
-        else:
-            new_names = {names[k] for k in new}
-        self._learn(new_names)
-        for k in new:
-            packed[k] = self.known[names[k]]
+        names, at = pieces.dictionary, pieces.indices.to_numpy().astype(np.int64)
+        taken = pc.extract_regex(names, MARKED)
+        plain = taken.is_valid().to_numpy(zero_copy_only=False)
+        # Two entries a piece: the word and its marks, or the odd piece and none.
+        pair = np.zeros((len(names), 2), dtype=np.int64)
+        good = taken.filter(pa.array(plain))
+        pair[plain, 0] = self._distinct(self.words, good.field("word"), self._word)
+        pair[plain, 1] = self._distinct(self.marks, good.field("marks"), self._ids)
+        pair[~plain, 0] = self._entries(self.odd, names.filter(pa.array(~plain)).to_pylist(), self._odd)
         # The first piece of a text has no space before it: an entry of its own.
-        heads = [names[k] for k in at[starts[:-1]]]
-        at[starts[:-1]] = len(packed) + np.arange(len(heads))
-        packed += [b"" if h[-1:].isspace() else self._head(h) for h in heads]
-        size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.dtype.itemsize
-        none = size == 0
-        table = np.frombuffer(b"".join(packed), dtype=self.dtype)
-        begin = np.cumsum(size) - size
+        heads = self._entries(self.first, names.take(pa.array(at[starts[:-1]])).to_pylist(), self._head)
+        at[starts[:-1]] = len(pair) + np.arange(len(heads))
+        pair = np.concatenate([pair, np.column_stack([heads, np.zeros_like(heads)])]).ravel()
+        table = _gathered(self.ids, self.begin[pair], self.size[pair])
+        size = self.size[pair].reshape(-1, 2).sum(axis=1)
         n = size[at]
-        ids = table[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        ids = _gathered(table, (np.cumsum(size) - size)[at], n)
         ends = np.concatenate(([0], np.cumsum(n)))[starts] if len(at) else np.zeros(1, dtype=np.int64)
-        bad = np.add.reduceat(none[at], starts[:-1]) > 0 if len(at) else np.zeros(0, dtype=bool)
+        bad = np.add.reduceat(n == 0, starts[:-1]) > 0 if len(at) else np.zeros(0, dtype=bool)
         if all(fast) and not bad.any():
             return ids, np.diff(ends)
         quick = iter(range(len(ends) - 1))
         parts = []
         for t, f in zip(texts, fast, strict=True):
             k = next(quick) if f else None
-            parts.append(ids[ends[k] : ends[k + 1]] if f and not bad[k] else np.frombuffer(self.whole(t) if t else b"", dtype=self.dtype))
+            parts.append(ids[ends[k] : ends[k + 1]] if f and not bad[k] else self.whole(t) if t else ids[:0])
         return np.concatenate(parts) if parts else ids, np.array([len(p) for p in parts], dtype=np.int64)
 
 
+def _gathered(ids: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """ids[begin[i]:begin[i] + n[i]] of all i, joined."""
+    return ids[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
 @functools.cache
 def encoder(name: str) -> Encoder:
     return Encoder(name)
