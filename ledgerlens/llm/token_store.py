@@ -4,12 +4,13 @@ Each document's ids (with an end id) are cut where a rolling hash over the last
 WINDOW ids says so, so equal passages give equal chunks. Chunks are named by a
 hash of their bytes and stored once (`chunks`); a document is the list of its
 chunks' names (`recipes`, in ascending doc_id order, with the position of its
-first id). A Merkle manifest (`manifest`) has a root for each document, for each
-recipe file and for the whole store.
+first id and a Merkle root over them). The Merkle manifest (`manifest`) has a root
+over the documents of each block of ids and one over the blocks.
 
-Reading back takes every stored chunk once: its bytes must hash to its name, and
-its crc32 and length are then combined along the recipes, which must give the
-roots and lengths of the manifest. `restore` rebuilds the ids themselves.
+Reading back first compares the recipes with the manifest. Then it takes every
+stored chunk once: its bytes must hash to its name, and its crc32 and length are
+combined along the recipes, which must have their roots and lengths. `restore`
+rebuilds the ids themselves.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ VOCABULARY, END = "byte_bpe_50k.json", 2
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
 #: Bytes of a chunk's name.
 NAME = 16
+#: Ids of a block of the manifest.
+BLOCK = 1 << 24
+#: Parts that name a chunk above which it is dealt out in copies, and most such chunks.
+HOT, HOT_CHUNKS = 20_000, 100_000
 #: Words and other pieces that a worker remembers before it begins anew. A bound on memory only.
 REMEMBERED = 900_000
 #: Fixed value: the pre-token pattern of the vocabulary file.
@@ -254,28 +259,52 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
     encode(docs, key, text, vocabulary, end).write.option("compression", "zstd").parquet(staged)
     rows = spark.read.schema("doc_id long, n_tokens long, root binary, chunks array<struct<name: binary, n: int, ids: binary>>").parquet(staged)
     chunk = rows.select(F.explode("chunks").alias("c")).select("c.name", "c.n", "c.ids")
-    chunk.groupBy("name").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    chunk.groupBy("name").agg(F.first("n").alias("n"), F.first("ids").alias("ids"), F.count("*").alias("uses")).write.option("compression", "zstd").parquet(f"{path}/chunks")
     joined = F.aggregate(F.col("chunks.name"), F.lit("").cast("binary"), lambda a, x: F.concat(a, x))
     lists = rows.select("doc_id", "n_tokens", "root", joined.alias("names"))
     placed = prefix_sums(lists, [], ["doc_id"], "n_tokens", "start")
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    recipes = spark.read.schema(placed.schema).parquet(f"{path}/recipes")
-
-    def roots(batches):
-        got, first = [], None
-        for pdf in batches:
-            got += [bytes(x) for x in pdf["root"]]
-            if first is None and len(pdf):
-                first = int(pdf["start"].iloc[0])
-        if got:
-            yield pd.DataFrame({"first": [first], "documents": [len(got)], "root": [merkle(got)]})
-
-    files = recipes.select("start", "root").mapInPandas(roots, "first long, documents long, root binary")
-    kept = files.orderBy("first").toPandas()  # a row for each recipe file
-    total = pd.DataFrame({"first": [-1], "documents": [int(kept.documents.sum())], "root": [merkle([bytes(x) for x in kept.root])]})
+    kept = _blocks(spark.read.schema(_RECIPE).parquet(f"{path}/recipes")).orderBy("block").toPandas()  # a row for BLOCK ids
+    total = pd.DataFrame({"block": [-1], "documents": [int(kept.documents.sum())], "root": [merkle([bytes(x) for x in kept.root])]})
     manifest = pd.concat([total, kept]) if len(kept) else total
     manifest["width"], manifest["vocabulary"], manifest["end"] = dtype.itemsize, vocabulary, end
-    spark.createDataFrame(manifest, "first long, documents long, root binary, width int, vocabulary string, `end` int").coalesce(1).write.parquet(f"{path}/manifest")
+    spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+_MANIFEST = "block long, documents long, root binary, width int, vocabulary string, `end` int"
+
+
+def _blocks(recipes: DataFrame) -> DataFrame:
+    """(block, documents, root) of recipes: the Merkle root of the documents that
+    begin among the BLOCK ids of a block. A leaf binds a document's id, place,
+    length and root."""
+
+    def root(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start", "n_tokens"])
+        leaves = [f"{k} {s} {n} ".encode() + bytes(r or b"") for k, s, n, r in zip(pdf["key"], pdf["start"], pdf["n_tokens"], pdf["root"], strict=True)]
+        return pd.DataFrame({"block": [pdf["start"].iloc[0] // BLOCK], "documents": [len(pdf)], "root": [merkle(leaves)]})
+
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
+    return recipes.select(key, "start", "n_tokens", "root").groupBy(F.expr(f"start div {BLOCK}")).applyInPandas(root, "block long, documents long, root binary")
+
+
+def verify(spark: SparkSession, path: str) -> int:
+    """Raise unless the recipes are those of the manifest, none missing, changed or
+    added, and the manifest's blocks give its total; returns the ids' width."""
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    total = manifest.where("block < 0").first()
+    if total is None:
+        raise ValueError("the manifest has no total")
+    kept = manifest.where("block >= 0").select("block", "documents", "root").orderBy("block").toPandas()  # a row for BLOCK ids
+    if merkle([bytes(x) for x in kept.root]) != bytes(total["root"]) or int(kept.documents.sum()) != total["documents"]:
+        raise ValueError("the manifest's blocks haven't its root")
+    now = _blocks(spark.read.schema(_RECIPE).parquet(f"{path}/recipes"))
+    then = spark.createDataFrame(kept, "_block long, _documents long, _root binary") if len(kept) else spark.createDataFrame([], "_block long, _documents long, _root binary")
+    same = F.col("documents").eqNullSafe(F.col("_documents")) & F.col("root").eqNullSafe(F.col("_root"))
+    wrong = now.join(then, F.col("block") == F.col("_block"), "full").where(~same).select(F.coalesce("block", "_block")).take(1)
+    if wrong:
+        raise ValueError(f"the recipes of block {wrong[0][0]} aren't those of the manifest")
+    return total["width"]
 
 
 @functools.cache
@@ -311,9 +340,9 @@ def combine(crcs: np.ndarray, lengths: np.ndarray, offsets: np.ndarray) -> np.nd
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files of a store; raises if
-    a chunk's bytes don't have its name or a recipe doesn't have its root."""
-    width = spark.read.parquet(f"{path}/manifest").first()["width"]
-    dtype = np.dtype(f"<u{width}")
+    the recipes aren't those of the manifest, a recipe doesn't have its root, or a
+    chunk is missing or its bytes don't have its name."""
+    dtype = np.dtype(f"<u{verify(spark, path)}")
 
     def check(batches):
         for b in batches:
@@ -327,9 +356,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 n.append(len(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc, pa.int64()), pa.array(n, pa.int64())], names=["name", "crc", "n"])
 
-    chunks = spark.read.schema("name binary, n int, ids binary").parquet(f"{path}/chunks").select("name", "ids").mapInArrow(check, "name binary, crc long, n long")
+    stored = spark.read.schema(_CHUNK).parquet(f"{path}/chunks")
+    chunks = stored.select("name", "ids").mapInArrow(check, "name binary, crc long, n long")
     recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
-    parts = _parts(recipes, "start").join(chunks, "name", "left")
+    parts = _parts(recipes, "start")
+    uses = stored.agg(F.sum("uses")).first()[0] or 0
+    hot = stored.where(F.col("uses") > max(HOT, uses // HOT_CHUNKS)).select("name", F.ceil(F.col("uses") / HOT).cast("int").alias("_r"))
+    if hot.take(1):  # copies of the chunks that very many parts name, so that their parts are many tasks'
+        hot = F.broadcast(hot)  # fewer than HOT_CHUNKS rows
+        salted = lambda d, salt: d.join(hot, "name", "left").withColumn("_s", salt).drop("_r")
+        many = F.coalesce("_r", F.lit(1))
+        parts = salted(parts, F.pmod(F.xxhash64("start", "at"), many).cast("int")).join(salted(chunks, F.explode(F.sequence(F.lit(0), many - 1))), ["name", "_s"], "left")
+    else:
+        parts = parts.join(chunks, "name", "left")
     found = parts.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "crc", "n"))).alias("parts"))
     found = found.select("start", F.col("parts.crc").alias("crc"), F.col("parts.n").alias("n"))
     whole = found.join(recipes, "start").select("start", "doc_id", "n_tokens", "root", "names", "crc", "n")
@@ -353,6 +392,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return whole.mapInArrow(rebuild, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+_CHUNK = "name binary, n int, ids binary, uses long"
 _RECIPE = "doc_id long, n_tokens long, root binary, names binary, start long"
 
 
@@ -364,9 +404,8 @@ def _parts(recipes: DataFrame, *columns: str) -> DataFrame:
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids: array of int) of a store, rebuilt from its chunks."""
-    width = spark.read.parquet(f"{path}/manifest").first()["width"]
-    dtype = np.dtype(f"<u{width}")
-    chunks = spark.read.schema("name binary, n int, ids binary").parquet(f"{path}/chunks").select("name", "ids")
+    dtype = np.dtype(f"<u{verify(spark, path)}")
+    chunks = spark.read.schema(_CHUNK).parquet(f"{path}/chunks").select("name", "ids")
     recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
     parts = _parts(recipes, "doc_id", "start").join(chunks, "name")
     whole = parts.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))

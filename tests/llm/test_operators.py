@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on odd rows."""
 
 import itertools
+import os
 import random
 import re
 import zlib
@@ -404,3 +405,60 @@ def test_html_marks():
     assert text("<nav>menu<article><p>a</article>") == "a"
     assert text("<main><p>a<form><p>b</form><aside>c</aside></main>d") == "a"
     assert text("<p>a<script>if (1 < 2) { '<p>' }</script>b<!-- c --><style>x</style><p hidden>d") == "ab"
+
+
+def stored(spark, path):
+    rows = [(k, prose(k % 7, 900)) for k in range(30)]
+    token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), path)
+
+
+def swap(spark, tmp_path, name, change):
+    change(spark.read.parquet(str(tmp_path / f"s/{name}"))).write.parquet(str(tmp_path / "new"))
+    (tmp_path / f"s/{name}").rename(tmp_path / "old")
+    (tmp_path / "new").rename(tmp_path / f"s/{name}")
+
+
+@pytest.mark.parametrize(
+    ("name", "change"),
+    [
+        ("recipes", lambda d: d.where("doc_id <> 11")),
+        ("recipes", lambda d: d.unionByName(d.where("doc_id = 11"))),
+        ("recipes", lambda d: d.withColumn("doc_id", F.when(F.col("doc_id") == 11, 99).otherwise(F.col("doc_id")))),
+        ("recipes", lambda d: d.withColumn("root", F.when(F.col("doc_id") == 11, F.lit(b"x" * 16)).otherwise(F.col("root")))),
+        ("recipes", lambda d: d.withColumn("names", F.when(F.col("doc_id") == 11, F.lit(b"x" * 16)).otherwise(F.col("names")))),
+        ("manifest", lambda d: d.withColumn("root", F.when(F.col("block") < 0, F.lit(b"x" * 16)).otherwise(F.col("root")))),
+        ("manifest", lambda d: d.withColumn("root", F.when(F.col("block") >= 0, F.lit(b"x" * 16)).otherwise(F.col("root")))),
+        ("manifest", lambda d: d.where("block < 0")),
+        ("manifest", lambda d: d.where("block >= 0")),
+        ("chunks", lambda d: d.where(F.col("name") != d.agg(F.min("name")).first()[0])),
+    ],
+)
+def test_token_store_verifies(spark, tmp_path, name, change):
+    stored(spark, str(tmp_path / "s"))
+    assert token_store.read(spark, str(tmp_path / "s")).count() == 30
+    swap(spark, tmp_path, name, change)
+    with pytest.raises(Exception, match="manifest|root|missing|length"):
+        token_store.read(spark, str(tmp_path / "s")).collect()
+
+
+def test_token_store_hot_chunks(spark, tmp_path, monkeypatch):
+    """Chunks that many parts name, dealt out in copies."""
+    stored(spark, str(tmp_path / "s"))
+    want = sorted(map(tuple, token_store.read(spark, str(tmp_path / "s")).collect()))
+    monkeypatch.setattr(token_store, "HOT", 2)
+    assert sorted(map(tuple, token_store.read(spark, str(tmp_path / "s")).collect())) == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_ids_and_counts_are_the_librarys(spark):
+    """Every text of sf0.01, against the library."""
+    from ledgerlens.llm.bpe import tokenizer
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    e, t = token_store.Encoder(token_store.VOCABULARY), tokenizer(token_store.VOCABULARY)
+    for k in range(0, len(texts), 128):
+        ids, n = e.encode(texts[k : k + 128])
+        want = [x.ids for x in t.encode_batch(texts[k : k + 128], add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    count = token_counts.Counter(token_counts.VOCABULARY).count(texts)
+    assert list(count) == [len(x.ids) for x in tokenizer(token_counts.VOCABULARY).encode_batch(texts, add_special_tokens=False)]
