@@ -1,12 +1,14 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into blocks of text (lines). Pages are put in the order of their
-URL paths within each host; a page's lines are aligned with those of its nearest
-neighbours by longest common subsequence, and shared lines are deleted. Pages of
-equal lines count as one, so that a page's neighbours are others. Two guards keep
-articles whole: a neighbour is a copy of the page, no template, where the lines that
-differ hold little of the text on either side, and is passed over; and where a page
-marks its article itself, the mark decides and shared passages inside it stay.
+A page is cut into blocks of text (lines), without those that tags mark as no
+article. Pages are put in the order of their URL paths within each host; every
+page's lines are aligned with those of its nearest neighbours by longest common
+subsequence, and lines that most of them share are deleted. Pages of equal lines
+count as one, so that a page's neighbours are others. Guards keep articles whole:
+neighbours where the lines that differ hold little of the text on either side are
+copies of the page (or of each other), no templates, and don't count; a passage
+that a few neighbours quote isn't a template; and where a page marks its article
+itself, lines inside need more neighbours that agree.
 """
 
 from __future__ import annotations
@@ -24,9 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, prefix_sums, saved, table
 
-#: Neighbours looked at on either side; share of equal lines, and of their words, up to which one neighbour is
-#: enough for a template; share of the words in other lines from which two are; pages dealt out together.
-NEIGHBOURS, COPY, DIFFER, TOGETHER = 2, 0.6, 0.2, 64
+#: Neighbours looked at on either side; share of equal lines, and of their words, up to which a neighbour is
+#: surely no copy; share of the words in other lines from which it is none; pages dealt out together.
+NEIGHBOURS, COPY, DIFFER, TOGETHER = 6, 0.6, 0.2, 128
+#: Share of the neighbours that have a template's line, and of those inside a marked article with least number.
+MOST, INSIDE, LEAST = 0.5, 0.75, 3
+#: Lines that must be equal where a page has a single neighbour.
+ALONE = 3
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)/?>|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)[^<>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -155,7 +161,12 @@ def main_lines(page: str | None) -> tuple[int, list[str]]:
 
 
 def common(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of a longest common subsequence (Hunt and Szymanski)."""
+    """Positions in a of a longest common subsequence."""
+    return [i for i, _ in aligned(a, b)]
+
+
+def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Positions in a and b of a longest common subsequence (Hunt and Szymanski)."""
     places: dict[int, list[int]] = {}
     for j in range(len(b) - 1, -1, -1):
         places.setdefault(b[j], []).append(j)
@@ -164,7 +175,7 @@ def common(a: list[int], b: list[int]) -> list[int]:
     for i, x in enumerate(a):
         for j in places.get(x, ()):
             k = bisect.bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
+            link = ((i, j), links[k - 1] if k else None)
             if k == len(ends):
                 ends.append(j)
                 links.append(link)
@@ -177,30 +188,38 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _other(page: tuple[list[int], list[int]], other: tuple[list[int], list[int]]) -> tuple[list[int], float, bool]:
-    """(positions of the lines that other has too, share of the words in the lines
-    that differ, whether other is surely no copy); pages are (lines, words of each)."""
-    same, back = common(page[0], other[0]), common(other[0], page[0])
-    rest = min(1 - sum(w[k] for k in at) / max(1, sum(w)) for (_, w), at in ((page, same), (other, back)))
-    return same, rest, len(same) <= COPY * max(len(page[0]), len(other[0])) or rest >= 1 - COPY
-
-
-def shared(page: tuple[list[int], list[int]], around: list[tuple[list[int], list[int]]]) -> set[int]:
-    """Positions of the lines that a neighbour that is no copy also has, or two that
-    are none of each other where their own lines are a smaller part of the text."""
-    gone: set[int] = set()
-    found = []
-    for other in around:
-        same, rest, sure = _other(page, other)
-        if sure:
-            gone.update(same)
-        if sure or rest >= DIFFER:
-            found.append((other, set(same)))
-    for k, (one, a) in enumerate(found):
-        for two, b in found[k + 1 :]:
-            if not (a & b) <= gone and _other(one, two)[1] >= DIFFER:
-                gone |= a & b
-    return gone
+Page = tuple[list[int], list[int]]
+
+
+def compared(one: Page, two: Page) -> tuple[list[int], list[int], bool, bool]:
+    """(positions of the lines of one that two has too, those of two, whether they
+    are no copies, whether surely); pages are (lines, words of each)."""
+    if not set(one[0]) & set(two[0]):
+        return [], [], True, True
+    pairs = aligned(one[0], two[0])
+    a, b = [i for i, _ in pairs], [j for _, j in pairs]
+    rest = min(1 - sum(w[k] for k in at) / max(1, sum(w)) for (_, w), at in ((one, a), (two, b)))
+    sure = len(a) <= COPY * max(len(one[0]), len(two[0])) or rest >= 1 - COPY
+    return a, b, sure or rest >= DIFFER, sure
+
+
+def shared(k: int, near: list[int], pair, marked: bool) -> list[int]:
+    """Positions of the lines of page k that are its template's: those that most of
+    the pages `near` have too (nearest first; copies of k, or of one another, count
+    once or not at all). pair(i, j) is compared() of the pages i and j."""
+    others: list[int] = []
+    for j in near:
+        if pair(k, j)[2] and all(pair(i, j)[2] for i in others):
+            others.append(j)
+    if len(others) == 1:
+        same, _, _, sure = pair(k, others[0])
+        return same if sure and len(same) >= ALONE and not marked else []
+    votes: dict[int, int] = {}
+    for j in others:
+        for at in pair(k, j)[0]:
+            votes[at] = votes.get(at, 0) + 1
+    need = max(LEAST, INSIDE * len(others)) if marked else max(2, MOST * len(others))
+    return sorted(at for at, n in votes.items() if n >= need)
 
 
 @functools.cache
@@ -245,7 +264,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hosts), pa.array(paths), pa.array(marked, pa.bool_()), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["_key", "host", "path", "marked", "lines", "words"])
 
     measured = rows.select("_key", "url", "html").mapInArrow(measure, "_key long, host string, path string, marked boolean, lines array<long>, words array<int>")
-    measured = saved(measured.withColumn("content", F.xxhash64("host", "lines")), "measured")
+    measured = saved(measured.withColumn("content", F.xxhash64("host", "lines", "marked")), "measured")
     first = F.min(F.struct("path", "_key")).alias("at")
     contents = measured.groupBy("content", "host").agg(first, F.bool_and("marked").alias("marked"), F.first("lines").alias("lines"), F.first("words").alias("words"))
     contents = contents.select("content", "host", F.col("at.path").alias("path"), "marked", "lines", "words", F.lit(1).cast("long").alias("one"))
@@ -258,17 +277,24 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         pdf = pdf.sort_values("place").reset_index(drop=True)
         contents, gone = [], []
         pages = list(zip(map(list, pdf["lines"]), map(list, pdf["words"]), strict=True))
-        for k in np.flatnonzero((pdf["home"] == pdf["group"]) & ~pdf["marked"]):
-            near = [j for j in range(max(0, k - NEIGHBOURS), min(len(pdf), k + NEIGHBOURS + 1)) if j != k and pdf["host"][j] == pdf["host"][k]]
-            at = shared(pages[k], [pages[j] for j in near])
-            if at:
+        host, home, marked = pdf["host"].tolist(), (pdf["home"] == pdf["group"]).to_numpy(), pdf["marked"].tolist()
+
+        @functools.cache
+        def pair(i: int, j: int) -> tuple:
+            if i > j:
+                a, b, other, sure = pair(j, i)
+                return b, a, other, sure
+            return compared(pages[i], pages[j])
+
+        for k in np.flatnonzero(home).tolist():
+            near = [j for d in range(1, NEIGHBOURS + 1) for j in (k - d, k + d) if 0 <= j < len(pdf) and host[j] == host[k]]
+            if at := shared(k, near, pair, marked[k]):
                 contents.append(pdf["content"][k])
-                gone.append(sorted(at))
+                gone.append(at)
         return pd.DataFrame({"content": pd.Series(contents, dtype="int64"), "gone": pd.Series(gone, dtype=object)})
 
     shares = dealt.groupBy("group").applyInPandas(compare, "content long, gone array<int>")
-    unmarked = measured.where("not marked").select("_key", "content").distinct()
-    deleted = saved(unmarked.join(shares, "content").groupBy("_key").agg(F.min("gone").alias("gone")), "deleted")
+    deleted = saved(measured.select("_key", "content").distinct().join(shares, "content").groupBy("_key").agg(F.min("gone").alias("gone")), "deleted")
     joined = rows.join(maybe_broadcast(deleted, 200_000), "_key", "left").select("page_id", "url", "html", "gone")
 
     def extract(batches):

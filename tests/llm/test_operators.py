@@ -462,3 +462,54 @@ def test_ids_and_counts_are_the_librarys(spark):
         assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
     count = token_counts.Counter(token_counts.VOCABULARY).count(texts)
     assert list(count) == [len(x.ids) for x in tokenizer(token_counts.VOCABULARY).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_html_differs_every_page(spark):
+    """Against a brute-force differencer: template lines inside marked articles go,
+    passages that a few pages quote stay, whether or not pages mark their article."""
+    r, rows, want = random.Random(6), [], {}
+    passages = [prose(7000 + k, 14) for k in range(3)]
+    for mark in (True, False):
+        for host in range(4):
+            menu = [f"Section {host} {k}" for k in range(3)]
+            for k in range(14):
+                n = len(rows)
+                own = [prose(n * 10 + j, 15) + f" x{n}" for j in range(3)]
+                if k in (2, 9):
+                    own.insert(1, passages[host % 3])
+                body = "".join(f"<p>{t}</p>" for t in [menu[0], *own, *menu[1:]])
+                rows.append((n, f"http://h{host}{mark}.org/{r.randrange(100)}/{k}", f"<article>{body}</article>" if mark else body))
+                want[n] = "\n".join(own)
+    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+    def lcs_at(a, b):  # one longest common subsequence by the plain table
+        d = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            d[i + 1, j + 1] = d[i, j] + 1 if a[i] == b[j] else max(d[i, j + 1], d[i + 1, j])
+        return int(d[-1, -1])
+
+    for _ in range(60):
+        pages = [([r.randrange(9) for _ in range(r.randrange(1, 10))], None) for _ in range(2)]
+        pages = [(p, [1] * len(p)) for p, _ in pages]
+        a, b, other, sure = html_text.compared(*pages)
+        assert len(a) == lcs_at(pages[0][0], pages[1][0]) and [pages[0][0][k] for k in a] == [pages[1][0][k] for k in b]
+        assert a == sorted(set(a)) and b == sorted(set(b)) and other >= sure
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_html_without_marks(spark):
+    """Pages whose article marks are taken out give the same texts."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?(article|main)[^>]*>", ""))
+    texts = lambda d: {r.page_id: r.text for r in html_text.main_text(d).collect()}
+    assert texts(bare) == texts(pages)
+
+
+def test_html_odd_pages(spark):
+    """A very long page, a host with one page, ties of URLs and null ids."""
+    long = "".join(f"<p>{prose(k, 30)} n{k}</p>" for k in range(3000))
+    rows = [(1, "http://one.org/", long), (None, "http://two.org/a", "<p>a b"), (2, "http://two.org/a", "<p>c d"), (3, "http://two.org/a", "<p>e f"), (3, "http://two.org/a", "<p>e f")]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((x.page_id or 0, x.n_chars) for x in got) == sorted([(0, 3), (1, max(x.n_chars for x in got)), (2, 3), (3, 3), (3, 3)])
+    assert next(x.text for x in got if x.page_id == 1).count("\n") == 2999
