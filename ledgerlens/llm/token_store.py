@@ -5,7 +5,7 @@ WINDOW ids says so, so equal passages give equal chunks. Chunks are named by a
 hash of their bytes and stored once (`chunks`); a document is the list of its
 chunks' names (`recipes`, in ascending doc_id order, with the position of its
 first id and a Merkle root over them). The Merkle manifest (`manifest`) has a root
-over the documents of each block of ids and one over the blocks.
+over the documents of each block of ids and one over all blocks.
 
 Reading back first compares the recipes with the manifest. Then it takes every
 stored chunk once: its bytes must hash to its name, and its crc32 and length are
@@ -36,8 +36,8 @@ VOCABULARY, END = "byte_bpe_50k.json", 2
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
 #: Bytes of a chunk's name.
 NAME = 16
-#: Ids of a block of the manifest.
-BLOCK = 1 << 24
+#: Ids of a block of the manifest; blocks under one node above them.
+BLOCK, UNDER = 1 << 18, 1 << 12
 #: Parts that name a chunk above which it is dealt out in copies, and most such chunks.
 HOT, HOT_CHUNKS = 20_000, 100_000
 #: Words and other pieces that a worker remembers before it begins anew. A bound on memory only.
@@ -264,11 +264,10 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
     lists = rows.select("doc_id", "n_tokens", "root", joined.alias("names"))
     placed = prefix_sums(lists, [], ["doc_id"], "n_tokens", "start")
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    kept = _blocks(spark.read.schema(_RECIPE).parquet(f"{path}/recipes")).orderBy("block").toPandas()  # a row for BLOCK ids
-    total = pd.DataFrame({"block": [-1], "documents": [int(kept.documents.sum())], "root": [merkle([bytes(x) for x in kept.root])]})
-    manifest = pd.concat([total, kept]) if len(kept) else total
-    manifest["width"], manifest["vocabulary"], manifest["end"] = dtype.itemsize, vocabulary, end
-    spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+    about = [F.lit(v).alias(c) for c, v in (("width", dtype.itemsize), ("vocabulary", vocabulary), ("end", end))]
+    _blocks(spark.read.schema(_RECIPE).parquet(f"{path}/recipes")).select("*", *about).write.parquet(f"{path}/manifest")
+    documents, root = _total(spark.read.schema(_MANIFEST).parquet(f"{path}/manifest"))
+    spark.createDataFrame([(-1, documents, root, dtype.itemsize, vocabulary, end)], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
 _MANIFEST = "block long, documents long, root binary, width int, vocabulary string, `end` int"
@@ -288,6 +287,18 @@ def _blocks(recipes: DataFrame) -> DataFrame:
     return recipes.select(key, "start", "n_tokens", "root").groupBy(F.expr(f"start div {BLOCK}")).applyInPandas(root, "block long, documents long, root binary")
 
 
+def _total(blocks: DataFrame) -> tuple[int, bytes]:
+    """(documents, root) of the whole store, by way of a node for UNDER blocks."""
+
+    def root(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        return pd.DataFrame({"node": [pdf["block"].iloc[0] // UNDER], "documents": [pdf["documents"].sum()], "root": [merkle([f"{k} {n} ".encode() + bytes(r or b"") for k, n, r in zip(pdf["block"], pdf["documents"], pdf["root"], strict=True)])]})
+
+    nodes = blocks.groupBy(F.expr(f"block div {UNDER}")).applyInPandas(root, "node long, documents long, root binary")
+    nodes = nodes.orderBy("node").toPandas()  # a row for BLOCK * UNDER ids
+    return int(nodes.documents.sum()), merkle([bytes(x) for x in nodes.root])
+
+
 def verify(spark: SparkSession, path: str) -> int:
     """Raise unless the recipes are those of the manifest, none missing, changed or
     added, and the manifest's blocks give its total; returns the ids' width."""
@@ -295,11 +306,11 @@ def verify(spark: SparkSession, path: str) -> int:
     total = manifest.where("block < 0").first()
     if total is None:
         raise ValueError("the manifest has no total")
-    kept = manifest.where("block >= 0").select("block", "documents", "root").orderBy("block").toPandas()  # a row for BLOCK ids
-    if merkle([bytes(x) for x in kept.root]) != bytes(total["root"]) or int(kept.documents.sum()) != total["documents"]:
+    blocks = manifest.where("block >= 0").select("block", "documents", "root")
+    if _total(blocks) != (total["documents"], bytes(total["root"])):
         raise ValueError("the manifest's blocks haven't its root")
     now = _blocks(spark.read.schema(_RECIPE).parquet(f"{path}/recipes"))
-    then = spark.createDataFrame(kept, "_block long, _documents long, _root binary") if len(kept) else spark.createDataFrame([], "_block long, _documents long, _root binary")
+    then = blocks.select(*[F.col(c).alias(f"_{c}") for c in blocks.columns])
     same = F.col("documents").eqNullSafe(F.col("_documents")) & F.col("root").eqNullSafe(F.col("_root"))
     wrong = now.join(then, F.col("block") == F.col("_block"), "full").where(~same).select(F.coalesce("block", "_block")).take(1)
     if wrong:
