@@ -69,6 +69,31 @@ def maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+#: Rows of a key from which its join is split; most keys that are.
+HOT, MOST_HOT = 2000, 50_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: str, how: str = "inner", counts: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """many.join(one, on, how) where one value of `on` may hold a great part of the
+    rows of `many`. Such values are dealt out over as many tasks as they need, with
+    a copy of their rows of `one` for each; rows are counted by partial aggregation
+    first. counts: (on, _m), if known. `one` has few rows of each value."""
+    if counts is None:
+        counts = many.groupBy(on).agg(F.count("*").alias("_m"))
+    heavy = saved(counts.where((F.col("_m") > hot) & F.col(on).isNotNull()).select(F.col(on), "_m"), "heavy")
+    total = heavy.agg(F.sum("_m")).first()[0]
+    if total is None:
+        return many.join(one, on, how)
+    limit = max(hot, total // MOST_HOT)
+    copies = F.broadcast(heavy.where(F.col("_m") > limit).select(on, F.ceil(F.col("_m") / limit).cast("int").alias("_r")))  # at most MOST_HOT rows
+    times = F.coalesce("_r", F.lit(1))
+    # By content, so that a task that runs again deals its rows out alike.
+    salt = F.when(F.col("_r").isNull(), 0).otherwise(F.pmod(F.xxhash64(*many.columns), F.col("_r")).cast("int"))
+    left = many.join(copies, on, "left").withColumn("_salt", salt).drop("_r")
+    right = one.join(copies, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), times - 1))).drop("_r")
+    return left.join(right, [on, "_salt"], how).drop("_salt")
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Add `out`, the exact sum of the long column `value` over the rows of the
     same group that come before this one in `order`.

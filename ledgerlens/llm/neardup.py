@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import maybe_broadcast, saved, small, table
+from .common import maybe_broadcast, saved, small, spread_join, table
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 75
@@ -116,7 +116,8 @@ def confirm(found: DataFrame, docs: DataFrame, classes: DataFrame, similarity: i
     sets = saved(full_sets(docs, classes.select("cid", "raw").join(maybe_broadcast(ids, 1_000_000), "cid")), "sets")
     left = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
-    joined = found.where("node is null").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    # The pivot of a hot node is the `a` of all its pairs.
+    joined = spread_join(found.where("node is null").select("a", "b"), left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
     def run(batches):
         for b in batches:
@@ -249,7 +250,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     for level in range(DEPTH + 1):
         last = level == DEPTH
         sizes = members.groupBy("node").agg(F.count("*").alias("m"), F.min("cid").alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("m > 1 and l0 <> l1")
-        nodes = saved(members.join(sizes.drop("l0", "l1"), "node"), "nodes")
+        sizes = saved(sizes.drop("l0", "l1"), "sizes")
+        nodes = saved(spread_join(members, sizes, "node", counts=sizes.select("node", F.col("m").alias("_m")), hot=SMALL), "nodes")
         little, large = nodes.where(F.col("m") <= SMALL), nodes.where(F.col("m") > SMALL)
         hot, huge = bool(large.take(1)), bool(nodes.where(F.col("m") > MEDIUM).take(1))
         pairs = small_node_pairs(_collected(little.join(base.select("cid", "marks"), "cid")), across=level > 0)
@@ -265,8 +267,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         if last or level > 0 and not hot:
             break
         relabel = lambda d: d.drop("label").join(labels.select(F.col("node").alias("cid"), F.col("component").alias("_l")), "cid", "left").withColumn("label", F.coalesce("_l", "cid")).drop("_l")
-        mixed = lambda d: d.join(d.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node"), "node", "left_semi")
-        rest = saved(mixed(relabel(nodes if level == 0 else large)), "mixed")
+        rest = saved(_mixed(saved(relabel(nodes if level == 0 else large), "relabelled")), "mixed")
         again = rest.where(F.col("m") <= SMALL).select("node", "cid", "label")
         if hot:
             blocked = rest.where(F.col("m") > SMALL) if level + 1 == DEPTH else rest.where((F.col("m") > SMALL) & (F.col("m") <= MEDIUM))
@@ -278,6 +279,12 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return labels
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (node, label, ..) of nodes that hold several labels."""
+    found = saved(members.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("_m")).where("l0 <> l1"), "labelled")
+    return spread_join(members, found.select("node"), "node", "left_semi", counts=found.select("node", "_m"), hot=SMALL)
+
+
 def _in_blocks(members: DataFrame) -> DataFrame:
     """Nodes (node, m, cid, label) of m > SMALL members as many nodes of SMALL
     members or so: one for each two blocks of half as many."""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .bpe import SAFE, byte_alphabet, in_bytes, tokenizer
-from .common import prefix_sums, scratch_path, table
+from .common import prefix_sums, scratch_path, spread_join, table
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Chunks: window of the rolling hash, least, mean (a power of 2) and most ids.
@@ -38,8 +38,8 @@ WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
 NAME = 16
 #: Ids of a block of the manifest; blocks under one node above them.
 BLOCK, UNDER = 1 << 18, 1 << 12
-#: Parts that name a chunk above which it is dealt out in copies, and most such chunks.
-HOT, HOT_CHUNKS = 20_000, 100_000
+#: Parts that name a chunk above which it is joined in copies.
+HOT = 2000
 #: Words and other pieces that a worker remembers before it begins anew. A bound on memory only.
 REMEMBERED = 900_000
 #: Fixed value: the pre-token pattern of the vocabulary file.
@@ -370,16 +370,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.schema(_CHUNK).parquet(f"{path}/chunks")
     chunks = stored.select("name", "ids").mapInArrow(check, "name binary, crc long, n long")
     recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
-    parts = _parts(recipes, "start")
-    uses = stored.agg(F.sum("uses")).first()[0] or 0
-    hot = stored.where(F.col("uses") > max(HOT, uses // HOT_CHUNKS)).select("name", F.ceil(F.col("uses") / HOT).cast("int").alias("_r"))
-    if hot.take(1):  # copies of the chunks that very many parts name, so that their parts are many tasks'
-        hot = F.broadcast(hot)  # fewer than HOT_CHUNKS rows
-        salted = lambda d, salt: d.join(hot, "name", "left").withColumn("_s", salt).drop("_r")
-        many = F.coalesce("_r", F.lit(1))
-        parts = salted(parts, F.pmod(F.xxhash64("start", "at"), many).cast("int")).join(salted(chunks, F.explode(F.sequence(F.lit(0), many - 1))), ["name", "_s"], "left")
-    else:
-        parts = parts.join(chunks, "name", "left")
+    # A chunk that very many parts name is joined in copies.
+    uses = stored.select("name", F.col("uses").alias("_m"))
+    parts = spread_join(_parts(recipes, "start"), chunks, "name", "left", counts=uses, hot=HOT)
     found = parts.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "crc", "n"))).alias("parts"))
     found = found.select("start", F.col("parts.crc").alias("crc"), F.col("parts.n").alias("n"))
     whole = found.join(recipes, "start").select("start", "doc_id", "n_tokens", "root", "names", "crc", "n")

@@ -513,3 +513,21 @@ def test_html_odd_pages(spark):
     got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((x.page_id or 0, x.n_chars) for x in got) == sorted([(0, 3), (1, max(x.n_chars for x in got)), (2, 3), (3, 3), (3, 3)])
     assert next(x.text for x in got if x.page_id == 1).count("\n") == 2999
+
+
+def test_spread_join(spark):
+    """A hot key, null keys and keys without a partner, as the plain join gives them."""
+    from ledgerlens.llm.common import spread_join
+
+    many = spark.createDataFrame([(k, 1 if k % 3 else k % 40) for k in range(600)] + [(700, None)], "n long, key long")
+    one = spark.createDataFrame([(k, k * 10) for k in range(20)], "key long, v long")
+    for how in ("inner", "left", "left_semi"):
+        got, want = spread_join(many, one, "key", how, hot=30), many.join(one, "key", how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_components_settle(spark, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settled"):
+        components.components(chain, rounds=1)
