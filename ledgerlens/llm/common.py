@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     folder is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
         spark.conf.set("spark.checkpoint.dir", base)

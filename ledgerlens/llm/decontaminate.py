@@ -160,12 +160,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-30)[:, None]
 
 
-_HITS = "doc_id long, words binary"
-
-
 def hits(docs: DataFrame, block=None) -> DataFrame:
     """(doc_id, words) of rows (text, doc_id): hashes of all words, as unsigned
-    32-bit integers."""
+    32-bit integers. Ids are of any type."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -175,7 +173,7 @@ def hits(docs: DataFrame, block=None) -> DataFrame:
                 out += [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "words"])
 
-    return docs.mapInArrow(run, _HITS)
+    return docs.mapInArrow(run, f"doc_id {kind}, words binary")
 
 
 def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -345,6 +343,7 @@ def _check(b: Benchmark, k: int, whole: np.ndarray, begin: int) -> tuple[float,
 
 def search(found: DataFrame, block) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer) from hits."""
+    kind = found.schema["doc_id"].dataType.simpleString()
 
     def look(batches):
         b = block.value
@@ -363,16 +362,16 @@ def search(found: DataFrame, block) -> DataFrame:
                     if got and (old is None or (got[0], c) > (old[1], old[0])):
                         best[d, k] = (min(1.0, c), *got)
             rows = [(keys[d], b.ids[k], *v) for (d, k), v in sorted(best.items())]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
 
-    return found.mapInArrow(look, "doc_id long, item_id long, cosine double, lcs double, answer boolean")
+    return found.mapInArrow(look, f"doc_id {kind}, item_id long, cosine double, lcs double, answer boolean")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS, key: str = "long") -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): each document with each benchmark
     item that it holds, word for word, as a paraphrase or by RUN words in a row;
-    cosine is that of a window and a piece that led to the check.
+    cosine is that of a window and a piece that led to the check; key: the type of doc_id.
 
     Null and empty texts hold nothing, and null and empty items are held by
     nothing; items of fewer than SHORT words are held word for word only, those of
@@ -382,7 +381,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> D
     are no rows. Documents are searched whole.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast(key).alias("doc_id"))
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     kept, space, found, held, size = None, None, None, ([], []), 0
 
@@ -412,7 +411,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> D
     if held[0]:
         one_block()
     if found is None:
-        schema = T._parse_datatype_string("doc_id long, item_id long, cosine double, lcs double, answer boolean")
+        schema = T._parse_datatype_string(f"doc_id {key}, item_id long, cosine double, lcs double, answer boolean")
         return spark.createDataFrame([], schema)
     return found
 

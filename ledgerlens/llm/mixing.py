@@ -60,8 +60,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     Null texts and texts without words have size 0. A null source is a source of
     its own, last. Within a source documents are stretched out by (size, key), so
-    that every size is sampled at the source's rate; rows equal in both get
-    copies in some order, which gives the same rows. A source without words has
+    that every size is sampled at the source's rate, ties by the columns in carry;
+    rows equal in all get copies in some order, which gives the same rows. A source without words has
     target 0 and no copies. An empty table gives no rows. Other columns are ignored.
     """
     sizes = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), *(carry or []))
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(most * UNIT), F.round(F.col("target") / F.col("source_size") * UNIT).cast("long"))).otherwise(F.lit(0))
     rated = targets.select(F.col("source").alias("_s"), "source_size", "target", rate.cast("long").alias("_expected"))
     joined = sizes.join(maybe_broadcast(rated, 10_000), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    run = prefix_sums(joined, ["source"], ["size", "doc_id"], "_expected", "_before")
+    run = prefix_sums(joined, ["source"], ["size", "doc_id", *(carry or [])], "_expected", "_before")
     u = offset(F.col("source"), seed)
     crossed = F.shiftright(F.col("_before") + F.col("_expected") + u, 32) - F.shiftright(F.col("_before") + u, 32)
     return run.withColumn("copies", crossed).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(carry or []))

@@ -117,7 +117,7 @@ def confirm(found: DataFrame, docs: DataFrame, classes: DataFrame, similarity: i
     left = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
     # The pivot of a hot node is the `a` of all its pairs.
-    joined = spread_join(found.where("node is null").select("a", "b"), left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    joined = spread_join(found.where("node is null").select("a", "b"), left, "a", hot=SMALL // 2).join(right, "b").select("a", "b", "sa", "sb")
 
     def run(batches):
         for b in batches:

@@ -13,16 +13,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Bytes of a piece; pieces of a text that go into a dictionary's training at most; bytes of a dictionary.
-PIECE, PIECES, DICTIONARY, LEVEL = 1024, 8, 32_768, 3
+#: Bytes of a piece; bytes of a dictionary.
+PIECE, DICTIONARY, LEVEL = 1024, 32_768, 3
 #: Labelled rows of each class that train the dictionaries, and as many that fit
-#: the curve: the bound on the sample, whatever the size of the tables.
-SAMPLE = 2_000
+#: the curve: the bound on the sample, whatever the size of the tables. Texts are
+#: taken whole, and no further rows once those of a class have SAMPLE_BYTES.
+SAMPLE, SAMPLE_BYTES = 2_000, 16 << 20
 THRESHOLD, FOLDS = 0.3, 5
 
 
@@ -106,14 +107,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         part = known.where(F.col("_q") == q).orderBy(order, "_id").limit(2 * sample).select("_id", "_q")
         chosen = part if chosen is None else chosen.unionByName(part)
     use = F.when(F.pmod(F.xxhash64(F.lit("half"), F.col("_id")), F.lit(2)) == 0, F.lit("train")).otherwise(F.lit("curve"))
-    rows = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("text"), F.col("_q").cast("int").alias("q"), use.alias("use"))
+    rows = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string").alias("text"), F.col("_q").cast("int").alias("q"), use.alias("use"), "_id")
 
     def cut(batches):
         for b in batches:
             text, q = b.column(0).to_pylist(), b.column(1).to_pylist()
-            parts = [p[:: max(1, -(-len(p) // PIECES))] for p in map(pieces, text)]
+            parts = list(map(pieces, text))
             yield pa.RecordBatch.from_arrays([pa.array([p for ps in parts for p in ps], pa.binary()), pa.array([q[k] for k, ps in enumerate(parts) for _ in ps], pa.int32())], names=["piece", "q"])
 
+    # A few thousand rows, dealt by class and half.
+    before = Window.partitionBy("q", "use").orderBy(order, "_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_bytes", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("_bytes") < SAMPLE_BYTES)
     found = rows.where("use = 'train'").select("text", "q").mapInArrow(cut, "piece binary, q int").toPandas()
     found = found.sort_values("piece", kind="mergesort")
     prior = known.agg(F.avg("_q")).first()[0]
