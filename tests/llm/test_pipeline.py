@@ -58,3 +58,64 @@ def test_odd_rows(spark, tmp_path):
     assert P.mixed(spark, kept, str(tmp_path)).count() == 4
     for stage in (P.distinct, P.clean, P.mixed, P.tokens):
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage on rows with columns that clash with names the stages use."""
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    from ledgerlens.llm import mixing, quality, token_store
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_operators import brute_groups
+
+    r = random.Random(11)
+    items = [(k, prose(9500 + k, 30)) for k in range(4)]
+    texts = [prose(k, r.choice([3, 40, 90])) for k in range(60)] + ["", None, " "]
+    texts += [texts[k] + " " + r.choice(WORDS) for k in range(12)] + [prose(600 + k, 50).upper().replace(" ", "!! ") for k in range(24)]
+    texts += [prose(800 + k, 40) + " " + items[k][1] + " " + prose(820 + k, 40) for k in range(4)]
+    rows = [(k, t, "en", None if k % 9 == 0 else f"s{k % 3}", 0, f"x{k}", k) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _k string, _n long")
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_k", "_n"]
+    spark.createDataFrame([(k, int(not (t or "").isupper() and "!!" not in (t or ""))) for k, t in enumerate(texts)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = lambda f, d: f(spark, d, str(tmp_path))
+    ids = lambda d: Counter(x.doc_id for x in d.collect())
+
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    g, b, curve = quality.fit(docs, labels)
+    out = stage(P.good, docs)
+    assert out.columns == names
+    assert ids(out) == Counter(k for k, t in enumerate(texts) if quality.probability(curve, quality.difference(t, g, b)) >= quality.THRESHOLD)
+
+    out = stage(P.distinct, docs)
+    assert out.columns == names and ids(out) == Counter(k for k, (_, c) in brute_groups([(k, t) for k, t, *_ in rows]).items() if k == c)
+    assert all(x._k == f"x{x.doc_id}" and x._n == x.doc_id for x in out.collect())
+
+    out = stage(P.clean, docs)
+    held = lambda t: any(i in f" {t or ''} " for _, i in items)
+    assert out.columns == names and ids(out) == Counter(k for k, t in enumerate(texts) if not held(t))
+
+    out = stage(P.mixed, docs)
+    size = {k: len((t or "").split()) for k, t in enumerate(texts)}
+    target = {x.source: (x.source_size, x.target) for x in mixing.source_targets(spark.createDataFrame([(x[3], size[x[0]]) for x in rows], "source string, size long")).collect()}
+    start = {x.source: x.u for x in spark.createDataFrame([(s,) for s in target], "source string").select("source", mixing.offset(F.col("source")).alias("u")).collect()}
+    want = Counter()
+    for s, (total, goal) in target.items():
+        at = start[s]
+        for k in sorted((x[0] for x in rows if x[3] == s), key=lambda k: (size[k], k)):
+            step = min(3 << 32, round(goal / total * (1 << 32)))
+            want[k] += (at + step >> 32) - (at >> 32)
+            at += step
+    assert out.columns == names and ids(out) == +want
+
+    from ledgerlens.llm.bpe import tokenizer
+
+    t, at = tokenizer(token_store.VOCABULARY), 0
+    got = sorted(stage(P.tokens, docs).collect(), key=lambda x: x.start)
+    for (k, text, *_), x in zip(rows, got, strict=True):
+        own = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (x.doc_id, x.start, x.n_tokens, x.ids_crc32) == (k, at, len(own), zlib.crc32(np.array(own, dtype="<u4").tobytes()))
+        at += len(own)
