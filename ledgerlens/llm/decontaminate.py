@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .common import saved, table
+from .common import saved, table, trim
 
 #: Words of a passage of the SVD; hashed vocabulary; singular vectors kept, random ones more.
 PASSAGE, SLOTS, RANK, OVER = 64, 1 << 13, 64, 8
@@ -245,6 +245,7 @@ def topics(found: DataFrame, block, rank: int = RANK, over: int = OVER) -> tuple
                 total = sums[last]
                 total[1:] -= sums[last[:-1]]
                 z[slots[order[last]]] += total
+        trim()
         for k, rows in enumerate(np.array_split(z[:SLOTS], parts)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["part", "task", "rows"])
 
@@ -364,6 +365,7 @@ def search(found: DataFrame, block) -> DataFrame:
             rows = [(keys[d], b.ids[k], *v) for (d, k), v in sorted(best.items())]
             kinds = (batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
+        trim()
 
     return found.mapInArrow(look, f"doc_id {kind}, item_id long, cosine double, lcs double, answer boolean")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import maybe_broadcast, saved, small, spread_join, table
+from .common import maybe_broadcast, saved, small, spread_join, table, trim
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 75
@@ -86,6 +86,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 cid.append(content_id(words) if len(values) else None)
                 sig.append(signature(values).tolist() if len(values) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "raw", "cid", "n_shingles", "sig"])
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, raw long, cid long, n_shingles long, sig array<int>")
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .bpe import SAFE, byte_alphabet, in_bytes, tokenizer
-from .common import prefix_sums, scratch_path, spread_join, table
+from .common import prefix_sums, scratch_path, spread_join, table, trim
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Chunks: window of the rolling hash, least, mean (a power of 2) and most ids.
@@ -41,7 +41,7 @@ BLOCK, UNDER = 1 << 18, 1 << 12
 #: Parts that name a chunk above which it is joined in copies.
 HOT = 2000
 #: Words and other pieces that a worker remembers before it begins anew. A bound on memory only.
-REMEMBERED = 900_000
+REMEMBERED = 450_000
 #: Fixed value: the pre-token pattern of the vocabulary file.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A piece of letters with marks behind them: two pre-tokens of that pattern.
@@ -212,6 +212,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     """(doc_id, n_tokens, root, chunks: array of (name, n, ids)), one row per row of docs."""
 
     def run(batches):
+        trim()
         e = encoder(vocabulary)
         for b in batches:
             if b.num_rows:
@@ -220,6 +221,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
                 out = np.full(len(ids) + len(count), end, dtype=e.dtype)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
                 yield _rows(b.column(0), out, offsets)
+        trim()
 
     chosen = docs.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"cast(`{text}` as string) as text")
     return chosen.mapInArrow(run, "doc_id long, n_tokens long, root binary, chunks array<struct<name: binary, n: int, ids: binary>>")
