@@ -42,6 +42,8 @@ BLOCK, UNDER = 1 << 18, 1 << 12
 HOT = 2000
 #: Words and other pieces that a worker remembers before it begins anew. A bound on memory only.
 REMEMBERED = 450_000
+#: Bytes of text that a worker encodes at once.
+SLICE = 2 << 20
 #: Fixed value: the pre-token pattern of the vocabulary file.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A piece of letters with marks behind them: two pre-tokens of that pattern.
@@ -214,7 +216,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     def run(batches):
         trim()
         e = encoder(vocabulary)
-        for b in batches:
+        for b in (part for batch in batches for part in _slices(batch)):
             if b.num_rows:
                 ids, count = e.encode([t or "" for t in b.column(1).to_pylist()])
                 offsets = np.concatenate(([0], np.cumsum(count + 1)))
@@ -227,6 +229,14 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     return chosen.mapInArrow(run, "doc_id long, n_tokens long, root binary, chunks array<struct<name: binary, n: int, ids: binary>>")
 
 
+def _slices(batch: pa.RecordBatch):
+    """Runs of rows of about SLICE bytes of text; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    edges = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE)) + 1
+    for x, y in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(x, y - x)
+
+
 _CHUNKS = pa.struct([("name", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
 
 
