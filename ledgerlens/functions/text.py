@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words dropped from company names and from file names.
-SUFFIXES = "inc incorporated llc ltd limited corp corporation co company gmbh ag sa sas bv nv plc oy ab as spa srl pty holdings group labs".split()
-NOISE = "deck pitch pitchdeck presentation final draft copy version series seed round investor confidential pdf pptx v1 v2 v3".split()
+SUFFIXES = "inc incorporated ltd limited llc corp corporation co company gmbh ag sa plc technologies tech holdings holding group ventures fz pte pty bv nv oy ab as spa srl sas labs".split()
+NOISE = "deck pitch pitchdeck slides series round seed preseed v1 v2 v3 final draft confidential copy report summary presentation version investor pdf pptx".split()
 FILE_ENDINGS = "pdf ppt pptx doc docx xls xlsx csv png jpg jpeg gif txt".split()
 
 

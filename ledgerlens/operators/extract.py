@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numbers as N
 from ..functions import temporal as M
@@ -91,11 +93,15 @@ def table_observations(tables: DataFrame, keys: list[str], as_of: Column) -> Dat
     t = tables.select(*keys, F.transform("grid", X.clean_row).alias("grid"))
     t = t.withColumn("_h", table_header(F.col("grid"))).where("_h is not null")
     units = N.table_units(F.array_join(F.flatten(F.slice("grid", 1, 3)), " "))
-    rows = t.select(*keys, "_h", units.alias("_u"), F.element_at("grid", F.col("_h") + 1).alias("_head"), F.posexplode("grid").alias("_r", "row")).where("_r > _h")
+    # The header's periods are read once a table; rows then look only at their columns.
+    head = F.transform(F.element_at("grid", F.col("_h") + 1), lambda c, i: F.struct(i.alias("col"), c.alias("label")))
+    t = t.select(*keys, "_h", "grid", units.alias("_u"), F.filter(head, lambda x: x["label"].rlike(PERIOD)).alias("_cols"))
+    t = t.withColumn("_p", F.transform("_cols", lambda x: M.parse_label(x["label"], as_of)))
+    rows = t.select(*keys, "_h", "_u", "_cols", "_p", F.posexplode("grid").alias("_r", "row")).where("_r > _h")
     rows = rows.withColumn("metric_code", row_metric(F.try_element_at(F.filter("row", lambda c: c != ""), F.lit(1)))).where("metric_code is not null")
-    cells = rows.select(*keys, "metric_code", "_u", "_head", "_r", F.posexplode("row").alias("_c", "cell")).withColumn("period_label", F.get("_head", F.col("_c"))).where(F.col("period_label").rlike(PERIOD))
-    cells = cells.withColumn("value", N.table_cell(F.col("cell"), F.col("metric_code"), F.col("_u"))).where("value is not null").withColumn("_p", M.parse_label(F.col("period_label"), as_of))
-    return cells.select(*keys, "metric_code", F.col("_r").alias("row"), F.col("_c").alias("col"), "period_label", "value", "cell", F.col("_p.scenario").alias("scenario"), F.col("_p.as_of_date").alias("as_of_date"))
+    cells = F.explode(F.zip_with("_cols", "_p", lambda x, p: F.struct(x["col"].alias("col"), x["label"].alias("label"), F.get("row", x["col"]).alias("cell"), p.alias("p"))))
+    cells = rows.select(*keys, "metric_code", "_u", "_r", cells.alias("_c")).withColumn("value", N.table_cell(F.col("_c.cell"), F.col("metric_code"), F.col("_u"))).where("value is not null")
+    return cells.select(*keys, "metric_code", F.col("_r").alias("row"), "_c.col", F.col("_c.label").alias("period_label"), "value", "_c.cell", F.col("_c.p.scenario").alias("scenario"), F.col("_c.p.as_of_date").alias("as_of_date"))
 
 
 def matrix_observations(chunks: DataFrame, keys: list[str], as_of: Column) -> DataFrame:
@@ -118,15 +124,61 @@ def retrieve(chunks: DataFrame, query: list[str], group: list[str], order: str,
     return top_k(chunks.withColumn("score", score).where("score > 0"), group, [F.desc("score"), F.asc(order)], k)
 
 
+#: Quotes, and characters of quotes, looked for in one pass over the texts (a bound on memory only).
+QUOTES, QUOTE_CHARS = 20_000, 4_000_000
+
+
 def contains_join(texts: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
-    """Pairs where the quote is in the text, without a nested loop: a quote of
-    two words at least is looked up by its first two, which must follow each
-    other in the text; `contains` then confirms. Quotes of one word find nothing."""
-    q = quotes.withColumn("_w", F.split(F.trim(quote), r"\s+")).where(F.size("_w") >= 2)
-    # The first word may begin, and the second end, inside a longer one: key on the end of one and the beginning of the other.
-    q = q.withColumn("_key", F.concat_ws(" ", F.right(F.col("_w")[0], F.lit(3)), F.substring(F.col("_w")[1], 1, 1))).drop("_w")
-    # Words are split once, in a column of their own; neighbours meet by zipping the list with itself.
-    t = texts.withColumn("_w", F.split(text, r"\s+")).withColumn("_x", F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))))
-    keys = F.array_distinct(F.zip_with("_w", "_x", lambda a, z: F.concat_ws(" ", F.right(a, F.lit(3)), F.substring(z, 1, 1))))
-    t = t.withColumn("_key", F.explode(keys)).drop("_w", "_x")
-    return t.join(broadcast_if_small(q), "_key").where(F.col(text).contains(F.col(quote))).drop("_key")
+    """Pairs where the quote is in the text, of any length, wherever words begin.
+    An empty quote is in every text, a null one or a null text in no pair.
+
+    The quotes, a stated query set, are taken in blocks; an automaton of a block's
+    (Aho and Corasick) finds all of them in one pass over the texts, without keys,
+    shuffles or copies of texts without a match.
+    """
+    spark = texts.sparkSession
+    at, schema = texts.columns.index(text), T.StructType([*texts.schema.fields, T.StructField("_quote", T.StringType())])
+    wanted = quotes.select(F.col(quote).alias("q")).where("q is not null").distinct()
+
+    def one_pass(block: list[str]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)  # at most QUOTES
+
+        def find(batches):
+            find_all = _automaton(shared.value)
+            for b in batches:
+                rows, found = [], []
+                for k, t in enumerate(b.column(at).to_pylist()):
+                    if t is not None:
+                        hits = find_all(t)
+                        rows += [k] * len(hits)
+                        found += hits
+                if rows:
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows)).columns, pa.array(found, pa.string())], names=[*b.schema.names, "_quote"])
+
+        return texts.mapInArrow(find, schema)
+
+    out, block, size = None, [], 0
+    for r in wanted.toLocalIterator():
+        block.append(r["q"])
+        size += len(r["q"])
+        if len(block) == QUOTES or size >= QUOTE_CHARS:
+            out = one_pass(block) if out is None else out.unionByName(one_pass(block))
+            block, size = [], 0
+    if block or out is None:
+        out = one_pass(block) if out is None else out.unionByName(one_pass(block))
+    return out.join(broadcast_if_small(quotes), F.col("_quote") == F.col(quote)).drop("_quote")
+
+
+def _automaton(quotes: list[str]):
+    """A function that gives the distinct quotes in a text."""
+    import ahocorasick
+
+    empty = [q for q in quotes if not q]
+    machine = ahocorasick.Automaton()
+    for q in quotes:
+        if q:
+            machine.add_word(q, q)
+    if not len(machine):
+        return lambda text: empty
+    machine.make_automaton()
+    return lambda text: [*empty, *dict.fromkeys(q for _, q in machine.iter(text))]

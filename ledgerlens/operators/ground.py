@@ -11,7 +11,7 @@ from ..functions import text as X
 
 # Weights of fields; domains that prove nothing.
 FIELDS = {"name": 3.0, "website": 2.0, "description": 1.0, "location": 1.0, "sector": 1.0, "founders": 1.0, "funding_stage": 0.5, "funding_amount": 0.5}
-GENERIC = ["google.com", "linkedin.com", "facebook.com", "twitter.com", "medium.com", "github.com", "wikipedia.org", "crunchbase.com"]
+GENERIC = ["linkedin.com", "crunchbase.com", "twitter.com", "facebook.com", "instagram.com", "youtube.com", "medium.com", "github.com", "techcrunch.com", "forbes.com", "bloomberg.com", "reuters.com", "wamda.com", "magnitt.com", "zawya.com"]
 
 
 def name_confidence(name: Column, text: Column) -> Column:
@@ -34,7 +34,7 @@ def website_confidence(website: Column, name: Column, text: Column) -> Column:
     first = F.regexp_replace(F.lower(F.split(name, r"\s+")[0]), "[^a-z0-9]", "")
     flat = F.regexp_replace(host, "[^a-z0-9]", "")
     low = F.lower(text)
-    return F.when(host.isNull() | host.isin(GENERIC), 0.0).when(flat.contains(plain), 0.9).when((F.length(first) >= 3) & flat.contains(first), 0.7).when(low.contains(F.lower(website)), 1.0).when(low.contains(host), 0.8).otherwise(0.0)
+    return F.when(host.isNull() | reduce(lambda a, b: a | b, [host.contains(d) for d in GENERIC]), 0.0).when(flat.contains(plain), 0.9).when((F.length(first) >= 3) & flat.contains(first), 0.7).when(low.contains(F.lower(website)), 1.0).when(low.contains(host), 0.8).otherwise(0.0)
 
 
 def claim_confidence(claim: Column, text: Column) -> Column:

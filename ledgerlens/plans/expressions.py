@@ -48,9 +48,9 @@ NEG = r"regexp_matches(cell, '^\s*(\(|-)')"
 HOST = r"nullif(regexp_replace(regexp_extract(lower(CASE WHEN regexp_matches(website, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN website ELSE 'http://' || website END), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1), '^www\.', ''), '')"
 
 
-@query("SELECT id, amount, tenth, unit, raw FROM b WHERE id % 2 = 0", MEMO)
+@query("SELECT id, amount, tenth, unit, raw FROM b", MEMO)
 def prj_rename_nest(b):
-    nested = b.where("id % 2 = 0").select("id", F.struct("amount", "tenth").alias("metric"), F.struct("unit", "raw").alias("source"))
+    nested = b.select("id", F.struct("amount", "tenth").alias("metric"), F.struct("unit", "raw").alias("source"))
     return nested.select("id", "metric.amount", "metric.tenth", "source.unit", "source.raw")
 
 

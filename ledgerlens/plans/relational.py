@@ -22,9 +22,8 @@ RANK = "CASE scenario WHEN 'actual' THEN 0 WHEN 'estimate' THEN 2 WHEN 'projecti
 WIN = f"row_number() OVER (PARTITION BY company_id, metric_id ORDER BY {RANK}, as_of_date DESC NULLS LAST, source_priority, captured_at DESC NULLS LAST, confidence DESC NULLS LAST, k1, k2, k3, k4)"
 VALS = """
 SELECT l_suppkey AS company_id, p_type AS mtype, p_brand AS metric,
-  CASE WHEN (l_suppkey + p_size) % 13 = 0 THEN NULL ELSE CAST(max(CAST(floor(l_quantity) AS BIGINT)) % 5 + 1 AS DOUBLE) END AS score, CAST(max(l_partkey) % 3 + 1 AS DOUBLE) AS weight
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
-WHERE (l_suppkey + length(p_type)) % 7 <> 0 AND p_size < 12 GROUP BY l_suppkey, p_type, p_brand, p_size"""
+  CASE WHEN (l_suppkey + p_size) % 13 = 0 OR (l_suppkey + length(p_type)) % 7 = 0 THEN NULL ELSE CAST(max(CAST(floor(l_quantity) AS BIGINT)) % 5 + 1 AS DOUBLE) END AS score, CAST(max(l_partkey) % 3 + 1 AS DOUBLE) AS weight
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_suppkey, p_type, p_brand, p_size"""
 TYPES = "SELECT p_type AS mtype, p_type IN ('ECONOMY', 'MEDIUM', 'PROMO', 'LARGE') AS must_have, CAST(length(p_type) AS DOUBLE) / 4 AS weight FROM {part} GROUP BY p_type"
 FIN = """
 SELECT o_custkey AS company_id, CASE o_orderkey % 5 WHEN 0 THEN 'gross_margin' WHEN 1 THEN 'runway_months' WHEN 2 THEN 'revenue' WHEN 3 THEN 'burn_rate' ELSE 'funding_stage' END AS code,
@@ -304,9 +303,9 @@ def jn_provenance_chain(spark, sf):
     )
 
 
-@query("SELECT l_orderkey, l_linenumber, o_orderpriority, p_brand FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_suppkey < 20")
+@query("SELECT l_orderkey, l_linenumber, o_orderpriority, p_brand FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey")
 def jn_resolver_candidates(spark, sf):
-    li = scan(spark, sf, "lineitem").where("l_suppkey < 20")
+    li = scan(spark, sf, "lineitem")
     return li.join(scan(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(scan(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "o_orderpriority", "p_brand")
 
 
