@@ -6,9 +6,11 @@ the files may lie on any file system that Spark writes, with Spark's commits.
 Equal payloads are stored once: the record with the largest page_id is a
 response, the others are revisits that refer to it.
 
-Reading back, each file's captures are sorted to a run; the runs are cut at
-common key bounds and each stretch is merged k-way by a loser tree on (URL key,
-time, page_id), which gives globally ordered capture histories.
+Reading back, archives are streamed record by record (Spark's text reader splits
+them at the empty members), so that neither a file nor a split is held at once.
+Captures are sorted to runs of a bounded length; the runs are cut at common key
+bounds and each stretch is merged k-way by a loser tree on (URL key, time,
+page_id), which gives globally ordered capture histories.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, partitions, saved, scratch_path, table
+from .common import maybe_broadcast, partitions, saved, scratch_path, spread_join, table
 
 #: Fixed value: a gzip member of nothing.
 EMPTY = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
-#: Rows of an archive file at most, so that a file can be read at once.
-RECORDS = 5_000
+#: Records of an archive file at most, captures of a run, and of a merge task (about).
+RECORDS, RUN, MERGE = 50_000, 5_000, 200_000
 #: Captures without a time are dated from here, one second for each id.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 _LINE = "\r\n"
@@ -124,8 +126,10 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
     digests = saved(rows.select("page_id", "digest"), "digests")
-    copies = digests.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").drop("n")
-    revisits = digests.join(copies, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    copies = saved(digests.groupBy("digest").agg(F.count("*").alias("_m"), F.max("page_id").alias("refers_to")).where("_m > 1"), "copies")
+    # One payload, such as the empty page, may be that of a third of all rows.
+    pairs = spread_join(digests, copies.select("digest", "refers_to"), "digest", counts=copies.select("digest", "_m"))
+    revisits = pairs.where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
     revisits = maybe_broadcast(saved(revisits, "revisits"), 1_000_000)  # at most 60 MB
 
     def pack(batches):
@@ -175,28 +179,51 @@ class LoserTree:
 
 
 _INDEX = "url_key string, captured_at string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, file string, offset long, length long"
+_RUNS = _INDEX + ", start long, end long, run string, seq long"
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all archives under path in the order of (url_key,
-    captured_at, page_id), partition by partition."""
+    captured_at, page_id), partition by partition. Members without an empty one
+    between them are read as well, but then a file is one split."""
+    columns = [x.split()[0] for x in _RUNS.split(", ")]
+    whole = ("page_id", "refers_to")  # may be null: no detour over floats
 
     def runs(batches):
+        """Entries with their place in the file's split, RUN of them sorted at a time."""
+        split, end, found, n = None, 0, [], 0
+
+        def run():
+            found.sort(key=_order)
+            out = pd.DataFrame({c: pd.array([r[c] for r in found], dtype="Int64") if c in whole else [r[c] for r in found] for c in found[0]})
+            out["run"], out["seq"] = f"{split[0]}:{split[1]}:{n}", range(len(out))
+            return out[columns]
+
         for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
-                file = name.rsplit("/", 1)[-1]
-                found = [parse(c) | {"file": file, "offset": at, "length": n} for at, n, c in members(raw)]
-                if found:
-                    found.sort(key=_order)
-                    whole = ("page_id", "refers_to")  # may be null: no detour over floats
-                    out = pd.DataFrame({c: pd.array([r[c] for r in found], dtype="Int64") if c in whole else [r[c] for r in found] for c in found[0]})
-                    out["seq"] = range(len(out))
-                    yield out[[x.split()[0] for x in (_INDEX + ", seq long").split(", ")]]
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    sorted_runs = saved(files.mapInPandas(runs, _INDEX + ", seq long"), "runs")
-    keys = [F.col(c).asc_nulls_first() for c in ("url_key", "captured_at", "page_id")]
-    cut = sorted_runs.repartitionByRange(partitions(spark), *keys).sortWithinPartitions("file", "seq")
+            for name, start, raw in zip(pdf["file"], pdf["start"], pdf["value"], strict=True):
+                if split != (name, start):
+                    if found:
+                        yield run()
+                    split, end, found, n = (name, start), 0, [], 0
+                at, end = end, end + len(raw) + len(EMPTY)
+                found += [parse(c) | {"file": name, "start": start, "offset": at + k, "length": size, "end": end} for k, size, c in members(raw)]
+                if len(found) >= RUN:
+                    yield run()
+                    found, n = [], n + 1
+        if found:
+            yield run()
+
+    lines = spark.read.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    raw = lines.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+    found = saved(raw.mapInPandas(runs, _RUNS), "runs")
+    # A record's offset in the file: in its split, and the splits before.
+    before = F.coalesce(F.sum("_end").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = found.groupBy("file", "start").agg(F.max("end").alias("_end")).select("file", "start", before.alias("_before"))
+    placed = found.join(maybe_broadcast(splits, 100_000), ["file", "start"]).withColumn("offset", F.col("offset") + F.col("_before"))
+    placed = placed.select(*[x.split()[0] for x in _INDEX.split(", ")], "run", "seq")
+    keys = [F.col(c).asc_nulls_first() for c in ("url_key", "captured_at", "page_id", "file", "offset")]
+    tasks = max(partitions(spark), found.count() // MERGE + 1)
+    cut = placed.repartitionByRange(tasks, *keys).sortWithinPartitions("run", "seq")
 
     def merge(batches):
         held = list(batches)
@@ -205,10 +232,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         t = pa.Table.from_batches(held)
         heads = list(zip(t["url_key"].to_pylist(), t["captured_at"].to_pylist(), [-1 if x is None else x for x in t["page_id"].to_pylist()], range(t.num_rows), strict=True))
         stretches: dict[str, list] = {}
-        for file, head in zip(t["file"].to_pylist(), heads, strict=True):
-            stretches.setdefault(file, []).append(head)
+        for run, head in zip(t["run"].to_pylist(), heads, strict=True):
+            stretches.setdefault(run, []).append(head)
         order = [head[3] for head, _ in LoserTree([iter(x) for x in stretches.values()])]
-        yield from t.drop_columns(["seq"]).take(order).combine_chunks().to_batches()
+        yield from t.drop_columns(["run", "seq"]).take(order).combine_chunks().to_batches()
 
     return cut.mapInArrow(merge, _INDEX)
 

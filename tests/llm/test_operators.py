@@ -531,3 +531,28 @@ def test_components_settle(spark, monkeypatch):
     chain = spark.createDataFrame([(k, k + 1) for k in range(64)], "a long, b long")
     with pytest.raises(RuntimeError, match="settled"):
         components.components(chain, rounds=1)
+
+
+def test_warc_splits_and_hot_payloads(spark, tmp_path, monkeypatch):
+    """Files read in many splits: each record is found at its offset, once; a
+    payload of most rows is joined in parts; short runs are merged in order."""
+    monkeypatch.setattr(warc, "RUN", 7)
+    n = 3000
+    df = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), (F.col("id") * 7919 % n).cast("string")).alias("url"), F.when(F.col("id") % 10 == 0, F.sha2(F.col("id").cast("string"), 512)).alias("html"))
+    path = str(tmp_path / "w")
+    warc.write(df.coalesce(2), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = warc.read_index(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.page_id for r in got) == list(range(n))
+    keys = [(r.url_key, r.captured_at, r.page_id) for r in got]
+    assert keys == sorted(keys)
+    last = max(k for k in range(n) if k % 10)
+    assert all((r.refers_to, r.payload_bytes) == ((None, 128) if r.page_id % 10 == 0 else (None if r.page_id == last else last, 0)) for r in got)
+    files = {p.name: p.read_bytes() for p in (tmp_path / "w").glob("part-*")}
+    for r in got:
+        ((_, _, content),) = warc.members(files[r.file][r.offset : r.offset + r.length])
+        assert f"WARC-Record-ID: <urn:page:{r.page_id}>".encode() in content
