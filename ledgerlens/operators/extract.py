@@ -61,7 +61,8 @@ def extract(chunks: DataFrame, rules: list[Rule], as_of: Column, keys: list[str]
         made = F.transform("_c", lambda c, i: F.when(~c["dated"] | dated(i), _row({k: c[k] for k in kept}, N.value_text(c["x"]), X.context(text, c["at"], F.length(c["m"])), F.when(dated(i), F.get("_l", i)), F.get("_p", i)["scenario"], F.get("_p", i)["as_of_date"])))
         df = df.withColumn("_o", F.array_compact(made))
         slots.append(F.filter("_o", lambda o, i: ~F.exists(F.slice("_o", F.lit(1), i), lambda d: d["code"] == o["code"])))
-    found = df.select(*keys, F.explode(F.concat(*slots)).alias("o"))
+    # Outer, since the filter inferred from an inner one would do all of the above twice.
+    found = df.select(*keys, F.explode_outer(F.concat(*slots)).alias("o")).where("o is not null")
     return found.select(*keys, F.col("o.code").alias("metric_code"), *[F.col(f"o.{c}").alias(c) for c in _OUT], "o.method", "o.confidence", F.col("o.granularity").alias("period_granularity"), "o.currency")
 
 

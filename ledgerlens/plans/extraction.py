@@ -10,11 +10,12 @@ from ..functions import text as X
 from ..operators import entity as E
 from ..operators import extract as T
 from ..operators import ground as G
+from ..operators import layout as L
 from ..operators import state as ST
 from ..sources import documents as D
 from ..sources import providers as P
 from ..sources import sinks as K
-from ..sources.rules import DEFAULT
+from ..sources.rules import ALL, DEFAULT
 from .expressions import AS_OF, MEMO, NAMES
 from .registry import base, query, scan
 
@@ -112,6 +113,35 @@ def ext_layout(b):
     return T.dedupe(m.unionByName(m), ["id", "metric_code", "period_label"], [F.asc("o")]).groupBy("metric_code").agg(F.count("*").alias("n"))
 
 
+SLIDES = """
+SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS doc, CAST(o_orderkey % 4 AS INT) AS seq, CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS a, o_orderdate AS day,
+  CASE o_orderkey % 4
+  WHEN 0 THEN 'SERIES A ' || CASE WHEN month(o_orderdate) <= 6 THEN 'April ' ELSE 'Oct ' END || CAST(year(o_orderdate) AS STRING)
+  WHEN 1 THEN 'TRACTION $4.5M ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 60 AS STRING) || ' 138% $' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 110 AS STRING) || 'K ARR Paying customers ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '% gross margin'
+  WHEN 2 THEN 'FINANCIALS Path to $52M ARR by 2019. 2024 2025 2026E ARR ($M) ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '.5 2 7.5 Revenue ($M) 1 ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || ' 3 Gross margin 64% -' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '% 71% Burn ($M) (1.5) (' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || ') 8 Customers 9 ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || ' Headcount 12 28 ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING)
+  ELSE 'MILESTONES Reach $' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || 'M ARR by end of 2027. Grow team from 3 to ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '. ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '-month runway'
+  END AS text
+FROM {orders}"""
+_ROWS = [("arr", "{a} * 1e6 + 500000", "2000000", "7500000"), ("revenue", "1000000", "{a} * 1000000", "3000000"), ("gross_margin", "64", "-{a}", "71"), ("burn_rate", "1500000", "{a} * 1000000", "8000000"), ("customer_count", "9", "{a}", None), ("employee_count", "12", "28", "{a}")]
+_CELLS = " UNION ALL ".join(f"SELECT doc, seq, '{m}' AS metric_code, CAST(CAST({x.format(a='a')} AS BIGINT) AS VARCHAR) AS value, '{p}' AS period_label, '{s}' AS scenario, make_date({p[:4]}, 12, 31) AS as_of_date FROM b WHERE seq = 2" for m, *cells in _ROWS for x, p, s in zip(cells, ("2024", "2025", "2026E"), ("projection", "projection", "estimate"), strict=True) if x)
+LAYOUT_SQL = f"""
+WITH d AS (SELECT doc, last_day(make_date(CAST(year(day) AS INT), CASE WHEN month(day) <= 6 THEN 4 ELSE 10 END, 1)) AS deck FROM b WHERE seq = 0)
+{_CELLS}
+UNION ALL SELECT doc, seq, 'arr', CAST((a + 100) * 1000 AS VARCHAR), 'deck_date', 'actual', deck FROM b JOIN d USING (doc) WHERE seq = 1
+UNION ALL SELECT doc, seq, 'customer_count', CAST(a + 50 AS VARCHAR), 'deck_date', 'actual', deck FROM b JOIN d USING (doc) WHERE seq = 1
+UNION ALL SELECT doc, seq, 'gross_margin', CAST(a AS VARCHAR), 'deck_date', 'actual', deck FROM b JOIN d USING (doc) WHERE seq = 1
+UNION ALL SELECT doc, seq, 'arr', CAST(a * 1000000 AS VARCHAR), '2027', 'projection', make_date(2027, 12, 31) FROM b WHERE seq = 3
+UNION ALL SELECT doc, seq, 'employee_count', CAST(a AS VARCHAR), '2027', 'projection', make_date(2027, 12, 31) FROM b WHERE seq = 3
+UNION ALL SELECT doc, seq, 'arr', '52000000', '2019', 'projection', make_date(2019, 12, 31) FROM b WHERE seq = 2
+UNION ALL SELECT doc, seq, 'runway_months', CAST(a AS VARCHAR), 'deck_date', 'actual', deck FROM b JOIN d USING (doc) WHERE seq = 3"""
+
+
+@query(LAYOUT_SQL, SLIDES)
+def ext_layout_slides(b):
+    found = L.layout_observations(b, ALL, F.expr(AS_OF), "doc", "seq", ["doc", "seq"])
+    return found.select("doc", "seq", "metric_code", "value", "period_label", "scenario", "as_of_date")
+
+
 CARD = "SELECT id, amount, day, 'Traction KPI Deck ' || CASE WHEN id % 2 = 0 THEN '$' || CAST(amount AS STRING) || 'M 62 118% $5k ARR Paying customers' ELSE 'Reach $' || CAST(amount AS STRING) || 'M ARR by end of 2027. Grow team from 3 to ' || CAST(amount AS STRING) END || ' ' || CAST(amount % 90 AS STRING) || '% gross margin. 24-month runway' AS text FROM (" + MEMO + ")"
 
 

@@ -53,6 +53,7 @@ def load(source: str | list[dict]) -> list[Rule]:
 
 
 _MONEY = r"\$?\s*([0-9][0-9.,]*)\s*(billion|million|thousand|mm|k|m|b)?\b"
+_AMOUNT = r"\s*([0-9][0-9.,]*)\s*(k|mm|million|m|billion|b)?"
 #: Rules of our own wording for the usual metrics.
 DEFAULT = load(
     [
@@ -64,3 +65,23 @@ DEFAULT = load(
         {"code": "prior_successful_exit", "kind": "enum", "choices": {"exit": "true", "acquired by": "true"}, "gate": ["founder", "ceo"], "confidence": 0.8},
     ]
 )
+
+# Ranges, contracts, confidences and keywords of the other metrics.
+MORE = load(
+    [
+        {"code": "revenue", "kind": "money", "patterns": [rf"(?i)\${_AMOUNT}\s*(?:in\s+)?revenue\b", rf"(?i)\brevenue(?:\s+(?:FY)?(?:19|20)[0-9]{{2}})?[:\s]+\$?{_AMOUNT}\b"], "low": 0, "high": 1e12, "requires": ["as_of_date", "scenario"], "granularity": "year", "currency": "USD", "confidence": 0.85},
+        {"code": "gross_margin", "kind": "number", "patterns": [r"(?i)\b(?:gross\s+margin|gm)[:\s]+(-?[0-9]{1,3}(?:\.[0-9]+)?)\s*%", r"(?i)(-?[0-9]{1,3}(?:\.[0-9]+)?)\s*%\s+(?:gross\s+margin|gm)\b"], "low": -100, "high": 100, "requires": ["as_of_date", "scenario"], "granularity": "year", "confidence": 0.88},
+        {"code": "burn_rate", "kind": "money", "patterns": [rf"(?i)\${_AMOUNT}\s*(?:monthly\s+|cash\s+)?burn(?:\s+rate)?\b", rf"(?i)\b(?:monthly\s+)?burn(?:\s+rate)?[:\s]+\$?{_AMOUNT}\b"], "low": 0, "high": 1e9, "requires": ["as_of_date", "scenario"], "granularity": "month", "currency": "USD", "confidence": 0.85},
+        {"code": "customer_count", "kind": "number", "patterns": [r"(?i)([0-9]{1,3}(?:,[0-9]{3})*|[0-9]+)\s+(?:paying\s+)?customers\b", r"(?i)\b(?:paying\s+)?customers[:=\s]+([0-9]{1,3}(?:,[0-9]{3})*|[0-9]+)\b"], "low": 0, "high": 1e10, "requires": ["as_of_date", "scenario"], "confidence": 0.85},
+        {"code": "runway_months", "kind": "number", "patterns": [r"(?i)([0-9]{1,3})\s+months?\s+(?:of\s+)?runway\b", r"(?i)\brunway[:\s]+(?:of\s+)?([0-9]{1,3})\s+months?\b"], "low": 0, "high": 120, "requires": ["as_of_date"]},
+        {
+            "code": "technical_cofounder",
+            "kind": "enum",
+            "choices": dict.fromkeys(["technical co-founder", "technical cofounder", "cto & co-founder", "cto and co-founder", "cto, co-founder", "co-founder & cto", "co-founder and cto", "co-founder, cto", "engineer co-founder"], "true"),
+            "gate": ["founder", "co-founder", "cofounder", "founding team"],
+            "confidence": 0.8,
+        },
+    ]
+)
+#: All twelve metrics. The query over DEFAULT keeps to its six.
+ALL = DEFAULT + MORE
