@@ -118,7 +118,7 @@ SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS doc, CAST(o_orderkey % 4 AS INT)
   CASE o_orderkey % 4
   WHEN 0 THEN 'SERIES A ' || CASE WHEN month(o_orderdate) <= 6 THEN 'April ' ELSE 'Oct ' END || CAST(year(o_orderdate) AS STRING)
   WHEN 1 THEN 'TRACTION $4.5M ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 60 AS STRING) || ' 138% $' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 110 AS STRING) || 'K ARR Paying customers ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '% gross margin'
-  WHEN 2 THEN 'FINANCIALS Path to $52M ARR by 2019. 2024 2025 2026E ARR ($M) ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '.5 2 7.5 Revenue ($M) 1 ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || ' 3 Gross margin 64% -' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '% 71% Burn ($M) (1.5) (' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || ') 8 Customers 9 ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || ' Headcount 12 28 ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING)
+  WHEN 2 THEN 'FINANCIALS 2024 2025 2026E ARR ($M) ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '.5 2 7.5 Revenue ($M) 1 ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || ' 3 Gross margin 64% -' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '% 71% Burn ($M) (1.5) (' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || ') 8 Customers 9 ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || ' Headcount 12 28 ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '. Path to $52M ARR by 2019'
   ELSE 'MILESTONES Reach $' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || 'M ARR by end of 2027. Grow team from 3 to ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '. ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS STRING) || '-month runway'
   END AS text
 FROM {orders}"""
