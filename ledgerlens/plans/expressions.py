@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import json_text as J
 from ..functions import numbers as N
 from ..functions import temporal as M
 from ..functions import text as X
@@ -335,6 +336,18 @@ def exp_json_lenient(spark, sf):
     return scan(spark, sf, "events").select("event_id", F.from_json(closed, "k bigint")["k"].alias("k"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS k, CASE event_id % 4 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS n FROM events")
+def exp_json_recover(spark, sf):
+    """Fenced, with text around, a list that breaks off, nothing to read."""
+    p = F.col("props")
+    answers = [F.concat(F.lit("```json\n"), p, F.lit("\n```")), F.concat(F.lit("Sure: "), p, F.lit(" ok?")), F.concat(F.lit("["), p, F.lit(", "), p, F.lit(', {"k": 7, "a": "tr')), F.lit("I don't know")]
+    answer = F.get(F.array(*answers), (F.col("event_id") % 4).cast("int"))
+    df = scan(spark, sf, "events").select("event_id", J.recovered(answer).alias("j"))
+    k = F.coalesce(F.get_json_object("j", "$.k"), F.get_json_object("j", "$[0].k"))
+    n = F.when(F.col("j").isNull(), 0).when(F.col("j").startswith("["), F.json_array_length("j")).otherwise(1)
+    return df.select("event_id", k.try_cast("long").alias("k"), n.alias("n"))
+
+
 @query(f"SELECT id, CASE value_type WHEN 'boolean' THEN CASE WHEN lower(trim(raw)) IN ('true','yes') THEN 'true' WHEN lower(trim(raw)) IN ('false','no') THEN 'false' END WHEN 'number' THEN CASE WHEN {FLOAT} = floor({FLOAT}) THEN CAST(CAST({FLOAT} AS BIGINT) AS VARCHAR) ELSE CAST({FLOAT} AS VARCHAR) END ELSE trim(raw) END AS v FROM b", MEMO)
 def exp_llm_canonicalise(b):
     t = F.lower(F.trim("raw"))
