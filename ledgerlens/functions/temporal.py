@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 # Month words, label patterns (Java and RE2 both read them).
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 MONTH_WORD = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
-YEAR = r"^(?:FY)?\s?((?:19|20)[0-9]{2})([EPFepf]?)$"
+YEAR = r"^(?i:FY-?)?\s?((?:19|20)[0-9]{2})([EPFepf]?)$"
 QUARTER = r"^[Qq]([1-4])['\s]*((?:19|20)?[0-9]{2})([EPFepf]?)$"
-MONTH = rf"^(?i:({MONTH_WORD}))\.?\s+((?:19|20)[0-9]{{2}})([EPFepf]?)$"
-SCAN_MONTH = rf"(?i)\b(?:{MONTH_WORD})\.?\s+(?:19|20)[0-9]{{2}}\b"
+MONTH = rf"^(?i:({MONTH_WORD}))\.?[\s-]+((?:19|20)[0-9]{{2}})([EPFepf]?)$"
+SCAN_MONTH = rf"(?i)\b(?:{MONTH_WORD})\.?[\s-]+(?:19|20)[0-9]{{2}}[EPF]?\b"
 SCAN_QUARTER = r"(?i)\bQ[1-4]['\s]*(?:19|20)?[0-9]{2}[EPF]?\b"
-SCAN_YEAR = r"\b(?:FY)?(?:19|20)[0-9]{2}[EPF]?\b"
+SCAN_YEAR = r"(?i)\b(?:FY[\s-]?)?(?:19|20)[0-9]{2}[EPF]?\b"
 
 
 def _group(text: Column, pattern: str, n: int) -> Column:
