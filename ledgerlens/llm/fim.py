@@ -3,15 +3,15 @@
 A Split pre-tokenizer of the tokenizers library, whose pattern matches any single
 code point and isolates each match, gives the offsets of a text's code points
 without any training. The length of the offset array is the text's length n; the
-offsets at the two drawn ranks cut it into prefix, middle and suffix. Offsets are
-taken block by block, so a long text needs no more memory than a short one.
+offsets at the two drawn ranks cut it into prefix, middle and suffix. The array has
+two levels: isolated matches of RUN code points over the whole text (the last may be
+shorter), and of single code points inside the last run and those of the two ranks.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,41 +22,40 @@ from .common import table
 #: The sentinels, and the shares in percent of transformed and of suffix-first documents.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 FIM_PERCENT, SPM_PERCENT, SEED = 90, 20, 1
-#: Code points whose offsets are held at once.
-BLOCK = 4096
+#: Code points in a run, and in a stretch of text that is split at once.
+RUN, STRETCH = 256, 1 << 20
 
 
 @functools.cache
-def splitter():
+def splitter(pattern: str):
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    return Split(Regex("(?m:.)"), "isolated")  # m: the dot matches line ends too
+    return Split(Regex(pattern), "isolated")
 
 
-def starts(block: str) -> list[int]:
-    """Offsets at which the code points of a block begin."""
-    return [at[0] for _, at in splitter().pre_tokenize_str(block)]
+def starts(text: str, most: int = 1) -> list[int]:
+    """Offsets at which the text's code points begin, or its runs of `most` of them."""
+    pattern = "(?m:.)" if most == 1 else f"(?m:.{{1,{most}}})"  # m: the dot matches line ends too
+    return [at[0] for _, at in splitter(pattern).pre_tokenize_str(text)]
 
 
 class Units:
-    """The code points of a text by rank."""
+    """The code points of a text by rank: offsets of its runs, and inside the runs
+    that are asked for offsets of each code point."""
 
     def __init__(self, text: str):
-        self.text, self.begins, self.last = text, [0], (-1, [])
-        for k in range(0, len(text), BLOCK):
-            self.last = (len(self.begins) - 1, starts(text[k : k + BLOCK]))
-            self.begins.append(self.begins[-1] + len(self.last[1]))
-        self.n = self.begins[-1]
+        self.text = text
+        self.runs = [k + at for k in range(0, len(text), STRETCH) for at in starts(text[k : k + STRETCH], RUN)]
+        full = max(0, len(self.runs) - 1)
+        self.n = full * RUN + len(starts(text[self.runs[full] :])) if self.runs else 0
 
     def offset(self, rank: int) -> int:
         """Where the unit of this rank begins; n is the end of the text."""
         if rank >= self.n:
             return len(self.text)
-        k = bisect_right(self.begins, rank) - 1
-        if self.last[0] != k:
-            self.last = (k, starts(self.text[k * BLOCK : (k + 1) * BLOCK]))
-        return k * BLOCK + self.last[1][rank - self.begins[k]]
+        at = self.runs[rank // RUN]
+        return at + starts(self.text[at : at + RUN])[rank % RUN]
 
 
 def draws(key, seed: int = SEED) -> list[int]:
@@ -88,7 +87,7 @@ def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", see
     A null text counts as empty; empty texts and texts that hold a sentinel stay
     plain. The draws depend on the id alone, so repeated rows are cut alike and
     reruns agree; a null id is drawn as an empty one. Texts are cut whole, however
-    long, in blocks. Other columns are ignored; an empty table gives no rows.
+    long. Other columns are ignored; an empty table gives no rows.
     """
 
     def cut(batches):

@@ -62,11 +62,13 @@ def test_output_and_round_trip(spark, docs):
     assert {r.form for r in got} == {"plain", "psm", "spm"}
 
 
-def test_blocks(monkeypatch):
-    text = "añ😀\n" * 50
-    monkeypatch.setattr(fim, "BLOCK", 7)
+@pytest.mark.parametrize("length", [0, 1, 6, 7, 8, 20, 21, 22, 200])
+def test_runs(monkeypatch, length):
+    text = ("añ😀\n\r" * 50)[:length]
+    monkeypatch.setattr(fim, "RUN", 7)
+    monkeypatch.setattr(fim, "STRETCH", 21)
     units = fim.Units(text)
-    assert units.n == 200 and [units.offset(k) for k in (0, 6, 7, 199, 200, 3)] == [0, 6, 7, 199, 200, 3]
+    assert units.n == length and [units.offset(k) for k in range(length + 1)] == list(range(length + 1))
 
 
 def test_nothing(spark):
