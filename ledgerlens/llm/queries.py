@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embed_dedup, fim, html_text, mixing, neardup, quality, ring, surrogates, token_counts, token_store, warc
+from . import decontaminate, embed_dedup, fim, html_text, mixing, neardup, quality, ring, surrogates, token_counts, token_store, trie, warc
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_embedding_near_dedup": embed_dedup.op10_embedding_near_dedup,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
         "op12_ring_shards": ring.op12_ring_shards,
+        "op13_prefix_trie": trie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op9_mixing": mixing.OP9_SQL, "op11_fill_in_middle": fim.OP11_SQL, "op12_ring_shards": ring.OP12_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op9_mixing": mixing.OP9_SQL, "op11_fill_in_middle": fim.OP11_SQL, "op12_ring_shards": ring.OP12_SQL, "op13_prefix_trie": trie.OP13_SQL}
