@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import resolve as R
 from ..operators import score as S
 from ..operators import state as T
+from ..sources import scratch
+from ..streaming import ingest
 from .registry import base, query, scan
 
 OBS = """
@@ -52,6 +54,17 @@ def qry_resolve_all(b):
     return R.pick(b, ["company_id", "metric_id"], TIE).groupBy("company_id").agg(F.count("*").alias("metrics"), F.sum("value").alias("total"))
 
 
+@query(f"SELECT company_id, count(*) AS metrics, sum(value) AS total FROM (SELECT *, {WIN} AS rn FROM b) WHERE rn = 1 GROUP BY 1", OBS)
+def str_ingest_winners(b):
+    """The rows of qry_resolve_all from a stream of several batches with keyed state."""
+    spark, at = b.sparkSession, scratch.folder(b.sparkSession, "stream")
+    b.repartition(8).write.parquet(f"{at}/in")
+    source = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    keys = ["company_id", "metric_id"]
+    ingest.to_gold(source, f"{at}/gold", f"{at}/checkpoint", keys, TIE, {"availableNow": True}).awaitTermination()
+    return ingest.winners(spark, f"{at}/gold", keys).groupBy("company_id").agg(F.count("*").alias("metrics"), F.sum("value").alias("total"))
+
+
 PVA = """WITH r AS (SELECT company_id, metric_id, as_of_date, value, CASE WHEN scenario = 'actual' THEN 'a' ELSE 'p' END AS kind FROM b WHERE scenario IS NOT NULL AND as_of_date IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY company_id, metric_id, as_of_date, CASE WHEN scenario = 'actual' THEN 'a' ELSE 'p' END ORDER BY captured_at DESC, k1 DESC, k2 DESC, k3 DESC, k4 DESC) = 1)
 SELECT p.company_id, p.metric_id, p.as_of_date, p.value AS projected, a.value AS actual, a.value - p.value AS delta, CASE WHEN p.value <> 0 THEN round((a.value - p.value) * 100.0::DOUBLE / abs(p.value), 4) END AS delta_pct
