@@ -30,7 +30,7 @@ from .crc_sql import CRC_TABLE, crc32
 #: Fixed values of the contract: turns taken over are fewer than TURNS, from the first conversation of each GROUP.
 TURNS, GROUP = 6, 100
 #: Turn rows below a node from which it belongs to the upper levels; turn rows of the shards built at once.
-HEAVY, AT_ONCE = 20_000, 100_000
+HEAVY, AT_ONCE = 500, 100_000
 #: Bytes of a piece of a node's list of members; rows up to which a table is broadcast.
 PIECE, ROWS = 1 << 20, 200_000
 MASK = (1 << 61) - 1

@@ -60,7 +60,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "z", 3) for r in rows], ROWS).repartition(3)
 
 
-@pytest.mark.parametrize("heavy", [5, 60, 20_000])
+@pytest.mark.parametrize("heavy", [5, 500, 20_000])
 def test_equals_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(trie, "HEAVY", heavy)
     monkeypatch.setattr(trie, "AT_ONCE", 40)
