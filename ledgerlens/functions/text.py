@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words dropped from company names and from file names.
-SUFFIXES = "inc incorporated ltd limited llc corp corporation co company gmbh ag sa plc technologies tech holdings holding group ventures fz pte pty bv nv oy ab as spa srl sas labs".split()
-NOISE = "deck pitch pitchdeck slides series round seed preseed v1 v2 v3 final draft confidential copy report summary presentation version investor pdf pptx".split()
+SUFFIXES = "inc incorporated ltd limited llc l.l.c. corp corporation co company gmbh ag sa s.a. plc technologies tech holdings holding group ventures fz-llc fz pte pty".split()
+NOISE = "deck pitch pitchdeck slides series round seed preseed v1 v2 v3 final draft confidential copy report summary".split()
 FILE_ENDINGS = "pdf ppt pptx doc docx xls xlsx csv png jpg jpeg gif txt".split()
 
 
@@ -62,7 +62,8 @@ def _tokens(text: Column) -> Column:
 
 
 def file_tokens(name: Column) -> Column:
-    return F.filter(_tokens(name), lambda t: (F.length(t) >= 3) & ~t.isin(NOISE))
+    """Words of a file name without its ending (all after the last dot)."""
+    return F.filter(_tokens(F.regexp_replace(name, r"\.[^.]*\z", "")), lambda t: (F.length(t) >= 3) & ~t.isin(NOISE))
 
 
 def name_tokens(name: Column) -> Column:
@@ -70,7 +71,10 @@ def name_tokens(name: Column) -> Column:
 
 
 def strip_suffixes(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(name), rf"(?i)((^|\s+)({'|'.join(SUFFIXES)})[.,]*)+$", ""))
+    """The name without the suffixes at its end. Dots and commas after a word don't
+    count, so suffixes that end in a dot are never met, as in the fixed rule."""
+    met = "|".join(s for s in SUFFIXES if not s.endswith("."))
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(name, r"\s+", " ")), rf"(?i)((^| )({met})[.,]*)+$", ""))
 
 
 def whole_word(needle: Column, text: Column) -> Column:

@@ -206,12 +206,12 @@ def exp_tokenize_filename(b):
     return b.select("id", F.array_join(X.file_tokens(F.col("file")), ",").alias("tokens"))
 
 
-@query("SELECT id, 'supplier,' || lpad(CAST(id AS VARCHAR), 9, '0') AS tokens FROM b", NAMES)
+@query("SELECT id, 'supplier,' || lpad(CAST(id AS VARCHAR), 9, '0') || CASE id % 5 WHEN 3 THEN ',labs' ELSE '' END AS tokens FROM b", NAMES)
 def exp_tokenize_name(b):
     return b.select("id", F.array_join(X.name_tokens(F.col("name")), ",").alias("tokens"))
 
 
-@query("SELECT id, 'Supplier#' || lpad(CAST(id AS VARCHAR), 9, '0') AS bare FROM b", NAMES)
+@query("SELECT id, 'Supplier#' || lpad(CAST(id AS VARCHAR), 9, '0') || CASE id % 5 WHEN 3 THEN ' Labs' ELSE '' END AS bare FROM b", NAMES)
 def exp_strip_suffixes(b):
     return b.select("id", X.strip_suffixes(F.col("name")).alias("bare"))
 
@@ -222,7 +222,7 @@ def exp_whole_word(spark, sf):
     return scan(spark, sf, "conversations").where(plain).select("conv_id", "turn", X.whole_word(F.lit("Of the"), F.col("text")).alias("there"))
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS overlap FROM b", NAMES)
+@query("SELECT id, (CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END)::DOUBLE / (CASE id % 5 WHEN 3 THEN 3 ELSE 2 END) AS overlap FROM b", NAMES)
 def exp_token_overlap(b):
     other = F.when(F.col("id") % 2 == 0, F.col("file")).otherwise(F.lit("supplier.pdf"))
     return b.select("id", X.token_overlap(X.name_tokens(F.col("name")), X.file_tokens(other)).alias("overlap"))

@@ -377,32 +377,65 @@ def ext_source_verify(spark, sf):
 # Entities -----------------------------------------------------------------
 
 
-def _entity(spark, sf, aliases=None, fuzzy=False):  # the SQL below has neither
-    s = base(spark, sf, NAMES)
-    docs = s.select(F.col("id").alias("doc_id"), "file", F.concat(F.lit("About "), X.strip_suffixes(F.col("name")), F.lit(" on "), F.coalesce(X.host(F.col("website")), F.lit("paper"))).alias("head"))
-    return E.resolve(docs, s.select(F.col("id").alias("company_id"), "name", "website"), aliases, fuzzy=fuzzy)
+FIRMS = f"""SELECT id, name, website, CASE id % 6 WHEN 0 THEN file WHEN 2 THEN file WHEN 5 THEN 'Firm_' || CAST(id AS STRING) || '_Trading.pdf' WHEN 4 THEN NULL ELSE 'x.pdf' END AS file,
+  'Supplier#' || lpad(CAST(id AS STRING), 9, '0') || CASE id % 5 WHEN 3 THEN ' Labs' ELSE '' END AS short,
+  CASE id % 4 WHEN 0 THEN 'firm' || CAST(id AS STRING) || '.com' WHEN 1 THEN 'firm' || CAST(id AS STRING) || '.io' WHEN 2 THEN 'firm' || CAST(id AS STRING) || '.co.uk' END AS host FROM ({NAMES})"""
+#: Documents in which name and domain, alias, file name and fuzzy, nothing, name and fuzzy, alias in the file name decide.
+HEADS = f"""SELECT *, CASE id % 6 WHEN 0 THEN 'About ' || short || ' on ' || coalesce(host, 'paper') WHEN 1 THEN 'Deck of Firm ' || CAST(id AS STRING) || ' Trading, today'
+  WHEN 2 THEN replace(short, 'Supplier', 'Suplier') WHEN 3 THEN 'nothing here' WHEN 4 THEN short END AS head FROM ({FIRMS})"""
 
 
-ENTITY = f"SELECT id AS doc_id, id AS company_id, round(least(1.0, 0.5 + 0.25 + CASE WHEN website IS NULL THEN 0.0 ELSE 0.3 END), 4)::DOUBLE AS score FROM ({NAMES.replace('{', '').replace('}', '')})"
+def _entity(spark, sf, more=None, least=E.LEAST):
+    s = base(spark, sf, HEADS)
+    aliases = s.select(F.col("id").alias("company_id"), F.concat(F.lit(" Firm "), "id", F.lit(" Trading")).alias("alias"), F.lit("legal_name").alias("alias_type"))
+    orphans = s.select(F.col("id") + 10_000_000, F.lit("Deck of"), F.lit("dba"))
+    return E.resolve(s.select(F.col("id").alias("doc_id"), "file", "head"), s.select(F.col("id").alias("company_id"), "name", "website"), aliases.union(orphans), least)
 
 
-@query(ENTITY)
+def _plain_sql(text):
+    return f"' ' || trim(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9]+', ' ', 'g')) || ' '"
+
+
+def _tokens_sql(text, least, noise):
+    return f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^a-z0-9]+'), lambda t: length(t) >= {least} AND t NOT IN ({', '.join(repr(n) for n in noise)}))"
+
+
+#: Every pair is scored. Common letters of two strings in order by bits: v loses a bit for each.
+ENTITY = f"""WITH s AS ({HEADS.replace("{", "").replace("}", "")}),
+d AS (SELECT id AS doc_id, {_plain_sql("head")} AS ph, {_plain_sql("file")} AS pf, {_tokens_sql("regexp_replace(file, '[.][^.]*$', '')", 3, X.NOISE)} AS ft, string_split(lower(coalesce(head, '')), ' ') AS hw,
+  list_sort(list_distinct(list_filter(string_split(lower(coalesce(head, '')), ' '), lambda w: w <> ''))) AS x FROM s),
+c AS (SELECT id AS company_id, host, ' firm ' || id || ' trading ' AS alias, {_plain_sql("short")} AS name, {_tokens_sql("name", 2, X.SUFFIXES)} AS nt, list_sort(list_distinct(string_split(lower(short), ' '))) AS y FROM s),
+raw AS (SELECT *, CASE WHEN contains(pf, alias) OR contains(ph, alias) THEN 0.6 ELSE 0.0 END::DOUBLE + CASE WHEN contains(pf, name) OR contains(ph, name) THEN 0.5 ELSE 0.0 END::DOUBLE
+  + CASE WHEN list_contains(hw, host) THEN 0.3 ELSE 0.0 END::DOUBLE + 0.25::DOUBLE * (len(list_filter(nt, lambda t: list_contains(ft, t)))::DOUBLE / len(nt)) AS raw FROM d, c),
+near AS (SELECT *, array_to_string(list_sort(list_intersect(x, y)), ' ') AS shared, list_sort(list_filter(x, lambda w: NOT list_contains(y, w))) AS l, list_sort(list_filter(y, lambda w: NOT list_contains(x, w))) AS r FROM raw WHERE raw + 0.25 >= 0.4),
+whole AS (SELECT *, trim(shared || ' ' || array_to_string(l, ' ')) AS one, trim(shared || ' ' || array_to_string(r, ' ')) AS two FROM near),
+lcs AS (SELECT *, length(two) - bit_count(list_reduce(list_transform(string_split(one, ''), lambda ch: list_sum(list_transform(range(length(two)), lambda k: CASE WHEN substr(two, k + 1, 1) = ch THEN 1::BIGINT << k ELSE 0 END))::BIGINT),
+  lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(two)) - 1), (1::BIGINT << length(two)) - 1)) AS common FROM whole),
+ratio AS (SELECT *, CASE WHEN len(x) = 0 THEN 0.0 WHEN shared <> '' AND (len(l) = 0 OR len(r) = 0) THEN 100.0
+  ELSE greatest(200.0::DOUBLE * common / (length(one) + length(two)), CASE WHEN shared <> '' THEN greatest(200.0::DOUBLE * length(shared) / (length(shared) + length(one)), 200.0::DOUBLE * length(shared) / (length(shared) + length(two))) ELSE 0.0 END) END::DOUBLE AS ratio FROM lcs),
+scored AS (SELECT doc_id, company_id, raw + CASE WHEN ratio >= 80 THEN 0.25::DOUBLE * (ratio / 100.0::DOUBLE) ELSE 0.0 END AS raw FROM ratio),
+best AS (SELECT doc_id, company_id, round(least(1.0, raw), 4)::DOUBLE AS score FROM scored WHERE raw >= 0.4
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(least(1.0, raw), 4) DESC, company_id) <= 5)"""
+
+
+@query(ENTITY + " SELECT * FROM best")
 def agg_signal_sum(spark, sf):
+    """All five signals against the scores of all pairs."""
     return _entity(spark, sf)
 
 
-@query(f"SELECT doc_id, company_id, score >= 0.85 AS accept FROM ({ENTITY})")
+@query(ENTITY + " SELECT doc_id, company_id, score >= 0.85 AS accept FROM best")
 def jn_cross_entity(spark, sf):
     return _entity(spark, sf).select("doc_id", "company_id", (F.col("score") >= E.ACCEPT).alias("accept"))
 
 
-@query()
+@query(ENTITY + " SELECT * FROM best")
 def agg_signal_all(spark, sf):
-    """All five signals; aliases are the full names and a domain of each company."""
-    s = base(spark, sf, NAMES)
-    names = s.select(F.col("id").alias("company_id"), F.col("name").alias("alias"), F.lit("legal_name").alias("alias_type"))
-    hosts = s.select("id", F.concat(F.lit("firm"), "id", F.lit(".io")), F.lit("domain"))
-    return _entity(spark, sf, names.union(hosts), fuzzy=True)
+    """The same from a stored index."""
+    s, path = base(spark, sf, HEADS), scratch.folder(spark, "companies")
+    aliases = s.select(F.col("id").alias("company_id"), F.concat(F.lit("Firm "), "id", F.lit(" Trading")).alias("alias"), F.lit("legal_name").alias("alias_type"))
+    E.write_index(s.select(F.col("id").alias("company_id"), "name", "website"), aliases, path)
+    return E.resolve_stored(s.select(F.col("id").alias("doc_id"), "file", "head"), path)
 
 
 @query(None, NAMES)
@@ -504,10 +537,22 @@ def src_head_chunks(spark, sf):
     return D.head_text(scan(spark, sf, "conversations"), ["conv_id"], ["turn", "text"], "text", 3)
 
 
-@query("SELECT s_nationkey AS company_id, count(DISTINCT lower(s_name)) AS names FROM supplier GROUP BY 1")
+INDEX_SQL = f"""WITH s AS ({HEADS.replace("{", "").replace("}", "")}), n AS (SELECT id, unnest([lower(short), 'firm ' || id || ' trading']) AS phrase FROM s),
+k AS (SELECT 'domain' AS kind, host AS term FROM s WHERE host IS NOT NULL UNION ALL SELECT 'domain', 'alias' || id || '.dev' FROM s WHERE id % 3 = 0
+UNION ALL SELECT 'name', lower(short) FROM s UNION ALL SELECT 'alias', 'firm ' || id || ' trading' FROM s
+UNION ALL (SELECT 'word', w FROM (SELECT DISTINCT id, unnest(regexp_split_to_array(phrase, '[^a-z0-9]+')) AS w FROM n)))
+SELECT kind, term, count(*) AS companies FROM k GROUP BY 1, 2"""
+
+
+@query(INDEX_SQL)
 def src_entity_index(spark, sf):
-    g = scan(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("company_id")).agg(F.collect_set(F.lower("s_name")).alias("n"))
-    return g.select("company_id", F.size("n").cast("long").alias("names"))
+    """Domains, names, aliases and words by counted frequency, from a stored index;
+    blank aliases and those of unknown companies aren't in it."""
+    s, path = base(spark, sf, HEADS), scratch.folder(spark, "companies")
+    alias = lambda value, kind: F.struct(F.col("id").alias("company_id"), value.alias("alias"), F.lit(kind).alias("alias_type"))
+    rows = F.array(alias(F.concat(F.lit("Firm "), "id", F.lit(" Trading ")), "dba"), alias(F.lit("  "), "dba"), F.when(F.col("id") % 3 == 0, alias(F.concat(F.lit("Alias"), "id", F.lit(".dev")), "domain")), F.struct((F.col("id") + 10_000_000).alias("company_id"), F.lit("ghost").alias("alias"), F.lit("dba").alias("alias_type")))
+    E.write_index(s.select(F.col("id").alias("company_id"), "name", "website"), s.select(F.explode(F.array_compact(rows)).alias("a")).select("a.*"), path)
+    return E.frequencies(spark.read.parquet(f"{path}/terms"))
 
 
 @query(None)

@@ -82,3 +82,49 @@ def test_blocking_loses_nothing(spark, least):
     want = brute(docs, firms, aliases, least, {r.company_id: r.s for r in made}, {r.company_id: r.t for r in made}, files)
     assert len(want) > 100
     assert scores(spark, docs, firms, aliases, least=least, k=1000) == pytest.approx(want, abs=1.01e-4)
+
+
+def test_alike_loses_nothing(spark):
+    """Every pair of ratio 80 or more is among the candidates, and few others."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvwyz") for _ in range(rng.choice([2, 4, 5, 6, 7, 8, 9])))
+    names = [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(120)] + ["a b c d", "ab cd e", "x", "", "Bank", "bank bank"]
+
+    def bent(name):
+        t = list(name)
+        for _ in range(rng.randint(0, 3)):
+            if t:
+                k = rng.randrange(len(t))
+                t[k] = rng.choice(["", "z", t[k] + "y", " "])
+        words = "".join(t).split()
+        rng.shuffle(words)
+        return " ".join(words + [word() for _ in range(rng.choice([0, 0, 1, 6]))])
+
+    heads = [bent(rng.choice(names)) for _ in range(250)] + ["a b c e", "Bank AG", "", None, "x"]
+    docs = spark.createDataFrame(list(enumerate(heads)), "doc_id long, head string")
+    firms = spark.createDataFrame(list(enumerate(names)), "company_id long, short string")
+    got = {tuple(r) for r in entity.alike(docs, firms).collect()}
+    want = {(d, c) for d, h in enumerate(heads) for c, n in enumerate(names) if h and n and entity.token_set_ratio(h, n) >= entity.RATIO}
+    assert len(want) > 100 and want <= got
+    assert len(got) < len(heads) * len(names) / 3
+
+
+def test_stored_index(spark, tmp_path):
+    """The same pairs from a stored index; blank and orphan aliases aren't in it."""
+    firms = spark.createDataFrame([(1, "Acme Bank Inc", "https://www.acme.io/x"), (2, "Blue Bank", None), (3, "Bank", None), (4, None, "")], FIRMS)
+    aliases = spark.createDataFrame([(1, "Acme DBA", "dba"), (1, "acme.dev", "domain"), (2, "  ", "dba"), (9, "Ghost", "dba"), (3, None, None)], ALIASES)
+    path = str(tmp_path / "index")
+    entity.write_index(firms, aliases, path)
+    kinds = {(r.kind, r.term, r.company_id) for r in spark.read.parquet(f"{path}/terms").collect() if r.kind != "word"}
+    assert kinds == {("domain", "acme.io", 1), ("domain", "acme.dev", 1), ("name", "acme bank", 1), ("name", "blue bank", 2), ("name", "bank", 3), ("alias", "acme dba", 1)}
+    keys = {(r.company_id, r.phrase): r.key for r in spark.read.parquet(f"{path}/keys").collect()}
+    assert keys == {(1, "acme bank"): "acme", (1, "acme dba"): "acme", (2, "blue bank"): "blue", (3, "bank"): "bank"}
+    docs = spark.createDataFrame([(1, "acme_dba.pdf", "nothing"), (2, "x.pdf", "the Blue Bank at acme.dev"), (3, None, None)], DOCS)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    for least in (0.4, 0.2):
+        assert plain(entity.resolve_stored(docs, path, least=least)) == plain(entity.resolve(docs, firms, aliases, least=least)) != []
+
+
+def test_least_above_nothing(spark):
+    with pytest.raises(ValueError):
+        scores(spark, [(1, "a", "b")], [(1, "a", None)], [], least=0)
