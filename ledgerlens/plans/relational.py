@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import fold as W
 from ..operators import resolve as R
 from ..operators import score as S
 from ..operators import state as T
@@ -12,6 +13,18 @@ from ..sources import scratch
 from ..streaming import ingest
 from .registry import base, query, scan
 
+FOLD_SQL = """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY {entity} ORDER BY {order}) AS rn FROM ({log})),
+rules(a, e, z) AS (VALUES {rules}),
+f AS (SELECT {entity}, CAST(0 AS BIGINT) AS rn, CAST(NULL AS {id}) AS {key}, '{start}' AS from_state, '{start}' AS to_state, true AS legal, CAST(NULL AS DOUBLE) AS noted FROM n WHERE rn = 1
+  UNION ALL SELECT n.{entity}, n.rn, n.{key}, f.to_state, coalesce(r.z, f.to_state), r.z IS NOT NULL, coalesce(n.note, f.noted)
+  FROM f JOIN n ON n.{entity} IS NOT DISTINCT FROM f.{entity} AND n.rn = f.rn + 1 LEFT JOIN rules r ON r.a = f.to_state AND r.e = n.event)"""
+
+
+def _fold_sql(machine, log, entity, order, key, id="BIGINT"):
+    rules = ", ".join(str((a, e, z)) for (a, e), z in machine.rules.items())
+    return FOLD_SQL.format(log=log, entity=entity, order=order, key=key, id=id, start=machine.start, rules=rules)
+
+
 OBS = """
 SELECT l_suppkey AS company_id, l_partkey % 12 AS metric_id,
   CASE WHEN l_returnflag = 'A' THEN 'actual' WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'estimate' WHEN l_returnflag = 'R' THEN 'projection' WHEN l_linestatus = 'O' THEN 'forecast' END AS scenario,
@@ -431,11 +444,20 @@ def mut_create_company(spark, sf):
     return T.insert_ignore(s.where("s_suppkey % 2 = 0"), s, ["key"], [F.asc("s_suppkey")])
 
 
-@query("SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN 'success' WHEN o_orderstatus = 'O' THEN 'error' ELSE 'running' END AS status, count(l_orderkey) AS observations FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+RUN_LOG = """SELECT o_orderkey AS run_id, 0 AS step, 'start' AS event, CAST(NULL AS DOUBLE) AS note FROM {orders}
+UNION ALL SELECT o_orderkey, 1, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'error' END, CAST(0 AS DOUBLE) FROM {orders}
+UNION ALL SELECT o_orderkey, 2, 'start', NULL FROM {orders} WHERE o_orderkey % 5 = 0
+UNION ALL SELECT l_orderkey, 3, CASE WHEN max(l_linenumber) > 3 THEN 'success' ELSE 'error' END, CAST(count(*) AS DOUBLE) FROM {lineitem} GROUP BY l_orderkey"""
+
+
+@query(_fold_sql(W.RUNS, RUN_LOG.replace("{", "").replace("}", ""), "run_id", "step", "step", "INT") + " SELECT run_id, arg_max(to_state, rn) AS status, CAST(coalesce(max(noted) FILTER (legal AND from_state = 'running'), 0) AS BIGINT) AS observations, count(*) FILTER (NOT legal) AS refused FROM f GROUP BY 1")
 def mut_run_lifecycle(spark, sf):
-    runs = scan(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "error").otherwise("running").alias("status"))
-    n = scan(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("observations"))
-    return runs.join(n, "run_id", "left").select("run_id", "status", F.coalesce("observations", F.lit(0)).alias("observations"))
+    """Runs from a log of starts and finishes: a run finishes once, by its first good
+    finish; a second start or finish, or one of no kind, is refused."""
+    log = base(spark, sf, RUN_LOG)
+    folded = W.fold(log, W.RUNS, "run_id", ["step"], "event", "note")
+    closed = F.max(F.when(F.col("legal") & (F.col("from_state") == "running"), F.col("noted")))
+    return folded.groupBy("run_id").agg(F.max_by("to_state", "step").alias("status"), F.coalesce(closed, F.lit(0)).cast("long").alias("observations"), F.count_if(~F.col("legal")).alias("refused"))
 
 
 @query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 4 = 0 THEN 'new' END, c_mktsegment) AS source, c_custkey % 4 = 0 AS verified FROM customer")
@@ -450,9 +472,27 @@ def mut_mark_url(spark, sf):
     return scan(spark, sf, "pages").select("page_id", F.when(F.col("url").startswith("https"), True).otherwise(False).alias("url_verified"))
 
 
-@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS stage, count(*) AS transitions FROM events GROUP BY 1")
+STAGES = ["signup", "view", "click", "purchase"]
+ALLOWED = {"signup": ["view", "click"], "view": ["click", "signup"], "click": ["view", "purchase"], "purchase": ["signup"]}
+MOVES = W.moves(STAGES, "signup", ALLOWED)
+MOVES_SQL = _fold_sql(MOVES, "SELECT user_id, event_id, ts, event_type AS event, CASE WHEN event_type = 'error' THEN value END AS note FROM events", "user_id", "ts, event_id", "event_id")
+
+
+def _moves(spark, sf):
+    """Stage transitions of users; what isn't allowed (errors too) is reported, and scores come with errors."""
+    e = scan(spark, sf, "events").withColumn("score", F.when(F.col("event_type") == "error", F.col("value")))
+    return W.fold(e, MOVES, "user_id", ["ts", "event_id"], "event_type", "score")
+
+
+@query(MOVES_SQL + " SELECT event_id, user_id, from_state, to_state, legal, noted AS score_snapshot FROM f WHERE rn > 0")
+def mut_stage_events(spark, sf):
+    """Every event with the stage before and after it and the score at that time."""
+    return _moves(spark, sf).select("event_id", "user_id", "from_state", "to_state", "legal", F.col("noted").alias("score_snapshot"))
+
+
+@query(MOVES_SQL + " SELECT user_id, arg_max(to_state, rn) AS state, count(*) FILTER (legal AND rn > 0) AS moves, count(*) FILTER (NOT legal) AS refused FROM f GROUP BY 1")
 def mut_stage_transition(spark, sf):
-    return scan(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("stage"), F.count("*").alias("transitions"))
+    return W.current(_moves(spark, sf), "user_id", ["ts", "event_id"])
 
 
 @query("SELECT event_id, user_id, event_type FROM events UNION ALL SELECT event_id + 1000000, user_id, 'review' FROM events WHERE event_type = 'click'")
@@ -490,7 +530,11 @@ def mut_metric_codes(spark, sf):
     return p.join(codes, "p_partkey", "left").select("p_partkey", F.coalesce("new", F.lower("p_type")).alias("code"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'pending' END AS status FROM orders WHERE o_orderpriority = '1-URGENT'")
+GAP_LOG = "SELECT o_custkey * 10 + o_orderkey % 7 AS gap_id, o_orderdate AS day, o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'log' WHEN 1 THEN 'sent' WHEN 2 THEN 'resolved' ELSE 'log' END AS event, CAST(NULL AS DOUBLE) AS note FROM {orders}"
+GAP_SQL = _fold_sql(W.GAPS, GAP_LOG.replace("{", "").replace("}", ""), "gap_id", "day, id", "id")
+
+
+@query(GAP_SQL + " SELECT gap_id, arg_max(to_state, rn) AS state, count(*) FILTER (legal AND rn > 0) AS moves, count(*) FILTER (NOT legal) AS refused FROM f GROUP BY 1")
 def mut_gap_log(spark, sf):
-    o = scan(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
-    return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "resolved").otherwise("pending").alias("status"))
+    """Gap actions from their log: logged once, then sent and resolved."""
+    return W.current(W.fold(base(spark, sf, GAP_LOG), W.GAPS, "gap_id", ["day", "id"], "event", "note"), "gap_id", ["day", "id"])
