@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import temporal as M
 from ..functions import text as X
+from ..operators import backfill as BF
 from ..operators import entity as E
 from ..operators import extract as T
 from ..operators import fallback as LF
@@ -18,6 +19,7 @@ from ..sources import documents as D
 from ..sources import providers as P
 from ..sources import scratch
 from ..sources import sinks as K
+from ..sources import store as S
 from ..sources.rules import ALL, DEFAULT
 from .expressions import AS_OF, MEMO, NAMES
 from .registry import base, query, scan
@@ -555,6 +557,23 @@ def src_entity_index(spark, sf):
     return E.frequencies(spark.read.parquet(f"{path}/terms"))
 
 
+WRITTEN = "SELECT c_custkey AS id, c_nationkey AS nation, c_mktsegment AS segment FROM customer WHERE c_custkey % 4 <> 1"
+SECOND = "SELECT c_custkey AS id, c_nationkey + 100 AS nation, CASE WHEN c_custkey % 2 = 0 THEN 'moved' END AS segment FROM customer WHERE c_custkey % 8 < 2"
+
+
+@query(f"""WITH a AS ({WRITTEN}), z AS ({SECOND})
+SELECT 1 AS version, id, nation, segment FROM a UNION ALL SELECT 2, coalesce(a.id, z.id), coalesce(z.nation, a.nation), coalesce(z.segment, a.segment) FROM a FULL JOIN z ON a.id = z.id""")
+def snk_write(spark, sf):
+    """Two upserts into a bucketed store, read as each left it."""
+    c = scan(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    store = S.Store(spark, scratch.folder(spark, "store"), c.schema, ["id"])
+    store.create()
+    first = store.upsert(c.where("id % 4 <> 1"), {"nation": "last", "segment": "coalesce"}, [F.asc("nation")])
+    moved = c.where("id % 8 < 2").select("id", (F.col("nation") + 100).alias("nation"), F.when(F.col("id") % 2 == 0, "moved").alias("segment"))
+    second = store.upsert(moved, {"nation": "last", "segment": "coalesce"}, [F.asc("nation")])
+    return store.read(first).withColumn("version", F.lit(first)).unionByName(store.read(second).withColumn("version", F.lit(second)))
+
+
 @query(None)
 def src_catalog_meta(spark, sf):
     fields = [(t, f.name, f.dataType.simpleString()) for t in ("region", "nation", "supplier") for f in scan(spark, sf, t).schema]
@@ -587,10 +606,33 @@ def wf_market_refresh(b):
     return b.where(quote.isNotNull() & url.isNotNull() & (F.col("amount") / 900 >= 0.4)).select("id")
 
 
-@query("SELECT company_id AS run_company, source, count(*) AS observations FROM (SELECT company_id, CASE WHEN id % 10 = 0 THEN 'analyst_override' WHEN value_type = 'text' THEN 'alpha_scout_v1' ELSE 'seed_data_v1' END AS source FROM b) GROUP BY 1, 2", MEMO)
+STORED = """SELECT o_orderkey AS value_id, o_custkey AS company_id, o_orderkey % 12 AS metric_id, CAST(CAST(floor(o_totalprice) AS BIGINT) % 50 AS STRING) AS value,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS evidence, CAST(NULL AS STRING) AS url, CASE o_orderkey % 4 WHEN 0 THEN 'Alpha_Scout run' WHEN 1 THEN 'analyst' END AS captured_by,
+  CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS captured_at, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(0.5 AS DOUBLE) END AS confidence, o_orderkey % 10 = 0 AS override, o_orderkey % 3 <> 0 AS is_latest,
+  CASE WHEN o_orderkey % 13 = 0 THEN CAST(7 AS BIGINT) END AS winning_observation_id FROM {orders}"""
+TWICE = f"{STORED} UNION ALL SELECT value_id + 1000000000, company_id, metric_id, value, evidence, url, 'alpha_scout', captured_at, confidence, override, true, NULL FROM ({STORED}) WHERE value_id % 9 = 0"
+BACKFILL_SQL = """WITH v AS (SELECT *, CASE WHEN override THEN 'analyst_override' WHEN contains(lower(captured_by), 'alpha_scout') THEN 'alpha_scout_v1' ELSE 'seed_data_v1' END AS extractor,
+  md5(company_id || '||' || metric_id || '||' || value || '||' || coalesce(evidence, '') || '||' || coalesce(CAST(captured_at AS VARCHAR), '')) AS fingerprint FROM b),
+r AS (SELECT extractor, company_id, row_number() OVER (ORDER BY company_id, extractor) AS run_id FROM (SELECT DISTINCT extractor, company_id FROM v)),
+f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY company_id, metric_id, captured_at NULLS FIRST, value_id) = 1),
+o AS (SELECT f.*, run_id, row_number() OVER (ORDER BY company_id, metric_id, captured_at NULLS FIRST, value_id) AS observation_id FROM f JOIN r USING (extractor, company_id))"""
+
+
+@query(BACKFILL_SQL + " SELECT run_id, extractor, company_id, 'success' AS status, count(observation_id) AS observations FROM r LEFT JOIN o USING (run_id, extractor, company_id) GROUP BY ALL", TWICE)
 def wf_backfill(b):
-    source = F.when(F.col("id") % 10 == 0, "analyst_override").when(F.col("value_type") == "text", "alpha_scout_v1").otherwise("seed_data_v1")
-    return b.select("company_id", source.alias("source")).groupBy(F.col("company_id").alias("run_company"), "source").agg(F.count("*").alias("observations"))
+    return BF.backfill(b).runs
+
+
+@query(BACKFILL_SQL + " SELECT observation_id, run_id, company_id, metric_id, value, evidence, coalesce(confidence, 1.0) AS confidence, captured_at, fingerprint FROM o", TWICE)
+def wf_backfill_observations(b):
+    return BF.backfill(b).observations.drop("url")
+
+
+@query(BACKFILL_SQL + " SELECT value_id, observation_id FROM o WHERE is_latest AND NOT override AND winning_observation_id IS NULL", TWICE)
+def wf_backfill_links(b):
+    """Links of a backfill and of a second one after it, which adds none."""
+    once = BF.backfill(b)
+    return once.links.unionByName(BF.backfill(b, once.runs, once.observations).links)
 
 
 HOST_ = r"nullif(regexp_replace(regexp_extract(lower(CASE WHEN regexp_matches(website, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN website ELSE 'http://' || website END), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1), '^www\.', ''), '')"
