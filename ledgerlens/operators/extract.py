@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,20 +12,22 @@ from pyspark.sql import types as T
 from ..functions import numbers as N
 from ..functions import temporal as M
 from ..functions import text as X
-from ..sources.rules import Rule
+from ..sources.rules import Rule, factors
 from .state import broadcast_if_small, first_by, top_k
 
 _OUT = ["value", "evidence", "period_label", "scenario", "as_of_date"]
 
 
 def _candidate(rule: Rule, pattern: str) -> Column:
-    """The first match of a pattern; empty `m` for none."""
-    text = F.col("text")
+    """The first match of a pattern; empty `m` for none, null where the text, in small
+    letters as `_low`, lacks what every match holds, so that most patterns never run."""
+    text, needed = F.col("text"), sorted(factors(pattern))
     unit = F.regexp_extract(text, pattern, 2) if rule.kind == "money" else F.lit("")
     bound = lambda x: F.lit(x).cast("double")
     fields = {"code": F.lit(rule.code), "method": F.lit("regex"), "confidence": F.lit(rule.confidence), "granularity": F.lit(rule.granularity), "currency": F.lit(rule.currency).cast("string"), "low": bound(rule.low), "high": bound(rule.high), "dated": F.lit("as_of_date" in rule.requires or "scenario" in rule.requires)}
     found = {"at": F.regexp_instr(text, F.lit(pattern)), "m": F.regexp_extract(text, pattern, 0), "x": N.money(F.rtrim(F.regexp_extract(text, pattern, 1), F.lit(".,")), unit)}
-    return F.struct(*[v.alias(k) for k, v in (fields | found).items()])
+    made = F.struct(*[v.alias(k) for k, v in (fields | found).items()])
+    return F.when(reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(f)) for f in needed]), made) if needed else made
 
 
 def _row(head: dict[str, Column], value: Column, evidence: Column, label: Column, scenario: Column, date: Column) -> Column:
@@ -54,7 +58,8 @@ def extract(chunks: DataFrame, rules: list[Rule], as_of: Column, keys: list[str]
     tries = [_candidate(r, p) for r in rules if r.kind != "enum" for p in r.patterns]
     if tries:
         # Each step is a column of its own, so that labels are looked for and read once.
-        df = df.withColumn("_c", F.filter(F.array(*tries), lambda c: (c["m"] != "") & N.within(c["x"], c["low"], c["high"])))
+        df = df.withColumn("_low", F.lower("text"))
+        df = df.withColumn("_c", F.filter(F.array_compact(F.array(*tries)), lambda c: (c["m"] != "") & N.within(c["x"], c["low"], c["high"])))
         df = df.withColumn("_l", F.transform("_c", lambda c: M.nearby_label(text, c["at"], F.length(c["m"]))))
         df = df.withColumn("_p", F.transform("_l", lambda label: M.parse_label(label, as_of)))
         dated = lambda i: F.get("_p", i)["as_of_date"].isNotNull()

@@ -42,7 +42,7 @@ UNION ALL SELECT id, 'prior_successful_exit', 'true', NULL, NULL FROM b WHERE id
 
 
 def _extracted(b, codes=None):
-    return T.extract(b, DEFAULT, F.expr(AS_OF), ["id"], codes)
+    return T.extract(D.spread(b), ALL, F.expr(AS_OF), ["id"], codes)
 
 
 @query(ENGINE, DECK)

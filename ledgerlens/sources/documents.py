@@ -27,6 +27,13 @@ def files(spark: SparkSession, path: str, most: int = 10 * 1024 * 1024) -> DataF
     return raw.select(F.sha2("content", 256).alias("content_hash"), "path", F.col("length").alias("size_bytes"), "content", ((F.col("length") <= most) & pdf).alias("accepted"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is a scan of fewer splits than there are (files of one
+    row group); a table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunks(docs: DataFrame, keys: list[str], separator: str = "\f") -> DataFrame:
     """(keys, ordinal, locator, text): pages with white space collapsed; short ones are skipped, ordinals keep their gaps."""
     parts = docs.select(*keys, F.posexplode(F.split("text", separator)).alias("ordinal", "text"))

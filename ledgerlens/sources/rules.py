@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from re import _parser
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,32 @@ def load(source: str | list[dict]) -> list[Rule]:
     return out
 
 
+def factors(pattern: str) -> set[str]:
+    """Texts in small letters of which every match holds one; empty if none is certain."""
+
+    def best(sets: list[set[str]]) -> set[str]:
+        return max((s for s in sets if s), key=lambda s: (min(map(len, s)), -len(s)), default=set())
+
+    def of(items) -> set[str]:
+        found, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is _parser.LITERAL:
+                run += chr(arg).lower()
+                continue
+            found.append({run} if run.strip() else set())
+            run = ""
+            if op is _parser.SUBPATTERN:
+                found.append(of(arg[3]))
+            elif op is _parser.BRANCH:
+                each = [of(branch) for branch in arg[1]]
+                found.append(set().union(*each) if all(each) else set())
+            elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] > 0:
+                found.append(of(arg[2]))
+        return best(found)
+
+    return of(_parser.parse(pattern))
+
+
 _MONEY = r"\$?\s*([0-9][0-9.,]*)\s*(billion|million|thousand|mm|k|m|b)?\b"
 _AMOUNT = r"\s*([0-9][0-9.,]*)\s*(k|mm|million|m|billion|b)?"
 #: Rules of our own wording for the usual metrics.
