@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -15,6 +17,7 @@ from ..operators import ground as G
 from ..operators import layout as L
 from ..operators import retrieval as V
 from ..operators import state as ST
+from ..sources import catalog as C
 from ..sources import documents as D
 from ..sources import providers as P
 from ..sources import scratch
@@ -574,10 +577,52 @@ def snk_write(spark, sf):
     return store.read(first).withColumn("version", F.lit(first)).unionByName(store.read(second).withColumn("version", F.lit(second)))
 
 
-@query(None)
+# Columns and types of the driver's star schema.
+COLUMNS = {
+    "region": {"r_regionkey": "bigint", "r_name": "string"},
+    "nation": {"n_nationkey": "bigint", "n_name": "string", "n_regionkey": "bigint"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"},
+    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"},
+    "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"},
+    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
+    "pages": {"page_id": "bigint", "url": "string", "html": "string"},
+    "benchmark": {"item_id": "bigint", "text": "string"},
+    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
+    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
+}
+WHOLE = ("int", "bigint")
+STATISTICS_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", '{k}' AS type, count(*) AS rows, count(*) - count({c}) AS nulls, {f'CAST(min({c}) AS BIGINT)' if k in WHOLE else 'CAST(NULL AS BIGINT)'} AS least, {f'CAST(max({c}) AS BIGINT)' if k in WHOLE else 'CAST(NULL AS BIGINT)'} AS greatest FROM {t}"
+    for t, columns in COLUMNS.items()
+    for c, k in columns.items()
+)
+
+
+@query(STATISTICS_SQL)
 def src_catalog_meta(spark, sf):
-    fields = [(t, f.name, f.dataType.simpleString()) for t in ("region", "nation", "supplier") for f in scan(spark, sf, t).schema]
-    return spark.createDataFrame(fields, "table string, column string, type string")
+    """Rows, nulls and bounds of every column, from the files' footers."""
+    return C.statistics(spark, {t: f"{sf}/{t}.parquet" for t in COLUMNS})
+
+
+UNIQUE = [("nation", ["n_nationkey"]), ("supplier", ["s_suppkey"]), ("orders", ["o_orderkey"]), ("lineitem", ["l_orderkey", "l_linenumber"]), ("lineitem", ["l_suppkey"]), ("events", ["user_id"])]
+LINKED = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("lineitem", "l_partkey", "supplier", "s_suppkey")]
+CHECKS_SQL = " UNION ALL ".join(
+    [f"SELECT '{t}' AS \"table\", 'unique' AS \"check\", '{','.join(k)}' AS columns, count(*) AS violations FROM (SELECT {', '.join(k)} FROM {t} WHERE {' AND '.join(c + ' IS NOT NULL' for c in k)} GROUP BY ALL HAVING count(*) > 1)" for t, k in UNIQUE]
+    + [f"SELECT '{t}', 'references', '{c}', count(*) FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {o} WHERE {k} IS NOT NULL)" for t, c, o, k in LINKED]
+    + ["SELECT 'documents', 'not null', 'text', count(*) FROM documents WHERE text IS NULL", "SELECT 'labels', 'among', 'quality', count(*) FROM labels WHERE quality NOT IN (0)"]
+)
+
+
+@query(CHECKS_SQL)
+def src_catalog_checks(spark, sf):
+    """Violations of keys, references, nulls and allowed values."""
+    t = lambda name: scan(spark, sf, name)
+    found = [C.unique(t(name), name, k) for name, k in UNIQUE] + [C.references(t(name), name, c, t(o), k) for name, c, o, k in LINKED]
+    found += [C.not_null(t("documents"), "documents", "text"), C.among(t("labels"), "labels", "quality", [0])]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 @query("SELECT s_suppkey, 'employees,stage' AS fields FROM supplier")
