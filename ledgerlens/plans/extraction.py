@@ -19,6 +19,7 @@ from ..operators import retrieval as V
 from ..operators import state as ST
 from ..sources import catalog as C
 from ..sources import documents as D
+from ..sources import preprocess as PP
 from ..sources import providers as P
 from ..sources import scratch
 from ..sources import sinks as K
@@ -527,6 +528,28 @@ def src_pdf_chunks(spark, sf):
     return D.chunks(scan(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "\n").select("doc_id", F.col("ordinal").cast("int").alias("ordinal"), "text")
 
 
+SHEETS = """SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) % 90 + 1 AS v, year(o_orderdate) AS y,
+  'Overview of the company and  its market' || chr(10) || 'in brief' || chr(12) || 'short' || chr(12) || 'Financials, as reported' || chr(10) || '| Metric | ' || CAST(year(o_orderdate) AS STRING) || ' | ' || CAST(year(o_orderdate) AS STRING) || 'E |' || chr(10)
+  || '| ARR ($M) | ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90 + 1 AS STRING) || ' | - |' || chr(10) || chr(10) || 'a | b' || chr(10) || 'end' AS text FROM {orders}"""
+SHEETS_SQL = """SELECT id, 0 AS ordinal, 'slide_1' AS locator, 'Overview of the company and its market in brief' AS text, '' AS tables FROM b
+UNION ALL SELECT id, 2, 'slide_3', 'Financials, as reported | Metric | ' || y || ' | ' || y || 'E | | ARR ($M) | ' || v || ' | - | a | b end', 'Metric,' || y || ',' || y || 'E;ARR ($M),' || v || ',-/a,b' FROM b"""
+
+
+@query(SHEETS_SQL, SHEETS)
+def src_pages(b):
+    """Pages with their tables attached, in one pass; short pages leave gaps in the ordinals."""
+    pages = PP.preprocess(D.spread(b), PP.TextPages(), ["id"], "text")
+    tables = F.array_join(F.transform("tables", lambda t: F.array_join(F.transform(t, lambda r: F.array_join(r, ",")), ";")), "/")
+    return pages.select("id", "ordinal", "locator", "text", tables.alias("tables"))
+
+
+@query(f"SELECT id, 'slide_3' AS locator, 'arr' AS metric_code, CAST(y AS VARCHAR) AS period_label, v * 1e6 AS value, CASE WHEN make_date(CAST(y AS INT), 12, 31) > {AS_OF} THEN 'projection' ELSE 'actual' END AS scenario FROM b", SHEETS)
+def src_page_tables(b):
+    """The tables of pages as observations."""
+    grids = PP.page_tables(PP.preprocess(D.spread(b), PP.TextPages(), ["id"], "text"), ["id"])
+    return T.table_observations(grids, ["id", "locator"], F.expr(AS_OF)).select("id", "locator", "metric_code", "period_label", "value", "scenario")
+
+
 @query(None)
 def src_rules_yaml(spark, sf):
     return spark.createDataFrame([(r.code, r.kind, r.confidence, len(r.patterns)) for r in DEFAULT], "code string, kind string, confidence double, patterns int")
@@ -579,8 +602,8 @@ def snk_write(spark, sf):
 
 # Columns and types of the driver's star schema.
 COLUMNS = {
-    "region": {"r_regionkey": "bigint", "r_name": "string"},
-    "nation": {"n_nationkey": "bigint", "n_name": "string", "n_regionkey": "bigint"},
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
     "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
     "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
     "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
