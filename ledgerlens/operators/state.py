@@ -72,3 +72,22 @@ def scd_latest(old: DataFrame, new: DataFrame, keys: list[str], at: str, tie: li
 
 def unlocked(df: DataFrame, locked: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(locked.select(*keys).distinct(), keys, "left_anti")
+
+
+def set_codes(rows: DataFrame, codes: DataFrame, id: str, code: str) -> DataFrame:
+    """rows with the code that `codes` (id, code) has for their id, and `changed`: whether
+    it is another one. Of several codes of an id the least counts; a null code sets null."""
+    new = codes.groupBy(F.col(id).alias("_id")).agg(F.min(code).alias("_code"))
+    j = rows.join(broadcast_if_small(new), rows[id] == F.col("_id"), "left")
+    changed = F.col("_id").isNotNull() & ~F.col(code).eqNullSafe(F.col("_code"))
+    return j.withColumn("changed", changed).withColumn(code, F.when(F.col("changed"), F.col("_code")).otherwise(F.col(code))).drop("_id", "_code")
+
+
+def get_or_create(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(stored, answers): old with those of new whose key it doesn't have, the first of
+    each in order, and for each key of new the row that is stored for it now, with
+    `created`, whether it is new. Old rows are one a key and stay as they are."""
+    added = insert_ignore(old, new, keys, order)
+    both = old.withColumn("created", F.lit(False)).unionByName(added.withColumn("created", F.lit(True)))
+    asked = new.select(*keys).distinct()
+    return both.drop("created"), both.join(asked, _same(both, asked, keys), "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import json_text as J
+from ..functions import fingerprint as P
 from ..functions import numbers as N
 from ..functions import temporal as M
 from ..functions import text as X
@@ -360,10 +361,13 @@ def exp_sha256(spark, sf):
     return scan(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
 
 
-@query("""SELECT id, md5('{"company":"' || CAST(company_id AS VARCHAR) || '","unit":' || CASE WHEN unit = '' THEN 'null' ELSE '"' || unit || '"' END || '}') AS fp FROM b""", MEMO)
+@query("""SELECT id, md5('{"as_of_date":"' || CAST(day AS VARCHAR) || '","company_id":"' || company_id || '","currency":"","evidence_text":"say \\"' || raw || '\\"\\n","metric_id":"' || amount || '","normalized_value":"' || raw
+  || '","period_label":"' || y || '","scenario":"","source_chunk_id":"' || unit || '","source_document_id":"' || id || '"}') AS fp FROM b""", MEMO)
 def exp_fingerprint_json(b):
-    doc = F.to_json(F.struct(F.col("company_id").cast("string").alias("company"), F.nullif("unit", F.lit("")).alias("unit")), {"ignoreNullFields": "false"})
-    return b.select("id", F.md5(doc).alias("fp"))
+    """All ten fields of an observation's key."""
+    none = F.lit(None).cast("string")
+    values = [F.col("day"), F.col("company_id"), none, F.concat(F.lit('say "'), "raw", F.lit('"\n')), F.col("amount"), F.col("raw"), F.col("y"), none, F.col("unit"), F.col("id")]
+    return b.select("id", P.fingerprint_json(dict(zip(P.FIELDS, values, strict=True))).alias("fp"))
 
 
 @query("SELECT id, md5(concat_ws('||', CAST(company_id AS VARCHAR), coalesce(nullif(unit, ''), ''), raw, CAST(day AS VARCHAR))) AS fp FROM b", MEMO)

@@ -180,12 +180,11 @@ def ext_kpi_pair(b):
     return b.where(v != "").select("id", v.try_cast("double").alias("customers"))
 
 
-@query("SELECT id, 5.0::DOUBLE AS n FROM b WHERE id % 2 = 0", CARD)
+@query("SELECT id, 118.0::DOUBLE AS n FROM b WHERE id % 2 = 0", CARD)
 def ext_count_card(b):
-    at = F.regexp_instr("text", F.lit(r"(?i)paying\s+customers"))
-    before = F.substring("text", F.greatest(at - 50, F.lit(1)), F.least(at - 1, F.lit(50)))
-    nums = F.regexp_extract_all(F.replace(before, F.lit("k ARR"), F.lit(" ")), F.lit(r"\b([0-9]{1,6})\b"), F.lit(1))
-    return b.where(at > 0).select("id", F.try_element_at(nums, F.lit(-1)).try_cast("double").alias("n"))
+    """The last whole number before the customers' label: 118, since 5 has a letter after it."""
+    placed = L.with_places(b.withColumn("deck_date", F.col("day")), F.expr(AS_OF))
+    return placed.select("id", F.explode(L.count_card()).alias("f")).select("id", F.col("f.x").alias("n"))
 
 
 @query("SELECT id, CAST(amount % 90 AS DOUBLE) AS gm FROM b", CARD)
@@ -248,7 +247,7 @@ def ext_quote_ranked(spark, sf):
     return V.first_source(ranked, quotes, ["conv_id", "query_id"], ["turn"]).join(ranked.select("conv_id", "query_id", "turn", "rank"), ["conv_id", "query_id", "turn"])
 
 
-SLIDES = """SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) % 900 + 1 AS v, year(o_orderdate) AS y FROM {orders}"""
+NOTES = """SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) % 900 + 1 AS v, year(o_orderdate) AS y FROM {orders}"""
 CHAIN_SQL = f"""WITH m AS (SELECT *, unnest(['employee_count', 'customer_count', 'gross_margin']) AS metric_code FROM b),
 a AS (SELECT *, CASE metric_code WHEN 'gross_margin' THEN v % 100 ELSE v END AS n FROM m WHERE NOT (metric_code = 'employee_count' AND id % 4 = 0)),
 ok AS (SELECT * FROM a WHERE n % 6 < 2 AND NOT (metric_code <> 'customer_count' AND n % 7 = 0))
@@ -275,7 +274,7 @@ def stand_in_model(prompt):
     return f"```json\n{json.dumps(answer)}\n```" if kind == 0 else json.dumps(answer)
 
 
-@query(CHAIN_SQL, SLIDES)
+@query(CHAIN_SQL, NOTES)
 def ext_llm_chain(b):
     """Retrieval, prompt, provider, answer, quote, type, range and period in one operator."""
     s = lambda c: F.col(c).cast("string")

@@ -89,12 +89,15 @@ def qry_projection_vs_actual(b):
     return R.projection_vs_actual(b, ["company_id", "metric_id"], TIE)
 
 
-@query("WITH r AS (SELECT company_id, metric_id, as_of_date, value, CASE WHEN scenario = 'actual' THEN 'a' ELSE 'p' END AS kind FROM b WHERE scenario IS NOT NULL AND as_of_date IS NOT NULL) SELECT p.company_id, p.metric_id, p.as_of_date, count(*) AS pairs FROM (SELECT company_id, metric_id, as_of_date, max(value) v FROM r WHERE kind='p' GROUP BY 1,2,3) p JOIN (SELECT company_id, metric_id, as_of_date, max(value) v FROM r WHERE kind='a' GROUP BY 1,2,3) a USING (company_id, metric_id, as_of_date) GROUP BY 1,2,3", OBS)
+@query("""WITH r AS (SELECT company_id, metric_id, as_of_date, max(value) FILTER (scenario <> 'actual') AS projected, max(value) FILTER (scenario = 'actual') AS actual FROM b WHERE scenario IS NOT NULL AND as_of_date IS NOT NULL GROUP BY ALL)
+SELECT *, actual - projected AS delta FROM r WHERE projected IS NOT NULL AND actual IS NOT NULL""", OBS)
 def jn_projection_actual(b):
+    """Greatest projected against greatest actual value of a target date, by one join."""
     keys = ["company_id", "metric_id", "as_of_date"]
     rows = b.where("scenario is not null and as_of_date is not null")
-    side = lambda c: rows.where(c).groupBy(*keys).agg(F.max("value").alias("v"))
-    return side("scenario <> 'actual'").join(side("scenario = 'actual'").drop("v"), keys).groupBy(*keys).agg(F.count("*").alias("pairs"))
+    side = lambda c, name: rows.where(c).groupBy(*keys).agg(F.max("value").alias(name))
+    both = side("scenario <> 'actual'", "projected").join(side("scenario = 'actual'", "actual"), keys)
+    return both.withColumn("delta", F.col("actual") - F.col("projected"))
 
 
 @query("SELECT company_id, metric_id, as_of_date, k1, row_number() OVER (PARTITION BY company_id, metric_id, as_of_date ORDER BY captured_at DESC, k1 DESC, k2 DESC, k3 DESC, k4 DESC) AS rn FROM b", OBS)
@@ -419,10 +422,13 @@ def mut_upsert_weight(b):
     return _ups(b, {"id": "last"})
 
 
-@query("SELECT md5(text) AS h, min(doc_id) AS doc_id, min(doc_id) % 2 = 1 AND bool_and(doc_id % 2 = 1) AS created FROM documents GROUP BY 1")
+@query("""WITH d AS (SELECT doc_id, md5(text) AS h FROM documents), o AS (SELECT h, min(doc_id) AS doc_id FROM d WHERE doc_id % 2 = 0 GROUP BY 1), n AS (SELECT h, min(doc_id) AS doc_id FROM d WHERE doc_id % 2 = 1 GROUP BY 1)
+SELECT n.h, coalesce(o.doc_id, n.doc_id) AS doc_id, o.h IS NULL AS created FROM n LEFT JOIN o ON n.h IS NOT DISTINCT FROM o.h""")
 def mut_upsert_document(spark, sf):
-    d = scan(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"))
-    return d.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.bool_and(F.col("doc_id") % 2 == 1).alias("created"))
+    """Documents by content hash against those that are stored: which row answers, and whether it is new."""
+    d = scan(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
+    old = d.where("doc_id % 2 = 0").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    return T.get_or_create(old, d.where("doc_id % 2 = 1").select("h", "doc_id"), ["h"], [F.asc("doc_id")])[1]
 
 
 @query("SELECT conv_id, turn, CASE WHEN max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 1 THEN max(CASE WHEN role = 'assistant' THEN text END) ELSE max(text) END AS text FROM conversations GROUP BY 1, 2")
@@ -523,11 +529,15 @@ def mut_delete_force(spark, sf):
     return scan(spark, sf, "lineitem").where(~F.col("l_suppkey").eqNullSafe(7)).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT p_partkey, coalesce(CASE WHEN p_partkey % 4 = 0 THEN 'code_' || CAST(p_partkey AS VARCHAR) END, lower(p_type)) AS code FROM part")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'added' WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 8 = 0 THEN lower(p_type) ELSE 'code_' || p_partkey END ELSE lower(p_type) END AS code,
+  p_partkey % 3 <> 0 AND p_partkey % 4 = 0 AND p_partkey % 8 <> 0 AS changed FROM part""")
 def mut_metric_codes(spark, sf):
-    p = scan(spark, sf, "part")
-    codes = p.where("p_partkey % 4 = 0").select("p_partkey", F.concat(F.lit("code_"), "p_partkey").alias("new"))
-    return p.join(codes, "p_partkey", "left").select("p_partkey", F.coalesce("new", F.lower("p_type")).alias("code"))
+    """Codes set by id where they differ, and metrics inserted that aren't there."""
+    p = scan(spark, sf, "part").select("p_partkey", F.lower("p_type").alias("code"))
+    codes = p.where("p_partkey % 4 = 0").select("p_partkey", F.when(F.col("p_partkey") % 8 == 0, F.col("code")).otherwise(F.concat(F.lit("code_"), "p_partkey")).alias("code"))
+    known = T.set_codes(p.where("p_partkey % 3 <> 0"), codes, "p_partkey", "code")
+    added = T.insert_ignore(known, p.select("p_partkey", F.lit("added").alias("code"), F.lit(False).alias("changed")), ["p_partkey"], [F.asc("code")])
+    return known.unionByName(added)
 
 
 GAP_LOG = "SELECT o_custkey * 10 + o_orderkey % 7 AS gap_id, o_orderdate AS day, o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'log' WHEN 1 THEN 'sent' WHEN 2 THEN 'resolved' ELSE 'log' END AS event, CAST(NULL AS DOUBLE) AS note FROM {orders}"
