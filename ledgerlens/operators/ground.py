@@ -65,3 +65,24 @@ def quote_check(quote: Column, text: Column, least: int = 20) -> Column:
     """verified, too_short, no_page or not_found, on normalised text."""
     q, t = X.normal_quote(quote), X.normal_quote(text)
     return F.when(F.length(F.trim(quote)) < least, "too_short").when(text.isNull(), "no_page").when(t.contains(q), "verified").otherwise("not_found")
+
+
+# Confidences of a site that has the name, its first word in the title, in the page, or two of its words.
+WHOLE, IN_TITLE, IN_PAGE, SOME = 1.0, 0.8, 0.7, 0.6
+
+
+def page_title(html: Column) -> Column:
+    """The title in small letters; empty if there is none."""
+    return F.trim(F.regexp_extract(F.lower(html), r"<title[^>]*>([^<]+)</title>", 1))
+
+
+def site_confidence(name: Column, html: Column) -> Column:
+    """How sure it is that a page is of the company: whole name, else the first word of
+    three letters in the title or the page, else two of such words; 0 for none. The
+    whole page counts, and a null page or a blank name gives 0."""
+    page, clean = F.lower(F.coalesce(html, F.lit(""))), F.trim(F.lower(F.coalesce(name, F.lit(""))))
+    words = F.filter(F.split(clean, r"\s+"), lambda w: F.length(w) >= 3)
+    first = F.get(words, F.lit(0))
+    hits = F.size(F.filter(words, lambda w: F.contains(page, w)))
+    out = F.when((clean != "") & F.contains(page, clean), WHOLE).when(F.contains(page_title(page), first), IN_TITLE).when(F.contains(page, first), IN_PAGE)
+    return out.when(hits >= 2, SOME).otherwise(0.0)

@@ -368,10 +368,18 @@ def ext_ground_score(b):
     return b.select("id", F.round(G.grounding_score(fields), 4).alias("score"))
 
 
-@query(r"SELECT page_id, CASE WHEN contains(lower(html), lower(h)) THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence FROM (SELECT page_id, html, regexp_extract(url, '://([^/]+)', 1) AS h FROM pages)")
+SITE_SQL = r"""WITH p AS (SELECT page_id, lower(coalesce(html, '')) AS page, trim(regexp_extract(lower(html), '<title[^>]*>([^<]+)</title>', 1)) AS title, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages),
+n AS (SELECT *, lower(trim(CASE page_id % 5 WHEN 0 THEN host WHEN 1 THEN regexp_extract(title, '[a-z]{3,}') || ' zzqxj' WHEN 2 THEN 'Body zzqxj' WHEN 3 THEN ' zzqxj  BODY html ' ELSE 'zzqxj' END)) AS name FROM p),
+w AS (SELECT *, list_filter(regexp_split_to_array(name, '\s+'), lambda x: length(x) >= 3) AS words FROM n)
+SELECT page_id, CASE WHEN contains(page, name) THEN 1.0 WHEN contains(title, words[1]) THEN 0.8 WHEN contains(page, words[1]) THEN 0.7 WHEN len(list_filter(words, lambda x: contains(page, x))) >= 2 THEN 0.6 ELSE 0.0 END::DOUBLE AS confidence FROM w"""
+
+
+@query(SITE_SQL)
 def ext_site_verify(spark, sf):
-    h = F.regexp_extract("url", "://([^/]+)", 1)
-    return scan(spark, sf, "pages").select("page_id", G.name_confidence(h, F.col("html")).alias("confidence"))
+    """The whole ladder: name, first word in title or page, two words, nothing."""
+    p, k = scan(spark, sf, "pages"), F.col("page_id") % 5
+    own = F.when(k == 0, F.regexp_extract("url", "://([^/]+)", 1)).when(k == 1, F.concat(F.regexp_extract(G.page_title(F.col("html")), "[a-z]{3,}", 0), F.lit(" zzqxj"))).when(k == 2, "Body zzqxj").when(k == 3, " zzqxj  BODY html ").otherwise("zzqxj")
+    return p.select("page_id", G.site_confidence(own, F.col("html")).alias("confidence"))
 
 
 @query("SELECT conv_id, turn, 0.6::DOUBLE AS confidence FROM conversations WHERE regexp_matches(text, '[a-z]{4}') AND length(text) < 0 UNION ALL SELECT conv_id, turn, 1.0 FROM conversations WHERE length(text) > 0")
