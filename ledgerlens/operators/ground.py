@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -53,6 +53,44 @@ def source_confidence(claim: Column, text: Column) -> Column:
     return F.when(low.contains(F.lower(claim)), 1.0).when((F.size(words) > 0) & (n / F.size(words) >= 0.5), 0.6).otherwise(0.0)
 
 
+#: Fields whose text is looked for as a claim.
+CLAIMS = ["description", "location", "sector", "funding_stage", "funding_amount"]
+
+
+def ground_fields(record: DataFrame, keys: list[str], text: str = "text", fields: list[str] | None = None) -> DataFrame:
+    """(keys, field, confidence, grounded, best) for each field of a record that is there.
+
+    fields: those of FIELDS among the columns, unless given. name, website and claims have
+    their own rules; founders, an array, counts as its best one, named in `best` (the first
+    among equals). A null field, and founders without a name, give no row; a null text
+    grounds nothing. All fields are one array on the record's row: no shuffle, one scan.
+    """
+    has = fields or [f for f in FIELDS if f in record.columns]
+    page = F.coalesce(F.col(text), F.lit(""))
+    name = F.coalesce(F.col("name"), F.lit("")) if "name" in record.columns else F.lit("")
+
+    def found(field: str) -> Column:
+        x, no = F.col(field), F.lit(None).cast("string")
+        if field == "founders":
+            each = F.transform(F.filter(x, lambda f: F.trim(f) != ""), lambda f: F.struct(F.coalesce(claim_confidence(f, page), F.lit(0.0)).alias("c"), f.alias("f")))
+            top = F.array_max(F.transform(each, lambda e: e["c"]))
+            best = F.get(F.filter(each, lambda e: e["c"] == top), F.lit(0))["f"]
+            return F.when(top.isNotNull(), F.struct(F.lit(field).alias("field"), top.alias("confidence"), best.alias("best")))
+        score = name_confidence(x, page) if field == "name" else website_confidence(x, name, page) if field == "website" else claim_confidence(x, page)
+        score = F.when((F.trim(x) == "") | (page == ""), 0.0).otherwise(F.coalesce(score, F.lit(0.0)))
+        return F.when(x.isNotNull(), F.struct(F.lit(field).alias("field"), score.alias("confidence"), no.alias("best")))
+
+    rows = record.select(*keys, F.array_compact(F.array(*[found(f) for f in has])).alias("_g")).withColumn("_g", F.explode_outer("_g")).where("_g is not null")
+    return rows.select(*keys, "_g.field", "_g.confidence", (F.col("_g.confidence") > 0).alias("grounded"), "_g.best")
+
+
+def record_score(evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, score): the weighted mean of a record's fields, as ground_fields gives them."""
+    weights = F.create_map(*[F.lit(v) for kv in FIELDS.items() for v in kv])
+    w = F.coalesce(F.try_element_at(weights, "field"), F.lit(1.0))
+    return evidence.groupBy(*keys).agg((F.sum(w * F.col("confidence")) / F.sum(w)).alias("score"))
+
+
 def grounding_score(fields: dict[str, Column]) -> Column:
     """Weighted average of the confidences of the fields given (null fields left out)."""
     weight = {k: FIELDS.get(k, 1.0) for k in fields}

@@ -9,6 +9,8 @@ from ..functions import fingerprint as P
 from ..functions import numbers as N
 from ..functions import temporal as M
 from ..functions import text as X
+from ..operators import agents as AG
+from ..operators import fallback as LF
 from .registry import query, scan
 
 AS_OF = "DATE '2000-06-30'"
@@ -276,9 +278,13 @@ def exp_funding_priority(b):
     return b.select("id", F.coalesce(F.element_at(ranks, source), F.lit(6)).alias("p"))
 
 
-@query("SELECT c_custkey, c_name || ' ' || c_mktsegment || ' market size CAGR' AS q FROM customer")
+@query("""SELECT c_custkey, c_name || ' growth ' || site AS metric, '"Ann ' || c_custkey || '" "' || c_name || '" site:linkedin.com/in/' AS founder, coalesce(industry, 'technology') || ' industry market size growth CAGR 2025 2026' AS market, c_name || ' ' || coalesce(industry, '') || ' startup funding news' AS news
+FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'c' || c_custkey || '.com' END AS site, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS industry FROM customer)""")
 def exp_query_build(spark, sf):
-    return scan(spark, sf, "customer").select("c_custkey", F.concat_ws(" ", "c_name", "c_mktsegment", F.lit("market size CAGR")).alias("q"))
+    """All four searches: a metric, a founder's profile, a market, news."""
+    site, industry, name = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("c"), "c_custkey", F.lit(".com"))), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")), F.col("c_name")
+    founder = AG.founder_query(F.concat(F.lit("Ann "), "c_custkey"), name)
+    return scan(spark, sf, "customer").select("c_custkey", AG.metric_query(name, F.lit("growth"), site).alias("metric"), founder.alias("founder"), AG.market_query(industry).alias("market"), AG.news_query(name, industry).alias("news"))
 
 
 @query(r"SELECT conv_id, string_agg('[' || CAST(turn AS VARCHAR) || '] ' || substr(text, 1, 800), chr(10) ORDER BY turn, text) AS block FROM conversations GROUP BY conv_id")
@@ -288,9 +294,19 @@ def exp_format_results(spark, sf):
     return got.select("conv_id", F.array_join("x.line", "\n").alias("block"))
 
 
-@query("SELECT id, 'Find ' || value_type || '.' || CASE WHEN value_type = 'number' THEN ' Give the period.' ELSE '' END AS prompt FROM b", MEMO)
+PROMPT_SQL = """WITH q(k, code, kind, span) AS (VALUES (0, 'mrr', 'number', 'month'), (1, 'employee_count', 'number', 'point_in_time'), (2, 'funding_stage', 'score_1_5', NULL), (3, 'founding_year', 'number', NULL), (4, 'prior_successful_exit', 'boolean', NULL),
+  (5, 'arr', 'number', 'year'), (6, 'revenue', 'number', 'year'), (7, 'gross_margin', 'number', 'year'), (8, 'burn_rate', 'number', 'month'), (9, 'customer_count', 'number', 'point_in_time'), (10, 'runway_months', 'number', 'point_in_time'), (11, 'technical_cofounder', 'boolean', NULL))
+SELECT id, 'Find the company''s ' || code || ' in the excerpts below.' || chr(10) || 'Metric: ' || code || chr(10) || 'Value: ' || CASE kind WHEN 'number' THEN 'A plain JSON number: no unit, no currency sign, scaled amounts written out (1.2M is 1200000).' WHEN 'boolean' THEN 'true or false; null only if the excerpts don''t touch on it.' ELSE 'A whole number from 1 to 5.' END
+  || CASE WHEN span IS NULL THEN '' ELSE chr(10) || 'The metric belongs to a period (' || span || '). Give its label as written in period_label (2024, 2026E, Q4 2024, Dec 2024); of several take the latest actual one. Without a label answer null for all.' END
+  || chr(10) || 'Answer with one JSON object and nothing else; keys: value, evidence_quote' || CASE WHEN span IS NULL THEN '' ELSE ', period_label' END || '. evidence_quote is copied from an excerpt letter by letter. Don''t guess: what isn''t there is null. Numbers of other companies don''t count.' || chr(10) || chr(10) || 'Excerpts:' || chr(10) AS prompt
+FROM b JOIN q ON b.id % 12 = q.k"""
+
+
+@query(PROMPT_SQL, MEMO)
 def exp_prompt(b):
-    return b.select("id", F.concat(F.lit("Find "), "value_type", F.lit("."), F.when(F.col("value_type") == "number", F.lit(" Give the period.")).otherwise("")).alias("prompt"))
+    """The prompt of each row's metric; only metrics that need a period are asked for one."""
+    code = F.element_at(F.array(*[F.lit(q.code) for q in LF.QUESTIONS]), (F.col("id") % 12 + 1).cast("int"))
+    return b.select("id", LF.prompt_for(code).alias("prompt"))
 
 
 @query("SELECT id, CASE WHEN s IS NULL THEN 'grey' WHEN s >= 4 THEN 'green' WHEN s >= 3 THEN 'amber' ELSE 'red' END AS band FROM (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE amount % 6 END AS s FROM b)", MEMO)

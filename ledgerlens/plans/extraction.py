@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import temporal as M
 from ..functions import text as X
+from ..operators import agents as AG
 from ..operators import backfill as BF
 from ..operators import entity as E
 from ..operators import extract as T
@@ -356,16 +359,33 @@ def ext_ground_claim(spark, sf):
     return scan(spark, sf, "conversations").where("length(text) > 0").select("conv_id", "turn", G.claim_confidence(F.substring("text", 1, 25), F.col("text")).alias("confidence"))
 
 
-@query("SELECT id, field, confidence FROM (SELECT id, 'name' AS field, CASE id % 3 WHEN 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence FROM b UNION ALL SELECT id, 'description', CASE id % 3 WHEN 2 THEN 1.0 ELSE 0.0 END::DOUBLE FROM b)", GNAME)
+RECORD = """SELECT s_suppkey AS id, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'https://firm' || CAST(s_suppkey AS STRING) || '.io/a' WHEN 1 THEN 'linkedin.com/in/x' WHEN 2 THEN 'https://www.gone' || CAST(s_suppkey AS STRING) || '.com' END AS website,
+  CASE s_suppkey % 3 WHEN 0 THEN 'makes valves' WHEN 1 THEN 'industrial marble fountains in small series' END AS description, 'Oslo' AS location, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'pumps' END AS sector, CASE s_suppkey % 6 WHEN 0 THEN 'Seed' END AS funding_stage,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Ann Absent|Bo Berg' WHEN 1 THEN 'Ann Absent' WHEN 2 THEN '' END AS people,
+  CASE WHEN s_suppkey % 11 <> 0 THEN 'We are ' || CASE WHEN s_suppkey % 2 = 0 THEN upper(s_name) ELSE 'a firm' END || ', see firm' || CAST(s_suppkey AS STRING) || '.io. Bo Berg in OSLO makes valves and marble fountains after a seed round.' END AS text FROM {supplier}"""
+RECORD_SQL = """WITH e AS (
+SELECT id, 'name' AS field, CASE WHEN text IS NOT NULL AND id % 2 = 0 THEN 1.0 ELSE 0.0 END AS confidence, NULL AS best FROM b
+UNION ALL SELECT id, 'website', CASE WHEN text IS NOT NULL AND id % 4 = 0 THEN 0.8 ELSE 0.0 END, NULL FROM b WHERE id % 4 <> 3
+UNION ALL SELECT id, 'description', CASE WHEN text IS NULL THEN 0.0 WHEN id % 3 = 0 THEN 1.0 ELSE 0.7 END, NULL FROM b WHERE id % 3 <> 2
+UNION ALL SELECT id, 'location', CASE WHEN text IS NULL THEN 0.0 ELSE 1.0 END, NULL FROM b
+UNION ALL SELECT id, 'sector', 0.0, NULL FROM b
+UNION ALL SELECT id, 'funding_stage', CASE WHEN text IS NULL THEN 0.0 ELSE 1.0 END, NULL FROM b WHERE id % 6 = 0
+UNION ALL SELECT id, 'founders', CASE WHEN text IS NOT NULL AND id % 4 = 0 THEN 1.0 ELSE 0.0 END, CASE WHEN text IS NOT NULL AND id % 4 = 0 THEN 'Bo Berg' ELSE 'Ann Absent' END FROM b WHERE id % 4 < 2)"""
+
+
+def _records(b):
+    return G.ground_fields(b.withColumn("founders", F.split("people", r"\|")).drop("people"), ["id"])
+
+
+@query(RECORD_SQL + " SELECT id, field, confidence::DOUBLE AS confidence, confidence > 0 AS grounded, best FROM e", RECORD)
 def ext_ground_all(b):
-    fields = F.stack(F.lit(2), F.lit("name"), G.name_confidence(F.col("name"), F.col("text")), F.lit("description"), G.claim_confidence(F.lit("nothing"), F.col("text")))
-    return b.select("id", fields.alias("field", "confidence"))
+    """Every field of a record by its own rule; founders by their best one."""
+    return _records(b)
 
 
-@query("SELECT id, round((CASE id % 3 WHEN 0 THEN 3.0 ELSE 0.0 END + CASE id % 3 WHEN 2 THEN 1.0 ELSE 0.0 END)::DOUBLE / 4, 4) AS score FROM b", GNAME)
+@query(RECORD_SQL + " SELECT id, round((sum(w * confidence) / sum(w))::DOUBLE, 4) AS score FROM (SELECT *, CASE field WHEN 'name' THEN 3 WHEN 'website' THEN 2 WHEN 'funding_stage' THEN 0.5 ELSE 1 END AS w FROM e) GROUP BY 1", RECORD)
 def ext_ground_score(b):
-    fields = {"name": G.name_confidence(F.col("name"), F.col("text")), "description": G.claim_confidence(F.lit("nothing"), F.col("text"))}
-    return b.select("id", F.round(G.grounding_score(fields), 4).alias("score"))
+    return G.record_score(_records(b), ["id"]).withColumn("score", F.round("score", 4))
 
 
 SITE_SQL = r"""WITH p AS (SELECT page_id, lower(coalesce(html, '')) AS page, trim(regexp_extract(lower(html), '<title[^>]*>([^<]+)</title>', 1)) AS title, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages),
@@ -670,15 +690,90 @@ def wf_gap_route(b):
     return b.select("id", F.when(p.isin("1-URGENT", "2-HIGH"), "outreach").when(p == "3-MEDIUM", F.when(confidence < 0.4, "failed").otherwise("search")).otherwise("manual_required").alias("route"))
 
 
-@query("SELECT id, 'pending' AS status FROM b WHERE priority = '1-URGENT'", MEMO)
-def wf_outreach_llm(b):
-    return b.where("priority = '1-URGENT'").select("id", F.lit("pending").alias("status"))
+COMPANIES = """SELECT c_custkey AS company_id, c_custkey % 12 AS metric_id, c_name AS company, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS industry, CASE WHEN c_custkey % 3 <> 0 THEN 'c' || CAST(c_custkey AS STRING) || '.com' END AS website, 'growth' AS metric,
+  CASE WHEN c_custkey % 2 = 0 THEN 'yearly' END AS description, CASE c_custkey % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'text' END AS value_type, CASE c_custkey % 8 WHEN 0 THEN 'Ask Founders' WHEN 1 THEN 'Tavily' WHEN 2 THEN 'LinkedIn' WHEN 3 THEN 'manual' WHEN 4 THEN NULL ELSE 'Web Search' END AS obtain_method FROM {customer}"""
+NEWS = """SELECT o_custkey AS company_id, o_orderkey AS rank, o_orderpriority AS title, 'http://news.example/' || CAST(o_orderkey AS STRING) AS url, CAST(floor(o_totalprice) AS BIGINT) % 50 AS n,
+  'Sales of ' || CAST(o_custkey AS STRING) || ' grew ' || CAST(CAST(floor(o_totalprice) AS BIGINT) % 50 AS STRING) || ' percent in ' || CAST(year(o_orderdate) AS STRING) || '.' AS content FROM {orders}"""
+
+
+def reader(prompt: str) -> str:
+    """A provider for queries: drafts a mail, or answers with the first result's percentage;
+    how surely, how fenced, and with which quote depends on it, and some calls fail."""
+    found = re.search(r"\[1\] .*\nURL: (.*)\nCONTENT: (.* grew (\d+) percent in \d+\.)", prompt)
+    if not found:
+        return " Hi there, " + ", ".join(re.findall(r"^(?:Company|Metric): (.*)$", prompt, re.M)) + "? The investment team\n"
+    url, quote, n = found[1], found[2], int(found[3])
+    if n % 7 == 3:
+        raise RuntimeError("no answer")
+    said = json.dumps({"value": n, "source_url": url, "evidence_quote": f"{n} percent" if n % 4 == 1 else quote, "confidence": n % 10 / 10})
+    return f"```json\n[{said}]\n```" if n % 3 == 0 else said
+
+
+def _web(spark, sf):
+    """Search results by company, and the pages they lead to: some lack the quote, some are gone."""
+    news = base(spark, sf, NEWS)
+    page = F.when(F.col("rank") % 4 == 1, F.upper(F.regexp_replace("content", " ", "  "))).when(F.col("rank") % 4 == 2, "another page altogether").otherwise(F.col("content"))
+    return news, news.where("rank % 4 <> 0").select("url", F.concat(F.lit("<p> "), page, F.lit(" </p>")).alias("text"))
+
+
+READ_SQL = """a AS (SELECT *, n % 7 = 3 AS broke, n <> 0 AND n % 10 >= 4 AS sure, CASE WHEN n % 4 = 1 THEN n || ' percent' ELSE content END AS quote,
+  CASE WHEN n % 4 = 1 THEN 'quote_too_short' WHEN rank % 4 = 0 THEN 'fetch_error' WHEN rank % 4 = 2 THEN 'quote_not_in_page' ELSE 'verified' END AS reason FROM r)"""
+GAP_FILL_SQL = f"""WITH w AS ({NEWS.replace("{orders}", "orders")}), r AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY rank) = 1), {READ_SQL},
+o AS (SELECT b.company_id, b.metric_id, b.company, gap_type, a.n, a.url, a.quote, a.reason, a.sure, CASE gap_type WHEN 'manual_required' THEN 'skipped' WHEN 'outreach' THEN 'drafted' ELSE CASE WHEN broke THEN 'error' WHEN sure THEN 'filled' ELSE 'no_data' END END AS status
+  FROM (SELECT *, CASE WHEN obtain_method = 'Ask Founders' THEN 'outreach' WHEN obtain_method IN ('Tavily', 'LinkedIn', 'Web Search') THEN 'search' ELSE 'manual_required' END AS gap_type FROM b) b LEFT JOIN a USING (company_id))"""
+
+
+def _gaps(b, sf):
+    news, pages = _web(b.sparkSession, sf)
+    queries = b.select("company_id", AG.metric_query(F.col("company"), F.col("metric"), F.col("website")).alias("query"))
+    return AG.fill_gaps(b, news.join(queries, "company_id"), pages, reader)
+
+
+@query(GAP_FILL_SQL + " SELECT company_id, metric_id, gap_type, status, CASE WHEN status = 'filled' THEN CAST(n AS VARCHAR) END AS value, CASE WHEN status = 'filled' THEN quote END AS evidence_quote, CASE WHEN status = 'filled' THEN reason END AS verify_reason FROM o", COMPANIES)
+def wf_gap_fill(b, sf):
+    return _gaps(b, sf).select("company_id", "metric_id", "gap_type", "status", "value", "evidence_quote", "verify_reason")
+
+
+@query(GAP_FILL_SQL + """ SELECT company_id, metric_id, gap_type, CASE status WHEN 'drafted' THEN 'pending' WHEN 'filled' THEN 'resolved' ELSE 'failed' END AS status, CASE status WHEN 'drafted' THEN 'Hi there, ' || company || ', growth? The investment team'
+  WHEN 'filled' THEN 'Value: ' || n || chr(10) || 'Source: ' || url || chr(10) || 'Quote: ' || quote || chr(10) || 'Verified: ' || CAST(reason = 'verified' AS VARCHAR) || ' (' || reason || ')' ELSE 'No confident match found.' END AS output_draft FROM o WHERE status NOT IN ('skipped', 'error')""", COMPANIES)
+def wf_gap_actions(b, sf):
+    return AG.gap_actions(_gaps(b, sf))
+
+
+@query("SELECT company_id, metric_id, 'Hi there, ' || company || ', growth? The investment team' AS output_draft, 'pending' AS status FROM b WHERE obtain_method = 'Ask Founders'", COMPANIES)
+def wf_outreach_llm(b, sf):
+    """Drafts for the gaps that only founders can fill, logged and not sent."""
+    return AG.gap_actions(_gaps(b.where(F.col("obtain_method").isin(AG.FOUNDER)), sf)).drop("gap_type")
+
+
+MARKET_AT = "DATE '1998-09-01'"
+MARKET = """SELECT company_id, metric_id, value, raw_evidence, evidence_url, url_verified, confidence, captured_by, captured_at, override, row_number() OVER (PARTITION BY company_id, metric_id ORDER BY override DESC, captured_at DESC, value DESC) = 1 AS is_latest, metric, value_type
+FROM (SELECT o_custkey AS company_id, 1 + o_orderkey % 3 AS metric_id, CAST(o_orderkey AS STRING) AS value, o_orderpriority AS raw_evidence, CAST(NULL AS STRING) AS evidence_url, false AS url_verified, CAST(0.5 AS DOUBLE) AS confidence, 'seed' AS captured_by, CAST(o_orderdate AS DATE) AS captured_at,
+  o_orderkey % 10 = 0 AS override, CASE o_orderkey % 3 WHEN 0 THEN 'TAM' WHEN 1 THEN 'CAGR' ELSE 'growth' END AS metric, CASE o_orderkey % 3 WHEN 1 THEN 'number' END AS value_type FROM {orders}) x"""
+MARKET_SQL = f"""WITH c AS (SELECT c_custkey AS company_id, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS industry FROM customer), w AS ({NEWS.replace("{orders}", "orders")}),
+r AS (SELECT w.*, industry FROM w JOIN c USING (company_id) WHERE industry IS NOT NULL AND n <> 0 QUALIFY row_number() OVER (PARTITION BY industry ORDER BY rank) = 1), {READ_SQL},
+o AS (SELECT b.company_id, b.metric_id, CASE WHEN broke THEN 'error' WHEN sure THEN 'updated' ELSE 'no_data' END AS status, n, url, quote, reason, (n % 10)::DOUBLE / 10 AS sureness FROM b LEFT JOIN c USING (company_id) LEFT JOIN a USING (industry) WHERE is_latest AND NOT override AND captured_at < {MARKET_AT} - INTERVAL 180 DAY)"""
+
+
+def _market(b, sf):
+    spark = b.sparkSession
+    news, pages = _web(spark, sf)
+    companies = base(spark, sf, COMPANIES).select("company_id", "industry")
+    results = news.where("n <> 0").join(companies, "company_id").where("industry is not null").withColumn("query", AG.market_query(F.col("industry")))
+    return AG.refresh_market(b, companies, results, pages, reader, F.expr(MARKET_AT))
+
+
+@query(MARKET_SQL + " SELECT company_id, metric_id, status, CASE WHEN status = 'updated' THEN CAST(n AS VARCHAR) END AS value, CASE WHEN status = 'updated' THEN url END AS source_url, CASE WHEN status = 'updated' THEN reason = 'verified' END AS url_verified FROM o", MARKET)
+def wf_market_refresh(b, sf):
+    return _market(b, sf).select("company_id", "metric_id", "status", "value", "source_url", "url_verified")
 
 
-@query("SELECT id FROM b WHERE raw <> 'abc' AND unit <> '' AND amount >= 360", MEMO)
-def wf_market_refresh(b):
-    quote, url = F.nullif("raw", F.lit("abc")), F.nullif("unit", F.lit(""))
-    return b.where(quote.isNotNull() & url.isNotNull() & (F.col("amount") / 900 >= 0.4)).select("id")
+@query(MARKET_SQL + f""", h AS (SELECT company_id, metric_id, value, captured_by, captured_at, override, url_verified, confidence FROM b UNION ALL SELECT company_id, metric_id, CAST(n AS VARCHAR), 'market_agent', {MARKET_AT}, false, reason = 'verified', sureness FROM o WHERE status = 'updated')
+SELECT *, row_number() OVER (PARTITION BY company_id, metric_id ORDER BY override DESC, captured_at DESC, captured_by DESC, value DESC) = 1 AS is_latest FROM h""", MARKET)
+def wf_market_history(b, sf):
+    """History after a refresh: new values are the latest ones, those that an analyst holds stay."""
+    added = AG.new_values(_market(b, sf), "updated", "market_agent", F.expr(MARKET_AT))
+    return AG.with_values(b, added).drop("raw_evidence", "evidence_url")
 
 
 STORED = """SELECT o_orderkey AS value_id, o_custkey AS company_id, o_orderkey % 12 AS metric_id, CAST(CAST(floor(o_totalprice) AS BIGINT) % 50 AS STRING) AS value,

@@ -6,6 +6,7 @@ shape of an operator's input; the operator is applied with the DataFrame API.
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 
@@ -25,12 +26,13 @@ def base(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def query(sql: str | None = None, over: str | None = None, name: str | None = None):
-    """Register f(df) over the rows of the base SQL `over`, or f(spark, sf_dir);
-    sql: the same in DuckDB, where `b` is the base."""
+    """Register f(df) or f(df, sf_dir) over the rows of the base SQL `over`, or
+    f(spark, sf_dir); sql: the same in DuckDB, where `b` is the base."""
 
     def add(f):
         key = name or f.__name__
-        QUERIES[key] = (lambda spark, sf_dir: f(base(spark, sf_dir, over))) if over else f
+        more = len(inspect.signature(f).parameters) > 1
+        QUERIES[key] = (lambda spark, sf_dir: f(base(spark, sf_dir, over), *([sf_dir] if more else []))) if over else f
         if sql:
             plain = re.sub(r"\{(\w+)\}", r"\1", over) if over else ""
             if over and re.match(r"\s*WITH\b", sql):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import fold as W
 from ..operators import resolve as R
 from ..operators import score as S
+from ..operators import agents as AG
 from ..operators import state as T
 from ..sources import scratch
 from ..streaming import ingest
@@ -473,9 +474,18 @@ def mut_founder_verified(spark, sf):
     return c.join(found, "c_custkey", "left").select("c_custkey", F.coalesce("new", "c_mktsegment").alias("source"), F.col("new").isNotNull().alias("verified"))
 
 
-@query("SELECT page_id, starts_with(url, 'https') AS url_verified FROM pages")
-def mut_mark_url(spark, sf):
-    return scan(spark, sf, "pages").select("page_id", F.when(F.col("url").startswith("https"), True).otherwise(False).alias("url_verified"))
+MARKED = """SELECT page_id AS id, url, CASE page_id % 5 WHEN 0 THEN 'brief' WHEN 1 THEN 'nobody ever wrote these words here' WHEN 2 THEN NULL ELSE upper(substring(regexp_replace(html, '[^ -~]', ''), 20, 60)) END AS quote, page_id % 7 = 0 AS url_verified, CASE WHEN page_id % 7 = 0 THEN DATE '2024-01-01' END AS url_verified_at,
+  CASE WHEN page_id % 6 <> 0 THEN regexp_replace(html, '[^ -~]', '') END AS page FROM {pages}"""
+
+
+@query(r"""WITH n AS (SELECT id, url, quote, url_verified, url_verified_at, page, regexp_replace(trim(regexp_replace(lower(quote), '\s+', ' ', 'g')), ' ([,.;:)\]!?])', '\1', 'g') AS q, regexp_replace(trim(regexp_replace(lower(page), '\s+', ' ', 'g')), ' ([,.;:)\]!?])', '\1', 'g') AS t FROM b),
+u AS (SELECT url, q, bool_or(contains(t, q)) AS hit FROM (SELECT DISTINCT n.q, m.url, m.t FROM n JOIN n m USING (url)) GROUP BY ALL)
+SELECT id, CASE WHEN id % 3 = 0 THEN url_verified ELSE coalesce(length(quote) >= 20 AND hit, false) END AS url_verified, CASE WHEN id % 3 = 0 THEN url_verified_at ELSE DATE '2024-06-01' END AS url_verified_at FROM n LEFT JOIN u USING (url, q)""", MARKED)
+def mut_mark_url(b):
+    """Flags of stored quotes set by a check against their pages; rows that weren't checked keep theirs."""
+    pages = b.select("url", F.col("page").alias("text"))
+    checked = AG.verify_urls(b.where("id % 3 <> 0").select("id", "url", "quote"), pages, "url", "quote")
+    return AG.mark_urls(b.select("id", "url_verified", "url_verified_at"), checked, ["id"], F.expr("DATE '2024-06-01'"))
 
 
 STAGES = ["signup", "view", "click", "purchase"]
