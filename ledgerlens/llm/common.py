@@ -108,9 +108,10 @@ def spread_join(many: DataFrame, one: DataFrame, on: str, how: str = "inner", co
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str, bits: int | None = None) -> DataFrame:
     """Add `out`, the exact sum of the long column `value` over the rows of the
-    same group that come before this one in `order`.
+    same group that come before this one in `order`; with bits (32 at most), that
+    sum modulo 2^bits, which holds however large the sum is.
 
     Two levels, so that a group with a third of all rows is no single task: rows
     are range-partitioned by (group, order) and summed inside each partition;
@@ -122,6 +123,7 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, o
     schema = T.StructType([*_nullable(df.schema), T.StructField("_pid", T.IntegerType()), T.StructField(out, T.LongType()), T.StructField("_total", T.LongType())])
 
     names = df.columns
+    mask = -1 if bits is None else (1 << bits) - 1
 
     def local(batches):
         from pyspark import TaskContext
@@ -138,16 +140,19 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, o
             base[: begins[0] if begins else n] = seen
             for x, y in zip(begins, [*begins[1:], n], strict=False):
                 base[x:y] = -before[x]
-            before = before + base
+            before = (before + base) & mask  # sums wrap at 2^64, which leaves the low bits as they are
             if n:
                 last, seen = marks[-1], int(before[-1] + v[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, pid, dtype=np.int32)), pa.array(before), pa.array(before + v)], names=[*names, "_pid", out, "_total"])
 
     level = saved(ranged.mapInArrow(local, schema), "prefix")
-    sums = level.groupBy(*group, "_pid").agg(F.max("_total").alias("_sum"))
+    whole = F.max("_total") if bits is None else F.sum(F.col(value).bitwiseAND(F.lit(mask)))
+    sums = level.groupBy(*group, "_pid").agg(whole.alias("_sum"))
     w = Window.partitionBy(*[F.col(g) for g in group]).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_pid").alias("_p"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_offset"))
     on = F.col("_pid") == F.col("_p")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return level.join(maybe_broadcast(offsets, 100_000), on, "left").withColumn(out, F.col(out) + F.col("_offset")).drop("_pid", "_total", "_p", "_offset", *[f"_g_{g}" for g in group])
+    total = F.col(out) + (F.col("_offset") if bits is None else F.col("_offset").bitwiseAND(F.lit(mask)))
+    total = total if bits is None else total.bitwiseAND(F.lit(mask))
+    return level.join(maybe_broadcast(offsets, 100_000), on, "left").withColumn(out, total).drop("_pid", "_total", "_p", "_offset", *[f"_g_{g}" for g in group])

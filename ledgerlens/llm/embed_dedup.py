@@ -107,8 +107,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
             for v in b.column(1).to_pylist():
                 good = v is not None and len(v) > 0 and None not in v
                 x = np.array(v, dtype=np.float64) if good else None
-                if good and np.isfinite(x).all() and 0 < (x * x).sum() < np.inf:
-                    raw.append(x.tobytes())
+                if good and np.isfinite(x).all() and x.any():
+                    # An exact power of two, so that no square under- or overflows.
+                    raw.append(np.ldexp(x, -np.frexp(np.abs(x).max())[1]).tobytes())
                     cid.append(int.from_bytes(hashlib.blake2b(raw[-1], digest_size=8).digest(), "little", signed=True))
                 else:
                     raw.append(None)

@@ -70,7 +70,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(most * UNIT), F.round(F.col("target") / F.col("source_size") * UNIT).cast("long"))).otherwise(F.lit(0))
     rated = targets.select(F.col("source").alias("_s"), "source_size", "target", rate.cast("long").alias("_expected"))
     joined = sizes.join(maybe_broadcast(rated, 10_000), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    run = prefix_sums(joined, ["source"], ["size", "doc_id", *(carry or [])], "_expected", "_before")
+    # A crossing depends on the fraction of the copies before it only, so sums can't overflow.
+    run = prefix_sums(joined, ["source"], ["size", "doc_id", *(carry or [])], "_expected", "_before", bits=32)
     u = offset(F.col("source"), seed)
     crossed = F.shiftright(F.col("_before") + F.col("_expected") + u, 32) - F.shiftright(F.col("_before") + u, 32)
     return run.withColumn("copies", crossed).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(carry or []))

@@ -272,7 +272,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
     rows = spark.read.schema("doc_id long, n_tokens long, root binary, chunks array<struct<name: binary, n: int, ids: binary>>").parquet(staged)
     chunk = rows.select(F.explode("chunks").alias("c")).select("c.name", "c.n", "c.ids")
     chunk.groupBy("name").agg(F.first("n").alias("n"), F.first("ids").alias("ids"), F.count("*").alias("uses")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    joined = F.aggregate(F.col("chunks.name"), F.lit("").cast("binary"), lambda a, x: F.concat(a, x))
+    joined = F.unhex(F.array_join(F.transform(F.col("chunks.name"), lambda x: F.hex(x)), ""))  # one pass, however many chunks
     lists = rows.select("doc_id", "n_tokens", "root", joined.alias("names"))
     placed = prefix_sums(lists, [], ["doc_id"], "n_tokens", "start")
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
