@@ -38,6 +38,12 @@ def value_text(x: Column) -> Column:
     return F.when(x == F.floor(x), F.floor(x).cast("bigint").cast("string")).otherwise(x.cast("string"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero on the scaled double, as SQL engines have it. F.round goes by
+    the shortest decimal text, so 1.60875, in truth a little less, would go up."""
+    return F.round(x * float(10**digits), 0) / float(10**digits)
+
+
 def within(x: Column, low: Column | None, high: Column | None) -> Column:
     """low <= x <= high, either bound may be null (open)."""
     ok = x.isNotNull()

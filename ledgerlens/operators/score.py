@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamp
+from ..functions.numbers import clamp, rounded
 
 # Weights of the financial components.
 FINANCIAL = {"gross_margin": 0.35, "runway": 0.25, "burn": 0.25, "stage": 0.15}
@@ -20,7 +20,7 @@ def weighted_average(score: Column, weight: Column) -> Column:
 
 def type_scores(values: DataFrame) -> DataFrame:
     """(company_id, mtype, score) from values (company_id, mtype, score, weight)."""
-    return values.groupBy("company_id", "mtype").agg(F.round(weighted_average(F.col("score"), F.col("weight")), 2).alias("score"))
+    return values.groupBy("company_id", "mtype").agg(rounded(weighted_average(F.col("score"), F.col("weight")), 2).alias("score"))
 
 
 def weights(house: DataFrame, personal: DataFrame) -> DataFrame:
@@ -31,18 +31,20 @@ def weights(house: DataFrame, personal: DataFrame) -> DataFrame:
 
 def scorecard(scores: DataFrame, companies: DataFrame, types: DataFrame) -> DataFrame:
     """Weakest-link scorecard. types (mtype, must_have, weight); every company is
-    held against every type, so a must-have without rows counts as missing."""
+    held against every type, so a must-have without rows counts as missing. Products
+    are added as decimals, so that the order of the rows decides no tie."""
     grid = companies.select("company_id").crossJoin(F.broadcast(types))  # types are a dimension of a few rows
     full = grid.join(scores, ["company_id", "mtype"], "left")
     must = F.when(F.col("must_have"), F.col("score"))
     missing = F.array_sort(F.collect_list(F.when(F.col("must_have") & F.col("score").isNull(), F.col("mtype"))))
+    total = lambda x: F.sum(F.when(F.col("score").isNotNull(), x).cast("decimal(38,12)")).cast("double")
     out = full.groupBy("company_id").agg(
-        weighted_average(F.col("score"), F.col("weight")).alias("base"),
+        (total(F.col("score") * F.col("weight")) / F.nullif(total(F.col("weight")), F.lit(0.0))).alias("base"),
         F.min(must).alias("weakest"),
         missing.alias("missing"),
     )
     complete = F.size("missing") == 0
-    return out.select("company_id", F.round("base", 4).alias("base"), F.when(complete, F.round(F.col("weakest") / 5, 4)).alias("multiplier"), F.when(complete, F.round(F.col("base") * F.col("weakest") / 5, 4)).alias("overall"), F.array_join("missing", ",").alias("missing"))
+    return out.select("company_id", rounded(F.col("base"), 4).alias("base"), F.when(complete, rounded(F.col("weakest") / 5, 4)).alias("multiplier"), F.when(complete, rounded(F.col("base") * F.col("weakest") / 5, 4)).alias("overall"), F.array_join("missing", ",").alias("missing"))
 
 
 def score_view(values: DataFrame, companies: DataFrame, types: DataFrame) -> DataFrame:

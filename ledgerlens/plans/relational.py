@@ -240,7 +240,7 @@ def agg_missing_types(spark, sf):
 @query(f"SELECT company_id, s_name AS name, overall, row_number() OVER (ORDER BY overall DESC NULLS LAST, s_name) AS place FROM ({CARD_SQL}) c JOIN supplier ON s_suppkey = company_id")
 def qry_rank_all(spark, sf):
     named = S.rank(_card(spark, sf).join(_suppliers(spark, sf), "company_id"))
-    return named.select("company_id", "name", "overall", F.row_number().over(Window.orderBy(F.col("overall").desc_nulls_last(), "name")).alias("place"))
+    return named.select("company_id", "name", "overall", F.row_number().over(Window.orderBy(F.col("overall").desc_nulls_last(), "name", "company_id")).alias("place"))
 
 
 @query(f"""WITH b AS ({VALS_SQL}), d AS ({T_DIM}), p AS (SELECT company_id, b.mtype, must_have, d.weight AS tw, sum(score * b.weight) / nullif(sum(b.weight), 0) AS ts, bool_and(score IS NOT NULL) AS ok FROM b JOIN d ON b.mtype = d.mtype GROUP BY ALL),
