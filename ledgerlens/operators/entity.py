@@ -130,6 +130,12 @@ def _prefix(words: Column) -> Column:
     return F.filter(words, lambda w, i: F.length(F.array_join(F.slice(words, i + 1, F.size(words)), " ")) * 3 >= whole * 2)
 
 
+def _pairs(words: Column) -> Column:
+    """Every two of the words, each two in one order."""
+    w = F.array_sort(F.array_distinct(words))
+    return F.flatten(F.transform(w, lambda x, i: F.transform(F.slice(w, i + 2, F.size(w)), lambda y: F.concat(x, F.lit(" "), y))))
+
+
 def _grams(words: Column) -> Column:
     """Pairs of letters inside words, numbered where they repeat, in an order by hash."""
     pairs = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) > 1), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda k: F.substr(w, k, F.lit(2)))))
@@ -182,7 +188,7 @@ def resolve(docs: DataFrame, companies: DataFrame, aliases: DataFrame | None = N
     or the head, a domain in the head; fuzzy: the token set ratio of head and name.
     Blocking loses nothing: a pair with an alias, name or domain shares its key; one
     without can reach `least`, above what fuzzy alone gives, only by enough of the
-    name's tokens in the file name, so it shares one of the first few; below that a
+    name's tokens in the file name, so it shares one of the first few, or two of them; below that a
     similarity join (`alike`) finds what fuzzy alone can bring there. least is above 0.
     """
     p = profile(companies, aliases)
@@ -195,24 +201,35 @@ def resolve_stored(docs: DataFrame, path: str, least: float = LEAST, k: int = BE
     return _resolved(docs, spark.read.parquet(f"{path}/profile"), spark.read.parquet(f"{path}/keys").drop("folder"), least, k, fuzzy)
 
 
-def _resolved(docs: DataFrame, c: DataFrame, keyed: DataFrame, least: float, k: int, fuzzy: bool) -> DataFrame:
-    if least <= 0:
-        raise ValueError("least must be above 0, or every pair would count")
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    d = docs.select("doc_id", text("file").alias("file"), text("head").alias("head"))
-    d = d.withColumns({"ft": X.file_tokens(F.col("file")), "dom": X.domains(F.col("head"))})
+def candidates(d: DataFrame, c: DataFrame, keyed: DataFrame, least: float, fuzzy: bool) -> DataFrame:
+    """Pairs (doc_id, company_id) to score: every one that can reach `least`."""
     none = F.array().cast("array<string>")
     top = FUZZY if fuzzy else 0.0
-    # Of n tokens so many must be in the file name where no other exact signal is; then one of the first is.
+    # Of n tokens so many must be in the file name where no other exact signal is; then one of the first
+    # n - hits + 1 is. Where it takes two and no token repeats, two of the first n - hits + 2 are: those
+    # are the key, since a word like "supplier" alone may be in every name and file.
     share, n = (least - top if least > top else least) / FILE, F.size("nt")
     hits = F.greatest(F.lit(1), F.ceil(share * n - 1e-9)).cast("int")
-    first = F.when((n > 0) & (hits <= n), F.slice(_longest_first(F.col("nt")), F.lit(1), F.greatest(n - hits + 1, F.lit(1)))).otherwise(none)
-    dk = d.select("doc_id", F.explode(F.array_distinct(F.concat(_key("f", F.col("ft")), _key("w", F.concat(_words(F.col("file")), _words(F.col("head")))), _key("d", F.col("dom"))))).alias("key"))
-    ck = c.select("company_id", F.explode(F.concat(_key("f", first), _key("d", F.col("domains")))).alias("key")).unionByName(keyed.select("company_id", F.concat(F.lit("w"), "key").alias("key"))).distinct()
+    two = (hits >= 2) & (F.size(F.array_distinct("nt")) == n)
+    front = lambda more: F.slice(_longest_first(F.col("nt")), F.lit(1), F.greatest(n - hits + more, F.lit(1)))
+    reached = (n > 0) & (hits <= n)
+    first = F.when(reached & ~two, _key("f", front(1))).when(reached, _key("p", _pairs(front(2)))).otherwise(none)
+    dk = d.select("doc_id", F.explode(F.array_distinct(F.concat(_key("f", F.col("ft")), _key("p", _pairs(F.col("ft"))), _key("w", F.concat(_words(F.col("file")), _words(F.col("head")))), _key("d", F.col("dom"))))).alias("key"))
+    ck = c.select("company_id", F.explode(F.concat(first, _key("d", F.col("domains")))).alias("key")).unionByName(keyed.select("company_id", F.concat(F.lit("w"), "key").alias("key"))).distinct()
     pairs = dk.join(broadcast_if_small(ck, ROWS), "key").select("doc_id", "company_id")
     if fuzzy and least <= top:
         pairs = pairs.unionByName(alike(d, c))
-    j = pairs.distinct().join(d, "doc_id").join(c, "company_id")
+    return pairs.distinct()
+
+
+def _resolved(docs: DataFrame, c: DataFrame, keyed: DataFrame, least: float, k: int, fuzzy: bool) -> DataFrame:
+    if least <= 0:
+        raise ValueError("least must be above 0, or every pair would count")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    d = docs.select("doc_id", text("file").alias("file"), text("head").alias("head"))
+    d = d.withColumns({"ft": X.file_tokens(F.col("file")), "dom": X.domains(F.col("head"))})
+    top = FUZZY if fuzzy else 0.0
+    j = candidates(d, c, keyed, least, fuzzy).join(d, "doc_id").join(c, "company_id")
     said = lambda x: X.whole_word(x, F.col("file")) | X.whole_word(x, F.col("head"))
     alias = F.when(F.exists("aliases", said), ALIAS).otherwise(0.0)
     name = F.when(said(F.col("short")), NAME).otherwise(0.0)
