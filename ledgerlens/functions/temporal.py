@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ SCAN_QUARTER = r"(?i)\bQ[1-4]['\s]*(?:19|20)?[0-9]{2}[EPF]?\b"
 SCAN_YEAR = r"(?i)\b(?:FY[\s-]?)?(?:19|20)[0-9]{2}[EPF]?\b"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once, however often f uses it; inside of
+    lambdas Spark computes each use again."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _group(text: Column, pattern: str, n: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
@@ -34,19 +42,22 @@ def parse_label(label: Column, as_of: Column) -> Column:
     """struct(scenario, as_of_date): the end of the labelled period; without a
     suffix a period that ends after as_of is a projection. Nulls if unparseable.
     Months end on their true last day."""
-    t = F.trim(label)
-    year = _group(t, YEAR, 1)
-    quarter, quarter_year = _group(t, QUARTER, 1), _group(t, QUARTER, 2)
-    month, month_year = _group(t, MONTH, 1), _group(t, MONTH, 2)
-    qy = F.when(F.length(quarter_year) == 2, F.concat(F.lit("20"), quarter_year)).otherwise(quarter_year)
-    end = F.coalesce(
-        F.when(year.isNotNull(), F.make_date(year.try_cast("int"), F.lit(12), F.lit(31))),
-        F.when(quarter.isNotNull(), F.last_day(F.make_date(qy.try_cast("int"), quarter.try_cast("int") * 3, F.lit(1)))),
-        F.when(month.isNotNull(), F.last_day(F.make_date(month_year.try_cast("int"), month_number(month), F.lit(1)))),
-    )
-    suffix = F.coalesce(_group(t, YEAR, 2), _group(t, QUARTER, 3), _group(t, MONTH, 3))
-    scenario = F.when(suffix.isNotNull(), suffix_scenario(suffix)).when(end > as_of, "projection").otherwise("actual")
-    return F.struct(F.when(end.isNotNull(), scenario).alias("scenario"), end.alias("as_of_date"))
+
+    def read(t: Column) -> Column:
+        # The three forms begin differently, so at most one matches.
+        part = lambda pattern, n: F.regexp_extract(t, pattern, n)
+        quarter_year = once(part(QUARTER, 2), lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y))
+        made = lambda end, suffix: F.struct(end.alias("end"), suffix.alias("suffix"))
+        year = made(F.make_date(part(YEAR, 1).try_cast("int"), F.lit(12), F.lit(31)), part(YEAR, 2))
+        quarter = made(F.last_day(F.make_date(quarter_year.try_cast("int"), part(QUARTER, 1).try_cast("int") * 3, F.lit(1))), part(QUARTER, 3))
+        month = made(F.last_day(F.make_date(part(MONTH, 2).try_cast("int"), month_number(part(MONTH, 1)), F.lit(1))), part(MONTH, 3))
+        return F.when(t.rlike(YEAR), year).when(t.rlike(QUARTER), quarter).when(t.rlike(MONTH), month)
+
+    def result(p: Column) -> Column:
+        scenario = F.when(p["suffix"] != "", suffix_scenario(p["suffix"])).when(p["end"] > as_of, "projection").otherwise("actual")
+        return F.struct(F.when(p["end"].isNotNull(), scenario).alias("scenario"), p["end"].alias("as_of_date"))
+
+    return once(once(F.trim(label), read), result)
 
 
 def granularity(label: Column, default: Column) -> Column:
@@ -57,8 +68,13 @@ def nearby_label(text: Column, start: Column, length: Column, window: int = 60)
     """First month-year, else quarter, else year within window characters of a 1-based match."""
     low = F.greatest(F.lit(1), start - window)
     around = F.substring(text, low, F.least(F.length(text) + 1, start + length + window) - low)
-    found = F.coalesce(*[F.nullif(F.regexp_extract(around, p, 0), F.lit("")) for p in (SCAN_MONTH, SCAN_QUARTER, SCAN_YEAR)])
-    return F.when((F.length(text) > 0) & (length > 0), found)
+
+    def first(t: Column, patterns: list[str]) -> Column:
+        if not patterns:
+            return F.lit(None).cast("string")
+        return once(F.regexp_extract(t, patterns[0], 0), lambda m: F.when(m != "", m).otherwise(first(t, patterns[1:])))
+
+    return F.when((F.length(text) > 0) & (length > 0), once(around, lambda t: first(t, [SCAN_MONTH, SCAN_QUARTER, SCAN_YEAR])))
 
 
 def with_period(df: DataFrame, text: Column, start: Column, length: Column, as_of: Column) -> DataFrame:

@@ -19,14 +19,16 @@ _OUT = ["value", "evidence", "period_label", "scenario", "as_of_date"]
 
 
 def _candidate(rule: Rule, pattern: str) -> Column:
-    """The first match of a pattern; empty `m` for none, null where the text, in small
-    letters as `_low`, lacks what every match holds, so that most patterns never run."""
+    """The first match of a pattern; null for none. Where the text, in small letters
+    as `_low`, lacks what every match holds, it never runs, as is so of most patterns."""
     text, needed = F.col("text"), sorted(factors(pattern))
     unit = F.regexp_extract(text, pattern, 2) if rule.kind == "money" else F.lit("")
+    amount = F.rtrim(F.regexp_extract(text, pattern, 1), F.lit(".,"))
     bound = lambda x: F.lit(x).cast("double")
     fields = {"code": F.lit(rule.code), "method": F.lit("regex"), "confidence": F.lit(rule.confidence), "granularity": F.lit(rule.granularity), "currency": F.lit(rule.currency).cast("string"), "low": bound(rule.low), "high": bound(rule.high), "dated": F.lit("as_of_date" in rule.requires or "scenario" in rule.requires)}
-    found = {"at": F.regexp_instr(text, F.lit(pattern)), "m": F.regexp_extract(text, pattern, 0), "x": N.money(F.rtrim(F.regexp_extract(text, pattern, 1), F.lit(".,")), unit)}
-    made = F.struct(*[v.alias(k) for k, v in (fields | found).items()])
+    x = M.once(amount, lambda a: M.once(unit, lambda u: N.money(a, u)))
+    row = lambda m: F.struct(*[v.alias(k) for k, v in (fields | {"at": F.regexp_instr(text, F.lit(pattern)), "m": m, "x": x}).items()])
+    made = M.once(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", row(m)))
     return F.when(reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(f)) for f in needed]), made) if needed else made
 
 
@@ -36,14 +38,13 @@ def _row(head: dict[str, Column], value: Column, evidence: Column, label: Column
 
 def _enum(rule: Rule) -> Column:
     """Earliest keyword wins, ties by the rule's order; null if there is none."""
-    low = F.lower("text")
+    low = F.col("_low")
     hits = F.filter(F.array(*[F.struct(F.position(F.lit(w), low).alias("at"), F.lit(i).alias("i"), F.lit(v).alias("v"), F.lit(len(w)).alias("n")) for i, (w, v) in enumerate(rule.choices)]), lambda h: h["at"] > 0)
-    first = F.array_min(hits)
     head = {"code": F.lit(rule.code), "method": F.lit("enum_map"), "confidence": F.lit(rule.confidence), "granularity": F.lit(rule.granularity), "currency": F.lit(None).cast("string")}
     none = F.lit(None)
-    row = _row(head, first["v"], X.context(F.col("text"), first["at"], first["n"]), none.cast("string"), none.cast("string"), none.cast("date"))
-    gate = X.any_of(F.col("text"), list(rule.gate)) if rule.gate else F.lit(True)
-    return F.when(gate & (F.size(hits) > 0), row)
+    row = lambda first: _row(head, first["v"], X.context(F.col("text"), first["at"], first["n"]), none.cast("string"), none.cast("string"), none.cast("date"))
+    gate = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in rule.gate]) if rule.gate else F.lit(True)
+    return F.when(gate, M.once(F.array_min(hits), lambda first: F.when(first.isNotNull(), row(first))))
 
 
 def extract(chunks: DataFrame, rules: list[Rule], as_of: Column, keys: list[str], codes: list[str] | None = None) -> DataFrame:
@@ -53,13 +54,12 @@ def extract(chunks: DataFrame, rules: list[Rule], as_of: Column, keys: list[str]
     pattern is tried. No shuffle: candidates stay in an array on the chunk's row."""
     rules = [r for r in rules if codes is None or r.code in codes]
     text, kept = F.col("text"), ["code", "method", "confidence", "granularity", "currency"]
-    df = chunks.select(*keys, "text")
+    df = chunks.select(*keys, "text", F.lower("text").alias("_low"))
     slots = [F.array_compact(F.array(*[_enum(r) for r in rules if r.kind == "enum"]))] if any(r.kind == "enum" for r in rules) else []
     tries = [_candidate(r, p) for r in rules if r.kind != "enum" for p in r.patterns]
     if tries:
         # Each step is a column of its own, so that labels are looked for and read once.
-        df = df.withColumn("_low", F.lower("text"))
-        df = df.withColumn("_c", F.filter(F.array_compact(F.array(*tries)), lambda c: (c["m"] != "") & N.within(c["x"], c["low"], c["high"])))
+        df = df.withColumn("_c", F.filter(F.array_compact(F.array(*tries)), lambda c: N.within(c["x"], c["low"], c["high"])))
         df = df.withColumn("_l", F.transform("_c", lambda c: M.nearby_label(text, c["at"], F.length(c["m"]))))
         df = df.withColumn("_p", F.transform("_l", lambda label: M.parse_label(label, as_of)))
         dated = lambda i: F.get("_p", i)["as_of_date"].isNotNull()
@@ -113,10 +113,11 @@ def table_observations(tables: DataFrame, keys: list[str], as_of: Column) -> Dat
 def matrix_observations(chunks: DataFrame, keys: list[str], as_of: Column) -> DataFrame:
     """Flattened matrix: period labels zipped with each metric's values (shorter list rules)."""
     periods = F.regexp_extract_all("text", F.lit(r"\b(20[0-9]{2}[EPF]?)\b"), F.lit(1))
-    df = chunks.select(*keys, "text", F.slice(periods, F.greatest(F.size(periods) - 4, F.lit(1)), F.lit(5)).alias("_p")).where(F.size("_p") >= 3)
+    df = chunks.select(*keys, "text", M.once(periods, lambda p: F.slice(p, F.greatest(F.size(p) - 4, F.lit(1)), F.lit(5))).alias("_p"))
     specs = {"arr": r"ARR \(\$M\)\s+((?:[0-9.]+\s*)+)", "gross_margin": r"Gross margin\s+((?:-?[0-9]{1,3}%\s*)+)", "customer_count": r"Customers\s+((?:[0-9]+\s*)+)"}
     lists = [F.struct(F.lit(code).alias("metric_code"), F.filter(F.split(F.trim(F.regexp_extract("text", p, 1)), r"\s+"), lambda v: v != "").alias("v")) for code, p in specs.items()]
-    rows = df.select(*keys, "_p", F.explode(F.array(*lists)).alias("m"))
+    # Outer, and the filter after it, or periods and lists would be read twice.
+    rows = df.select(*keys, "_p", F.explode_outer(F.when(F.size("_p") >= 3, F.array(*lists))).alias("m")).where("m is not null")
     n = F.least(F.size("_p"), F.size("m.v"))
     pairs = rows.where(n > 0).select(*keys, "m.metric_code", F.explode(F.arrays_zip(F.slice("_p", F.lit(1), n).alias("label"), F.slice("m.v", F.lit(1), n).alias("cell"))).alias("z"))
     out = pairs.select(*keys, "metric_code", F.col("z.label").alias("period_label"), F.col("z.cell").alias("cell")).withColumn("_d", M.parse_label(F.col("period_label"), as_of))

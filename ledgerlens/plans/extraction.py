@@ -49,32 +49,33 @@ UNION ALL SELECT id, 'prior_successful_exit', 'true', NULL, NULL FROM b WHERE id
 
 
 def _extracted(b, codes=None):
-    return T.extract(D.spread(b), ALL, F.expr(AS_OF), ["id"], codes)
+    return T.extract(b, ALL, F.expr(AS_OF), ["id"], codes)
 
 
-@query(ENGINE, DECK)
+@query(ENGINE, DECK, spread=True)
 def ext_engine(b):
     return _extracted(b).select("id", "metric_code", "value", "period_label", "scenario")
 
 
-@query(f"SELECT id, CAST(amount * 1000000 + 500000 AS VARCHAR) AS value, {QEND} AS as_of_date FROM b", DECK)
+@query(f"SELECT id, CAST(amount * 1000000 + 500000 AS VARCHAR) AS value, {QEND} AS as_of_date FROM b", DECK, spread=True)
 def ext_regex(b):
     return _extracted(b, ["arr"]).select("id", "value", "as_of_date")
 
 
-@query("SELECT id, CASE id % 3 WHEN 0 THEN '3' ELSE '1' END AS value FROM b WHERE id % 3 < 2", DECK)
+@query("SELECT id, CASE id % 3 WHEN 0 THEN '3' ELSE '1' END AS value FROM b WHERE id % 3 < 2", DECK, spread=True)
 def ext_enum_map(b):
     return _extracted(b, ["funding_stage"]).select("id", "value")
 
 
-@query("SELECT metric_code, count(*) AS n FROM (" + ENGINE + ") GROUP BY 1", DECK)
+@query("SELECT metric_code, count(*) AS n FROM (" + ENGINE + ") GROUP BY 1", DECK, spread=True)
 def ext_dedupe(b):
-    both = _extracted(b).withColumn("rank", F.lit(1)).unionByName(_extracted(b).withColumn("rank", F.lit(2)))
+    # Every observation twice, of one extraction.
+    both = _extracted(b).select("id", "metric_code", "value", "as_of_date", "scenario", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
     kept = T.dedupe(both, ["id", "metric_code", "value", "as_of_date", "scenario"], [F.asc("rank")])
     return kept.groupBy("metric_code").agg(F.count("*").alias("n"))
 
 
-@query("SELECT id, code FROM (SELECT id, unnest(['funding_stage', 'prior_successful_exit']) AS code FROM b) WHERE NOT (code = 'funding_stage' AND id % 3 < 2) AND NOT (code = 'prior_successful_exit' AND id % 4 = 0)", DECK)
+@query("SELECT id, code FROM (SELECT id, unnest(['funding_stage', 'prior_successful_exit']) AS code FROM b) WHERE NOT (code = 'funding_stage' AND id % 3 < 2) AND NOT (code = 'prior_successful_exit' AND id % 4 = 0)", DECK, spread=True)
 def ext_missing(b):
     want = b.select("id", F.explode(F.array(F.lit("funding_stage"), F.lit("prior_successful_exit"))).alias("code"))
     have = _extracted(b, ["funding_stage", "prior_successful_exit"]).select("id", F.col("metric_code").alias("code"))
@@ -114,12 +115,12 @@ UNION ALL SELECT id, 'gross_margin', '2024', -3 FROM b UNION ALL SELECT id, 'gro
 UNION ALL SELECT id, 'customer_count', '2024', 9 FROM b UNION ALL SELECT id, 'customer_count', '2025', 38 FROM b)"""
 
 
-@query(MATRIX_SQL, MATRIX)
+@query(MATRIX_SQL, MATRIX, spread=True)
 def ext_matrix(b):
     return T.matrix_observations(b, ["id"], F.expr(AS_OF)).select("id", "metric_code", "period_label", "value", "scenario")
 
 
-@query(f"SELECT metric_code, count(*) AS n FROM ({MATRIX_SQL}) GROUP BY 1", MATRIX)
+@query(f"SELECT metric_code, count(*) AS n FROM ({MATRIX_SQL}) GROUP BY 1", MATRIX, spread=True)
 def ext_layout(b):
     m = T.matrix_observations(b, ["id"], F.expr(AS_OF)).withColumn("o", F.lit(1))
     return T.dedupe(m.unionByName(m), ["id", "metric_code", "period_label"], [F.asc("o")]).groupBy("metric_code").agg(F.count("*").alias("n"))
@@ -277,7 +278,7 @@ def stand_in_model(prompt):
     return f"```json\n{json.dumps(answer)}\n```" if kind == 0 else json.dumps(answer)
 
 
-@query(CHAIN_SQL, NOTES)
+@query(CHAIN_SQL, NOTES, spread=True)
 def ext_llm_chain(b):
     """Retrieval, prompt, provider, answer, quote, type, range and period in one operator."""
     s = lambda c: F.col(c).cast("string")
@@ -562,18 +563,18 @@ SHEETS_SQL = """SELECT id, 0 AS ordinal, 'slide_1' AS locator, 'Overview of the
 UNION ALL SELECT id, 2, 'slide_3', 'Financials, as reported | Metric | ' || y || ' | ' || y || 'E | | ARR ($M) | ' || v || ' | - | a | b end', 'Metric,' || y || ',' || y || 'E;ARR ($M),' || v || ',-/a,b' FROM b"""
 
 
-@query(SHEETS_SQL, SHEETS)
+@query(SHEETS_SQL, SHEETS, spread=True)
 def src_pages(b):
     """Pages with their tables attached, in one pass; short pages leave gaps in the ordinals."""
-    pages = PP.preprocess(D.spread(b), PP.TextPages(), ["id"], "text")
+    pages = PP.preprocess(b, PP.TextPages(), ["id"], "text")
     tables = F.array_join(F.transform("tables", lambda t: F.array_join(F.transform(t, lambda r: F.array_join(r, ",")), ";")), "/")
     return pages.select("id", "ordinal", "locator", "text", tables.alias("tables"))
 
 
-@query(f"SELECT id, 'slide_3' AS locator, 'arr' AS metric_code, CAST(y AS VARCHAR) AS period_label, v * 1e6 AS value, CASE WHEN make_date(CAST(y AS INT), 12, 31) > {AS_OF} THEN 'projection' ELSE 'actual' END AS scenario FROM b", SHEETS)
+@query(f"SELECT id, 'slide_3' AS locator, 'arr' AS metric_code, CAST(y AS VARCHAR) AS period_label, v * 1e6 AS value, CASE WHEN make_date(CAST(y AS INT), 12, 31) > {AS_OF} THEN 'projection' ELSE 'actual' END AS scenario FROM b", SHEETS, spread=True)
 def src_page_tables(b):
     """The tables of pages as observations."""
-    grids = PP.page_tables(PP.preprocess(D.spread(b), PP.TextPages(), ["id"], "text"), ["id"])
+    grids = PP.page_tables(PP.preprocess(b, PP.TextPages(), ["id"], "text"), ["id"])
     return T.table_observations(grids, ["id", "locator"], F.expr(AS_OF)).select("id", "locator", "metric_code", "period_label", "value", "scenario")
 
 
