@@ -10,6 +10,7 @@ from ..operators import resolve as R
 from ..operators import score as S
 from ..operators import agents as AG
 from ..operators import state as T
+from ..sources import documents as D
 from ..sources import scratch
 from ..streaming import ingest
 from .registry import base, query, scan
@@ -72,8 +73,10 @@ def qry_resolve_all(b):
 def str_ingest_winners(b):
     """The rows of qry_resolve_all from a stream of several batches with keyed state."""
     spark, at = b.sparkSession, scratch.folder(b.sparkSession, "stream")
-    b.repartition(8).write.parquet(f"{at}/in")
-    source = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    dealt = D.spread(b, 500_000)
+    dealt.write.parquet(f"{at}/in")  # a file for each task
+    most = -(-dealt.rdd.getNumPartitions() // 4)  # four batches, however many files
+    source = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", most).parquet(f"{at}/in")
     keys = ["company_id", "metric_id"]
     ingest.to_gold(source, f"{at}/gold", f"{at}/checkpoint", keys, TIE, {"availableNow": True}).awaitTermination()
     return ingest.winners(spark, f"{at}/gold", keys).groupBy("company_id").agg(F.count("*").alias("metrics"), F.sum("value").alias("total"))
