@@ -134,10 +134,11 @@ def mark_urls(rows: DataFrame, checked: DataFrame, keys: list[str], at: Column)
 
 
 def _asked(requests: DataFrame, provider: Callable[[str], str]) -> DataFrame:
-    """requests with answer and error; equal prompts are asked once."""
-    once = ask(requests.select("prompt").where("prompt is not null").distinct(), provider)
-    keyed = once.select(F.sha2("prompt", 256).alias("_k"), "answer", "error")
-    return requests.withColumn("_k", F.sha2("prompt", 256)).join(keyed, "_k", "left").drop("_k")
+    """requests with answer and error; equal prompts are asked once. Prompts go to the
+    provider with their keys, and only keys and answers come back."""
+    key = F.sha2("prompt", 256)
+    once = requests.select("prompt").where("prompt is not null").distinct().withColumn("_k", key)
+    return requests.withColumn("_k", key).join(ask(once, provider, keep=["_k"]), "_k", "left").drop("_k")
 
 
 def fill_gaps(gaps: DataFrame, results: DataFrame, pages: DataFrame, provider: Callable[[str], str]) -> DataFrame:
@@ -157,8 +158,9 @@ def fill_gaps(gaps: DataFrame, results: DataFrame, pages: DataFrame, provider: C
     c = {n: F.col(n) for n in names}
     search = F.when(F.col("block").isNotNull(), search_prompt(_said(c["company"]), c["industry"], c["website"], c["metric"], c["description"], c["value_type"], F.col("block")))
     prompt = F.when(F.col("gap_type") == "outreach", outreach_prompt(c["company"], c["industry"], c["metric"], c["description"])).when(F.col("gap_type") == "search", search)
-    answered = saved(_asked(j.select("company_id", "metric_id", "gap_type", prompt.alias("prompt")), provider).drop("prompt"), "gaps")
-    checked = verify_urls(read_answers(answered), pages)
+    # Read before they are saved: the check reads its rows several times.
+    answered = saved(read_answers(_asked(j.select("company_id", "metric_id", "gap_type", prompt.alias("prompt")), provider).drop("prompt")), "gaps")
+    checked = verify_urls(answered, pages)
     failed = F.col("error").isNotNull()
     status = F.when(F.col("gap_type") == "manual_required", "skipped").when(failed, "error").when(F.col("gap_type") == "outreach", "drafted").when(F.col("confident"), "filled").otherwise("no_data")
     draft = F.when(F.col("gap_type") == "outreach", F.regexp_replace("answer", r"(?U)^\s+|\s+\z", ""))
@@ -206,8 +208,8 @@ def refresh_market(history: DataFrame, companies: DataFrame, results: DataFrame,
     asks = due.select(*topics).distinct().withColumn("query", market_query(F.col("industry"))).join(result_blocks(results), "query", "left")
     none = F.lit(None).cast("string")
     prompt = F.when(F.col("block").isNotNull(), search_prompt(none, F.col("industry"), none, F.col("metric"), none, F.col("value_type"), F.col("block")))
-    answered = saved(_asked(asks.select(*topics, prompt.alias("prompt")), provider).drop("prompt"), "markets")
-    checked = verify_urls(read_answers(answered), pages)
+    answered = saved(read_answers(_asked(asks.select(*topics, prompt.alias("prompt")), provider).drop("prompt")), "markets")
+    checked = verify_urls(answered, pages)
     status = F.when(F.col("error").isNotNull(), "error").when(F.col("confident"), "updated").otherwise("no_data")
     checked = checked.withColumn("status", status)
     kept = [F.when(F.col("status") == "updated", F.col(n)).alias(n) for n in (*_ANSWER, "confidence", "url_verified", "verify_reason")]
