@@ -69,7 +69,9 @@ def money(amount: Column, unit: Column) -> Column:
 
 def _magnitude(cell: Column) -> Column:
     plain = F.regexp_replace(F.trim(cell), r"[,$\s]", "")
-    return F.regexp_extract(plain, r"^\(?-?([0-9]+(?:\.[0-9]+)?)(?:%|[a-zA-Z]+)?\)?\z", 1).try_cast("double")
+    # Null, and no cast of an empty text: that costs an exception a cell.
+    found = F.regexp_extract(plain, r"^\(?-?([0-9]+(?:\.[0-9]+)?)(?:%|[a-zA-Z]+)?\)?\z", 1)
+    return F.get(F.transform(F.array(found), lambda x: F.when(x != "", x.try_cast("double"))), F.lit(0))
 
 
 def matrix_value(metric: Column, cell: Column) -> Column:

@@ -96,18 +96,23 @@ def table_header(grid: Column) -> Column:
 
 def table_observations(tables: DataFrame, keys: list[str], as_of: Column) -> DataFrame:
     """Unpivot: tables (keys, grid: array<array<string>>) to a row a metric cell."""
-    t = tables.select(*keys, F.transform("grid", X.clean_row).alias("grid"))
-    t = t.withColumn("_h", table_header(F.col("grid"))).where("_h is not null")
-    units = N.table_units(F.array_join(F.flatten(F.slice("grid", 1, 3)), " "))
+    # Outer explodes stand before the filters: below them a filter would clean grids and read
+    # rows and cells once more for each of its uses. Tables without a header end at the first.
+    grid = F.filter(F.array(F.struct(F.transform("grid", X.clean_row).alias("grid"))), lambda g: g["grid"].isNotNull())
+    headed = F.filter(F.transform(grid, lambda g: F.struct(table_header(g["grid"]).alias("h"), g["grid"].alias("grid"))), lambda g: g["h"].isNotNull())
+    t = tables.select(*keys, F.explode_outer(headed).alias("_t")).where("_t is not null").select(*keys, F.col("_t.h").alias("_h"), "_t.grid")
+    units = M.once(F.array_join(F.flatten(F.slice("grid", 1, 3)), " "), N.table_units)
     # The header's periods are read once a table; rows then look only at their columns.
     head = F.transform(F.element_at("grid", F.col("_h") + 1), lambda c, i: F.struct(i.alias("col"), c.alias("label")))
-    t = t.select(*keys, "_h", "grid", units.alias("_u"), F.filter(head, lambda x: x["label"].rlike(PERIOD)).alias("_cols"))
+    t = t.select(*keys, "_h", units.alias("_u"), F.filter(head, lambda x: x["label"].rlike(PERIOD)).alias("_cols"), "grid")
     t = t.withColumn("_p", F.transform("_cols", lambda x: M.parse_label(x["label"], as_of)))
-    rows = t.select(*keys, "_h", "_u", "_cols", "_p", F.posexplode("grid").alias("_r", "row")).where("_r > _h")
-    rows = rows.withColumn("metric_code", row_metric(F.try_element_at(F.filter("row", lambda c: c != ""), F.lit(1)))).where("metric_code is not null")
-    cells = F.explode(F.zip_with("_cols", "_p", lambda x, p: F.struct(x["col"].alias("col"), x["label"].alias("label"), F.get("row", x["col"]).alias("cell"), p.alias("p"))))
-    cells = rows.select(*keys, "metric_code", "_u", "_r", cells.alias("_c")).withColumn("value", N.table_cell(F.col("_c.cell"), F.col("metric_code"), F.col("_u"))).where("value is not null")
-    return cells.select(*keys, "metric_code", F.col("_r").alias("row"), "_c.col", F.col("_c.label").alias("period_label"), "value", "_c.cell", F.col("_c.p.scenario").alias("scenario"), F.col("_c.p.as_of_date").alias("as_of_date"))
+    rows = t.select(*keys, "_u", "_cols", "_p", F.posexplode_outer("grid").alias("_r", "row"), "_h").where("_r > _h")
+    label = F.try_element_at(F.filter("row", lambda c: c != ""), F.lit(1))
+    rows = rows.select(*keys, "_u", "_cols", "_p", "_r", "row", M.once(label, row_metric).alias("metric_code"))
+    cell = lambda x, p: F.struct(x["col"].alias("col"), x["label"].alias("label"), F.get("row", x["col"]).alias("cell"), p.alias("p"))
+    valued = F.transform(F.zip_with("_cols", "_p", cell), lambda c: F.struct(c.alias("c"), M.once(c["cell"], lambda s: N.table_cell(s, F.col("metric_code"), F.col("_u"))).alias("value")))
+    cells = rows.select(*keys, "metric_code", "_r", F.explode_outer(F.when(F.col("metric_code").isNotNull(), F.filter(valued, lambda c: c["value"].isNotNull()))).alias("_c")).where("_c is not null")
+    return cells.select(*keys, "metric_code", F.col("_r").alias("row"), "_c.c.col", F.col("_c.c.label").alias("period_label"), "_c.value", "_c.c.cell", F.col("_c.c.p.scenario").alias("scenario"), F.col("_c.c.p.as_of_date").alias("as_of_date"))
 
 
 def matrix_observations(chunks: DataFrame, keys: list[str], as_of: Column) -> DataFrame:

@@ -1,25 +1,28 @@
 """Preprocessors: documents to chunks, one a page, with the page's tables.
 
 What reads a file format is injected: any picklable object with `pages(content)`, which
-yields (text, tables) page by page, a table being rows of cells. It runs in a Python
-UDTF, a document at a time as rows come in, so that no more than a page is held beside
-the document; SQL can call it too, with a lateral join.
+yields (text, tables) page by page, a table being rows of cells. It runs over Arrow
+batches, a document at a time, and pages leave by the block, so that a task holds a
+batch of documents and a block of pages. SQL can call it too, as a UDTF, with a lateral join.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from .documents import LEAST
 
 Table = list[list[str | None]]
 PAGE = "ordinal int, locator string, page_number int, text string, char_count int, tables array<array<array<string>>>, error string"
+#: Pages, characters of pages and documents that a task holds as Python objects at a time.
+BLOCK, CHARS, DOCUMENTS = 1_000, 1_000_000, 64
 
 
 class Preprocessor(Protocol):
@@ -38,7 +41,7 @@ class TextPages:
         text = content.decode() if isinstance(content, bytes) else content
         for page in text.split("\f"):
             tables, rows = [], []
-            for line in [*page.split("\n"), ""]:
+            for line in [*page.split("\n"), ""] if "|" in page else []:
                 if "|" in line:
                     rows.append([c.strip() for c in line.strip().strip("|").split("|")])
                 elif rows:
@@ -47,6 +50,24 @@ class TextPages:
             yield page, tables
 
 
+def _read(preprocessor: Preprocessor, content: str | bytes | None, least: int) -> Iterator[tuple]:
+    """PAGE rows of a document."""
+    if content is None:
+        return
+    pages = preprocessor.pages(content)
+    for k in range(10**9):
+        try:
+            raw, tables = next(pages)
+        except StopIteration:
+            return
+        except Exception as e:  # the document's own failure, not the job's
+            yield None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+            return
+        text = " ".join((raw or "").split())
+        if len(text) >= least:
+            yield k, f"slide_{k + 1}", k + 1, text, len(text), tables or [], None
+
+
 def reader(preprocessor: Preprocessor, least: int = LEAST):
     """The UDTF of a preprocessor: content to PAGE rows. Pages of fewer than `least`
     characters, white space collapsed, are passed over, but ordinals count them. A
@@ -56,30 +77,57 @@ def reader(preprocessor: Preprocessor, least: int = LEAST):
     @udtf(returnType=PAGE)
     class Pages:
         def eval(self, content):
-            if content is None:
-                return
-            pages = preprocessor.pages(content)
-            for k in range(10**9):
-                try:
-                    raw, tables = next(pages)
-                except StopIteration:
-                    return
-                except Exception as e:  # the document's own failure, not the job's
-                    yield None, None, None, None, None, None, f"{type(e).__name__}: {e}"
-                    return
-                text = re.sub(r"\s+", " ", raw or "").strip()
-                if len(text) >= least:
-                    yield k, f"slide_{k + 1}", k + 1, text, len(text), tables or [], None
+            yield from _read(preprocessor, content, least)
 
     return Pages
 
 
-def preprocess(docs: DataFrame, preprocessor: Preprocessor, keys: list[str], content: str) -> DataFrame:
-    """(keys, PAGE) of documents with their content in a column, text or bytes."""
-    pages = reader(preprocessor)
-    named = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(content).alias("_content"))
-    out = named.lateralJoin(pages(F.col("_content").outer()))
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keys)], *[c.split()[0] for c in PAGE.split(", ")])
+def _encodable(x):
+    """x without halves of surrogate pairs, which have no UTF-8."""
+    if isinstance(x, list | tuple):
+        return [_encodable(y) for y in x]
+    return x.encode("utf-8", "replace").decode() if isinstance(x, str) else x
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:
+        return pa.array(_encodable(values), kind)
+
+
+_CELLS = pa.list_(pa.list_(pa.list_(pa.string())))
+_KINDS = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), _CELLS, pa.string()]
+
+
+def preprocess(docs: DataFrame, preprocessor: Preprocessor, keys: list[str], content: str, least: int = LEAST) -> DataFrame:
+    """(keys, PAGE) of documents with their content in a column, text or bytes; the rows are
+    those of `reader`."""
+    names, page = [f"_k{i}" for i in range(len(keys))], [c.split()[0] for c in PAGE.split(", ")]
+    named = docs.select(*[F.col(c).alias(n) for n, c in zip(names, keys, strict=True)], F.col(content).alias("_content"))
+    schema = T.StructType([*named.schema.fields[:-1], *T.StructType.fromDDL(PAGE)])
+
+    def run(batches):
+        for batch in batches:
+            at, rows, held = [], [], 0
+
+            def block(batch=batch):
+                made = [_column(list(c), kind) for c, kind in zip(zip(*rows, strict=True), _KINDS, strict=True)]
+                return pa.RecordBatch.from_arrays([*[batch.column(n).take(pa.array(at)) for n in names], *made], names=[*names, *page])
+
+            for begin in range(0, batch.num_rows, DOCUMENTS):
+                for i, c in enumerate(batch.slice(begin, DOCUMENTS).column("_content").to_pylist(), begin):
+                    for row in _read(preprocessor, c, least):
+                        at.append(i)
+                        rows.append(row)
+                        held += row[4] or 0
+                        if len(rows) >= BLOCK or held >= CHARS:
+                            yield block()
+                            at, rows, held = [], [], 0
+            if rows:
+                yield block()
+
+    return named.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, keys, strict=True)))
 
 
 def register(spark: SparkSession, name: str, preprocessor: Preprocessor) -> None:
