@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import saved
-from .state import broadcast_if_small, insert_ignore
+from .state import broadcast_if_small, first_by, insert_ignore
 
 #: Runs up to so many are broadcast.
 ROWS = 200_000
@@ -85,7 +85,9 @@ def backfill(values: DataFrame, runs: DataFrame | None = None, observations: Dat
     added = saved(numbered(added, [F.asc_nulls_first("company_id"), F.asc("extractor")], "run_id", greatest(known_runs, "run_id")), "runs")
     of = added.select("run_id", *keys).unionByName(known_runs.select("run_id", *keys))
     of = broadcast_if_small(of.select("run_id", F.col("extractor").alias("_e"), F.col("company_id").alias("_c")), ROWS)
-    fresh = insert_ignore(known.select(_key(F.col("fingerprint")).alias("_key")), rows.withColumn("_key", F.unhex(print_)), ["_key"], order)
+    # No key is null, so plain equality holds, for which both sides lie by key already.
+    there = known.select(_key(F.col("fingerprint")).alias("_key")).where("_key is not null").distinct()
+    fresh = first_by(rows.withColumn("_key", F.unhex(print_)), ["_key"], order).join(there, "_key", "left_anti")
     fresh = numbered(fresh.drop("_key"), order, "observation_id", greatest(known, "observation_id"))
     made = saved(fresh.join(of, (F.col("extractor") == F.col("_e")) & F.col("company_id").eqNullSafe(F.col("_c"))), "observations")
     counts = broadcast_if_small(made.groupBy("run_id").agg(F.count("*").alias("observations")), ROWS)
